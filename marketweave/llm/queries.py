@@ -8,13 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm import byte_bpe, mixing, token_counts
+from marketweave.llm import byte_bpe, embedding_dedup, mixing, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.clusters(_documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -30,7 +39,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_token_counts, op7_mixing, op9_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op5_simhash, op6_token_counts, op7_mixing, op9_byte_bpe)}
 
 _OP7_SQL = r"""
 WITH sized AS (
@@ -46,7 +55,7 @@ WITH sized AS (
         sum(weight) OVER (ORDER BY 2 * source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left
     FROM weighed
 ), level AS (
-    SELECT min((total - full_before) / weight_left) FILTER (WHERE (total - full_before) / weight_left < 2 * source_size / weight) AS level FROM filled
+    SELECT arg_min((total - full_before) / weight_left, 2 * source_size / weight) FILTER (WHERE (total - full_before) / weight_left < 2 * source_size / weight) AS level FROM filled
 ), rated AS (
     SELECT source, source_size, least(2 * source_size, coalesce(level * weight, 2 * source_size)) AS target FROM filled, level
 ), drawn AS (
