@@ -295,5 +295,19 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     return found.select("doc_id", "score", *["spans"] * spans)
 
 
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                p = marginals(model, [classes.of(tokens(x.as_py() or "")) for x in part.column("text")])
+                yield part.filter(pa.array(score_of(model, np.array([document_features(x) for x in p])) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id", parts: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == 0, F.lit(False))
