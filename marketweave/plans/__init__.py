@@ -1 +1 @@
-"""Market and news analytics on Spark DataFrames."""
+"""Named queries over the driver's tables, each with the same query in SQL."""
