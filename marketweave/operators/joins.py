@@ -22,12 +22,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     return both.select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
 
 
-def interval(points: DataFrame, spans: DataFrame, key: str, ts: str, start: str, stop: str, width: str) -> DataFrame:
-    """Inner join of points with the spans (start, stop] that hold them; spans are at most `width` long.
+def interval(points: DataFrame, spans: DataFrame, key: str, ts: str, start: str, stop: str, width: int) -> DataFrame:
+    """Inner join of points with the spans (start, stop] that hold them; spans are at most `width` seconds long.
 
     An equi join on time buckets of that width: a span is in two buckets at most.
     """
-    bucket = lambda c: F.window(c, width).getField("start")
+    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (width * 1_000_000))
     near = F.explode(F.array_distinct(F.array(bucket(F.col(start)), bucket(F.col(stop)))))
     return points.withColumn("__b", bucket(F.col(ts))).join(spans.withColumn("__b", near), [key, "__b"]).where((F.col(ts) > F.col(start)) & (F.col(ts) <= F.col(stop))).drop("__b")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketweave.plans import series
+from marketweave.plans import market, news, series
 
-QUERIES = {**series.QUERIES}
-ORACLE_SQL = {**series.ORACLE_SQL}
+QUERIES = {**series.QUERIES, **market.QUERIES, **news.QUERIES}
+ORACLE_SQL = {**series.ORACLE_SQL, **market.ORACLE_SQL, **news.ORACLE_SQL}
