@@ -61,7 +61,7 @@ def minutes(samples: DataFrame, expected: int = 60) -> DataFrame:
 def sample_and_hold(updates: DataFrame, step: str = "1 second", max_age: str | None = None) -> DataFrame:
     """(symbol, ts, value, seen): the latest update at or before each slot between the first and last."""
     bounds = updates.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    slots = bounds.select("symbol", F.explode(F.expr(f"sequence(date_trunc('second', lo), date_trunc('second', hi), INTERVAL {step})")).cast("timestamp_ntz").alias("ts"))
+    slots = bounds.select("symbol", F.explode(F.expr(f"sequence(date_trunc('second', lo), date_trunc('second', hi), INTERVAL {step})")).alias("ts")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     both = slots.select("symbol", "ts", F.lit(None).cast("double").alias("value"), F.lit(None).cast("timestamp_ntz").alias("seen"), F.lit(1).alias("slot")).unionByName(updates.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp_ntz").alias("seen"), F.lit(0).alias("slot")))
     w = Window.partitionBy("symbol").orderBy("ts", "slot").rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumns({"value": F.last("value", ignorenulls=True).over(w), "seen": F.last("seen", ignorenulls=True).over(w)}).where("slot = 1 AND seen IS NOT NULL").drop("slot")
