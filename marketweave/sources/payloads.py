@@ -15,8 +15,6 @@ from marketweave.functions.numeric import flow_value
 from marketweave.functions.timegrid import parse_when
 
 DECIMAL = "decimal(38,18)"
-KLINE_MESSAGE = "struct<e: string, E: bigint, s: string, k: struct<t: bigint, T: bigint, i: string, o: string, h: string, l: string, c: string, q: string, Q: string, n: bigint, x: boolean>>"
-DEPTH_MESSAGE = "struct<e: string, E: bigint, T: bigint, s: string, b: array<array<string>>, a: array<array<string>>>"
 CHART = "array<struct<date: bigint, totalCirculating: struct<peggedUSD: double>, totalCirculatingUSD: struct<peggedUSD: double>, totalMintedUSD: struct<peggedUSD: double>>>"
 ANNOUNCEMENTS = "struct<code: string, data: struct<catalogs: array<struct<catalogId: bigint, catalogName: string, total: bigint, articles: array<struct<id: bigint, code: string, title: string, type: int, releaseDate: bigint>>>>>>"
 
@@ -126,10 +124,13 @@ def messages(df: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame, DataFram
     kind = F.get_json_object(raw, "$.e")
     told = df.withColumns({"__raw": raw, "__kind": kind, "__symbol": F.get_json_object(raw, "$.s")})
     own = F.coalesce(F.col("__symbol") == symbol, F.lit(False))
-    k = told.where(own & (F.col("__kind") == "kline")).withColumn("m", F.from_json("__raw", KLINE_MESSAGE))
-    number = lambda name: F.col(f"m.k.{name}").try_cast("double")
-    candles = k.select(F.col("m.s").alias("symbol"), F.timestamp_millis("m.k.t").alias("ts"), F.timestamp_millis("m.E").alias("arrival"), *[number(a).alias(b) for a, b in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("q", "quote_volume"), ("Q", "taker_buy"))], (number("q") - number("Q")).alias("taker_sell"), (number("Q") * 2 - number("q")).alias("delta"), F.col("m.k.x").alias("closed"))
-    d = told.where(own & (F.col("__kind") == "depthUpdate")).withColumn("m", F.from_json("__raw", DEPTH_MESSAGE))
-    books = d.select(F.col("m.s").alias("symbol"), F.timestamp_millis("m.E").alias("ts"), F.col("m.b").alias("bids"), F.col("m.a").alias("asks"))
+    # paths tell upper from lower case, which struct fields don't
+    at = lambda path: F.get_json_object("__raw", f"$.{path}")
+    number = lambda name: at(f"k.{name}").try_cast("double")
+    when = lambda path: F.timestamp_millis(at(path).try_cast("bigint"))
+    names = {"o": "open", "h": "high", "l": "low", "c": "close", "q": "quote_volume", "Q": "taker_buy"}
+    candles = told.where(own & (F.col("__kind") == "kline")).select(F.col("__symbol").alias("symbol"), when("k.t").alias("ts"), when("E").alias("arrival"), *[number(k).alias(v) for k, v in names.items()], (number("q") - number("Q")).alias("taker_sell"), (number("Q") * 2 - number("q")).alias("delta"), at("k.x").try_cast("boolean").alias("closed"))
+    levels = lambda side: F.from_json(at(side), "array<array<string>>")
+    books = told.where(own & (F.col("__kind") == "depthUpdate")).select(F.col("__symbol").alias("symbol"), when("E").alias("ts"), levels("b").alias("bids"), levels("a").alias("asks"))
     rejected = told.where(~(own & F.coalesce(F.col("__kind").isin("kline", "depthUpdate"), F.lit(False)))).drop("__raw", "__kind", "__symbol")
     return candles, books, rejected
