@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.functions.html import feed_entries, tables
+from marketweave.functions.html import cards, feed_entries, plain_text, tables
 from marketweave.functions.numeric import flow_value
 from marketweave.functions.timegrid import parse_when
 
@@ -118,6 +118,49 @@ def announcements(df: DataFrame) -> DataFrame:
     return rows.select(*keep, "category", F.col("r.id").cast("string").alias("item_id"), F.col("r.code").alias("code"), F.col("r.title").alias("title"), F.timestamp_millis("r.releaseDate").alias("published"))
 
 
+POSTS = "array<struct<id: bigint, link: string, date_gmt: string, modified_gmt: string, title: struct<rendered: string>, excerpt: struct<rendered: string>, _embedded: struct<`wp:term`: array<array<struct<name: string, taxonomy: string>>>, author: array<struct<name: string>>>>>"
+
+
+def posts(df: DataFrame) -> DataFrame:
+    """News items of a blog's JSON list; a post without id, link or title is dropped."""
+    rows = _keep(df, F.from_json("payload", POSTS))
+    terms = F.flatten(F.coalesce("r._embedded.`wp:term`", F.array().cast("array<array<struct<name: string, taxonomy: string>>>")))
+    of = lambda kind: F.transform(F.filter(terms, lambda t: t["taxonomy"] == kind), lambda t: t["name"])
+    out = rows.select(
+        *[c for c in rows.columns if c != "r"],
+        F.col("r.id").cast("string").alias("item_id"),
+        F.col("r.link").alias("url"),
+        plain_text("r.title.rendered").alias("title"),
+        plain_text("r.excerpt.rendered").alias("summary"),
+        parse_when(F.col("r.date_gmt")).alias("published"),
+        parse_when(F.col("r.modified_gmt")).alias("updated"),
+        F.get("r._embedded.author", 0)["name"].alias("author"),
+        F.array_distinct(F.concat(of("category"), of("post_tag"))).alias("tags"),
+    )
+    return out.where("item_id IS NOT NULL AND url <> '' AND title <> ''")
+
+
+def _part(kind: str) -> Column:
+    """Text of a card's first part of a kind."""
+    return F.get(F.filter("r.parts", lambda p: F.contains(p["kind"], F.lit(kind))), 0)["text"]
+
+
+def incidents(df: DataFrame) -> DataFrame:
+    """Incident cards: day, target, description, loss, method and reference; cards without a day or target are dropped."""
+    rows = _keep(df, cards("payload"))
+    whole = F.array_join(F.transform("r.parts", lambda p: p["text"]), "\n")
+    said = lambda label: F.nullif(F.trim(F.regexp_extract(whole, rf"(?m)^{label}:\s*(.*)$", 1)), F.lit(""))
+    out = rows.select(*[c for c in rows.columns if c != "r"], F.to_date(F.try_to_timestamp(_part("time"), F.lit("yyyy-MM-dd"))).alias("day"), said("Hacked target").alias("target"), said("Description of the event").alias("description"), said("Amount of loss").alias("loss"), said("Attack method").alias("method"), F.nullif("r.href", F.lit("")).alias("reference"))
+    return out.where("day IS NOT NULL AND target IS NOT NULL")
+
+
+def press_releases(df: DataFrame, base: str = "") -> DataFrame:
+    """Cards of a press room: day, title, summary and link; cards that lack one are dropped."""
+    rows = _keep(df, cards("payload"))
+    out = rows.select(*[c for c in rows.columns if c != "r"], F.to_date(F.try_to_timestamp(_part("caption"), F.lit("MMMM d, yyyy"))).alias("day"), _part("h6").alias("title"), _part("paragraph").alias("summary"), F.concat(F.lit(base), "r.href").alias("url"))
+    return out.where("day IS NOT NULL AND title IS NOT NULL AND summary IS NOT NULL")
+
+
 def messages(df: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stream messages as (candles, books, rejected): by kind, of one symbol; works on batches and streams."""
     raw = F.coalesce(F.get_json_object("payload", "$.data"), F.col("payload"))

@@ -70,6 +70,18 @@ def test_feeds(spark):
     assert payloads.feed(one(spark, "<nonsense")).count() == 0
 
 
+def test_posts_and_cards(spark):
+    post = {"id": 5, "link": "https://x.org/5", "date_gmt": "2026-07-31T10:00:00", "title": {"rendered": "A &amp; <b>B</b>"}, "excerpt": {"rendered": "<p>s</p>"}, "_embedded": {"wp:term": [[{"name": "News", "taxonomy": "category"}], [{"name": "t", "taxonomy": "post_tag"}]], "author": [{"name": "N"}]}}
+    r = payloads.posts(one(spark, json.dumps([post, {"id": 6, "link": "", "title": {"rendered": "x"}}]))).collect()
+    assert len(r) == 1 and (r[0]["title"], r[0]["summary"], r[0]["author"], r[0]["tags"]) == ("A & B", "s", "N", ["News", "t"])
+    hacks = "<ul><li><span class='time'>2026-07-30</span><h3><em>Hacked target: </em>Bridge</h3><p><em>Description of the event: </em>It was exploited &amp; paused.</p><p><span><em>Amount of loss: </em>$ 1,250,000</span><span><em>Attack method: </em>Contract</span></p><p><a href='https://x.org/r'>ref</a></p></li><li><h3><em>Hacked target: </em>No day</h3></li></ul>"
+    h = payloads.incidents(one(spark, hacks)).collect()
+    assert len(h) == 1 and (h[0]["target"], h[0]["description"], h[0]["loss"], h[0]["method"], h[0]["reference"]) == ("Bridge", "It was exploited & paused.", "$ 1,250,000", "Contract", "https://x.org/r")
+    press = "<main><div role='listitem'><a href='/p/1'><p class='caption-disclosure'>July 31, 2026</p><p class='h6'>One</p><p class='paragraph-body'>First.</p></a></div><div role='listitem'><a href='/p/2'><p class='caption-disclosure'>July 30, 2026</p><p class='h6'>Two</p></a></div></main>"
+    p = payloads.press_releases(one(spark, press), "https://x.org").collect()
+    assert [(x["day"], x["title"], x["summary"], x["url"]) for x in p] == [(dt.date(2026, 7, 31), "One", "First.", "https://x.org/p/1")]
+
+
 def test_json_payloads(spark):
     row = [1785495600000, "1", "2", "0.5", "1.5", "10", 1785495659999, "15", 7, "4", "6", "0"]
     late = [1785495660000, "1", "2", "0.5", "1.5", "10", 1785495719999, "15", 7, "4", "6", "0"]
