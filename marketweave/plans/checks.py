@@ -80,7 +80,7 @@ def fact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents as facts; every third quotes what the document doesn't say."""
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     fact = lambda s, i: F.struct(s.alias("statement"), F.when(i % 5 == 4, "x").otherwise("reported").alias("claim_type"), F.when(i % 3 == 2, F.concat(s, F.lit(" never said"))).otherwise(s).alias("evidence_text"), F.when(i == 0, F.lit("2024-05-01")).alias("fact_time"))
-    rows = d.select(F.col("doc_id").alias("id"), F.lit("2024-05-01").alias("event_time"), F.transform(F.slice(F.split("text", r"\."), 1, 6), fact).alias("facts"), F.substring("text", 1, 40).alias("title"), F.lit("").alias("summary"), F.col("text").alias("body"))
+    rows = d.select(F.col("doc_id").alias("id"), F.lit("2024-05-01").alias("event_time"), F.transform(F.split("text", r"\."), fact).alias("facts"), F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"), F.lit("").alias("summary"), F.col("text").alias("body"))
     return V.fact_issues(rows, ["reported", "claimed"])
 
 

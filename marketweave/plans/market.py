@@ -116,11 +116,11 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(J.asof(left, right, ["user_id"], "ts", "seen", ["seen_id", "seen_value"]))
 
 
-@query("""SELECT e.event_id AS error_id, v.event_id, v.ts FROM events v JOIN events e ON v.event_type = e.event_type AND v.ts > e.ts - INTERVAL 5 MINUTE AND v.ts <= e.ts WHERE e.user_id % 10 = 3""")
+@query("""SELECT e.event_id AS error_id, v.event_id, v.ts FROM events v JOIN events e ON v.ts > e.ts - INTERVAL 5 MINUTE AND v.ts <= e.ts WHERE v.event_type = 'view' AND e.event_type = 'error'""")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    spans = e.where("user_id % 10 = 3").select("event_type", F.col("event_id").alias("error_id"), (F.col("ts") - F.expr("INTERVAL 5 MINUTES")).alias("start"), F.col("ts").alias("stop"))
-    return J.interval(e.select("event_type", "event_id", "ts"), spans, "event_type", "ts", "start", "stop", 300).select("error_id", "event_id", "ts")
+    e = table(spark, sf_dir, "events").withColumn("market", F.lit("ALL"))
+    spans = e.where("event_type = 'error'").select("market", F.col("event_id").alias("error_id"), (F.col("ts") - F.expr("INTERVAL 5 MINUTES")).alias("start"), F.col("ts").alias("stop"))
+    return J.interval(e.where("event_type = 'view'").select("market", "event_id", "ts"), spans, "market", "ts", "start", "stop", 300).select("error_id", "event_id", "ts")
 
 
 @query("""SELECT a.o_custkey, a.o_orderkey AS "left", b.o_orderkey AS "right", date_diff('day', a.o_orderdate::DATE, b.o_orderdate::DATE) AS gap
@@ -132,11 +132,11 @@ def range_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("o_custkey", "left", "right", F.datediff("right_day", "left_day").cast("bigint").alias("gap"))
 
 
-@query("""SELECT e.event_id AS run_id, count(*) AS minutes FROM events e JOIN events v ON e.event_type = v.event_type AND v.ts > e.ts - INTERVAL 1 HOUR AND v.ts <= e.ts WHERE e.user_id % 10 = 7 GROUP BY ALL""")
+@query("""SELECT e.event_id AS run_id, count(*) AS minutes FROM events e JOIN events v ON v.ts > e.ts - INTERVAL 1 HOUR AND v.ts <= e.ts WHERE e.event_type = 'signup' AND v.event_type = 'click' GROUP BY ALL""")
 def available_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    runs = e.where("user_id % 10 = 7").select("event_type", F.col("event_id").alias("run_id"), (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("start"), F.col("ts").alias("stop"))
-    return J.interval(e.select("event_type", "ts"), runs, "event_type", "ts", "start", "stop", 3600).groupBy("run_id").agg(F.count("*").alias("minutes"))
+    e = table(spark, sf_dir, "events").withColumn("market", F.lit("ALL"))
+    runs = e.where("event_type = 'signup'").select("market", F.col("event_id").alias("run_id"), (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("start"), F.col("ts").alias("stop"))
+    return J.interval(e.where("event_type = 'click'").select("market", "ts"), runs, "market", "ts", "start", "stop", 3600).groupBy("run_id").agg(F.count("*").alias("minutes"))
 
 
 @query("""SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'F')

@@ -16,6 +16,14 @@ from marketweave.streaming import minutes
 QUERIES, ORACLE_SQL = {}, {}
 
 
+_TITLE = "split_part(text, chr(10), 1)"
+
+
+def _title():
+    """A document's first line stands for its title."""
+    return F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL where there is one."""
 
@@ -38,33 +46,33 @@ def url_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
 
 
-@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN 'item:' || doc_id WHEN doc_id % 3 = 1 THEN 'url:https://' || source || '/' || doc_id
-ELSE 'fingerprint:2024-01-01T00:00:00:' || trim(substr(text, 1, 40)) END) AS identity FROM documents""")
+@query(f"""SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN 'item:' || doc_id WHEN doc_id % 3 = 1 THEN 'url:https://' || source || '/' || doc_id
+ELSE 'fingerprint:2024-01-01T00:00:00:' || trim({_TITLE}) END) AS identity FROM documents""")
 def identity_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 3
     item = F.when(kind == 0, F.col("doc_id").cast("string"))
     url = F.when(kind == 1, F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return d.select("doc_id", text.identity(item, url, at, F.substring("text", 1, 40)).alias("identity"))
+    return d.select("doc_id", text.identity(item, url, at, _title()).alias("identity"))
 
 
-@query("""WITH a AS (SELECT *, sha256(coalesce(text, '')) AS body, sha256(coalesce(substr(text, 1, 40), '')) AS head FROM documents),
+@query(f"""WITH a AS (SELECT *, sha256(coalesce(text, '')) AS body, sha256(coalesce({_TITLE}, '')) AS head FROM documents),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY source, body ORDER BY doc_id) = 1)
 SELECT doc_id, source FROM b QUALIFY row_number() OVER (PARTITION BY source, head ORDER BY doc_id) = 1""")
 def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.coalesce("text", F.lit(""))
-    items = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(whole, 256).alias("body"), F.sha2(F.substring(whole, 1, 40), 256).alias("head"))
+    digest = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    items = table(spark, sf_dir, "documents").select("doc_id", "source", digest(F.col("text")).alias("body"), digest(_title()).alias("head"))
     return N.dedup(items, "source", ["body", "head"], "doc_id").select("doc_id", "source")
 
 
 _GENERIC = ", ".join(f"'{w}'" for w in text.GENERIC_TITLE_TOKENS)
 
 
-@query(rf"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(lower(substr(text, 1, 80)), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ') AS w FROM documents)
+@query(rf"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' ') AS w FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(w, lambda x: len(x) >= 3 AND x NOT IN ({_GENERIC}) AND NOT regexp_matches(x, '^[0-9]+$')))), ' ') AS tokens FROM t""")
 def significant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = text.significant_tokens(F.substring("text", 1, 80))
+    tokens = text.significant_tokens(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
@@ -72,7 +80,7 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with titles, some of which meet a rule."""
     d = table(spark, sf_dir, "documents")
     lead = F.when(F.col("doc_id") % 11 == 0, "SEC approves spot Ethereum ETF ").when(F.col("doc_id") % 11 == 1, "Trading competition: ").when(F.col("doc_id") % 11 == 2, "Court denied  Ether ETF ").when(F.col("doc_id") % 11 == 3, "Word of the Day quiz ").otherwise("")
-    return d.select("doc_id", "source", F.concat(lead, F.substring("text", 1, 30)).alias("title"))
+    return d.select("doc_id", "source", F.concat(lead, _title()).alias("title"))
 
 
 def _rules_sql() -> str:
@@ -80,7 +88,7 @@ def _rules_sql() -> str:
     tests += [(f"source = 'src1' AND regexp_matches(t, '(?i){p}')", n, c) for n, p, c in N.EXCHANGE_RULES]
     tests += [(f"regexp_matches(t, '(?i){p}')", n, c) for n, p, c in N.ASSET_RULES]
     pick = lambda k: "CASE " + " ".join(f"WHEN {x[0]} THEN '{x[k]}'" for x in tests) + " END"
-    return f"""WITH d AS (SELECT doc_id, source, trim(regexp_replace(CASE doc_id % 11 WHEN 0 THEN 'SEC approves spot Ethereum ETF ' WHEN 1 THEN 'Trading competition: ' WHEN 2 THEN 'Court denied  Ether ETF ' WHEN 3 THEN 'Word of the Day quiz ' ELSE '' END || substr(text, 1, 30), '\\s+', ' ', 'g')) AS t FROM documents)
+    return f"""WITH d AS (SELECT doc_id, source, trim(regexp_replace(CASE doc_id % 11 WHEN 0 THEN 'SEC approves spot Ethereum ETF ' WHEN 1 THEN 'Trading competition: ' WHEN 2 THEN 'Court denied  Ether ETF ' WHEN 3 THEN 'Word of the Day quiz ' ELSE '' END || {_TITLE}, '\\s+', ' ', 'g')) AS t FROM documents)
     SELECT doc_id, {pick(1)} AS rule, {pick(2)} AS conclusion FROM d"""
 
 
@@ -99,14 +107,17 @@ def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.retained(results, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), now).select("id", "conclusion")
 
 
-@query(r"""WITH d AS (SELECT doc_id, substr(text, 1, 40) AS title, substr(text, 41, 200) AS summary, text AS body, CASE WHEN doc_id % 2 = 0 THEN substr(text, 60, 20) ELSE regexp_replace(substr(text, 30, 30), '\s+', '  ', 'g') END AS quote FROM documents),
+@query(r"""WITH d AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, split_part(text, chr(10), 2) AS summary, text AS body,
+    CASE doc_id % 3 WHEN 0 THEN split_part(text, chr(10), 2) WHEN 1 THEN regexp_replace(split_part(text, chr(10), 3), '\s+', '  ', 'g') ELSE regexp_replace(split_part(text, '. ', 2), '\s+', '  ', 'g') || 'x' END AS quote FROM documents),
 t AS (SELECT *, trim(regexp_replace(quote, '\s+', ' ', 'g')) AS q, trim(regexp_replace(title, '\s+', ' ', 'g')) AS t1, trim(regexp_replace(summary, '\s+', ' ', 'g')) AS s1, trim(regexp_replace(body, '\s+', ' ', 'g')) AS b1 FROM d)
 SELECT doc_id, CASE WHEN q = '' THEN NULL WHEN contains(title, quote) THEN 'title:exact' WHEN contains(summary, quote) THEN 'summary:exact' WHEN contains(body, quote) THEN 'body:exact'
 WHEN contains(t1, q) THEN 'title:normalized' WHEN contains(s1, q) THEN 'summary:normalized' WHEN contains(b1, q) THEN 'body:normalized' END AS match FROM t""")
 def evidence_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 60, 20)).otherwise(F.regexp_replace(F.substring("text", 30, 30), r"\s+", "  "))
-    rows = d.select("doc_id", F.substring("text", 1, 40).alias("title"), F.substring("text", 41, 200).alias("summary"), "text", quote.alias("quote"))
+    kind = F.col("doc_id") % 3
+    line = lambda n: F.split_part(F.col("text"), F.lit("\n"), F.lit(n))
+    wide = lambda c: F.regexp_replace(c, r"\s+", "  ")
+    quote = F.when(kind == 0, line(2)).when(kind == 1, wide(line(3))).otherwise(F.concat(wide(F.split_part(F.col("text"), F.lit(". "), F.lit(2))), F.lit("x")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", line(1).alias("title"), line(2).alias("summary"), "text", quote.alias("quote"))
     return rows.select("doc_id", text.evidence(F.col("quote"), F.col("title"), F.col("summary"), F.col("text")).alias("match"))
 
 
@@ -167,7 +178,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("turn = 0")
     words = F.split(text.normal(F.col("text")), " ")
     at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("conv_id") % 90) * 86_400)
-    return c.select(F.col("conv_id").alias("id"), F.pmod(F.xxhash64(F.get(words, 0)), F.lit(64)).alias("block"), at.alias("published"), F.substring("text", 1, 60).alias("event_title"), F.slice(words, 1, 2).alias("actors"), F.array_join(F.slice(words, 3, 3), " ").alias("action"), F.slice(words, 6, 1).alias("object"), F.lit("occurred").alias("event_status"), F.substring("text", 1, 200).alias("objective_summary"), F.col("role").alias("source"))
+    return c.select(F.col("conv_id").alias("id"), F.pmod(F.xxhash64(F.get(words, 0)), F.lit(64)).alias("block"), at.alias("published"), _title().alias("event_title"), F.slice(words, 1, 2).alias("actors"), F.array_join(F.slice(words, 3, 3), " ").alias("action"), F.slice(words, 6, 1).alias("object"), F.lit("occurred").alias("event_status"), F.col("text").alias("objective_summary"), F.col("role").alias("source"))
 
 
 @query()
@@ -203,12 +214,12 @@ def sample_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.minutes(rows).select("symbol", F.col("minute").cast("timestamp_ntz").alias("minute"), "samples", "bid_open", "bid_close", "bid_mean", "spread_p95", "coverage"))
 
 
-@query("""WITH u AS (SELECT event_type AS symbol, ts, value FROM events WHERE ts < TIMESTAMP '2024-01-01 06:00:00'),
-b AS (SELECT symbol, unnest(generate_series(date_trunc('second', min(ts)), date_trunc('second', max(ts)), INTERVAL 1 SECOND)) AS ts FROM u GROUP BY symbol)
+@query("""WITH u AS (SELECT event_type AS symbol, ts, value FROM events),
+b AS (SELECT symbol, unnest(generate_series(date_trunc('second', min(ts)), date_trunc('second', max(ts)), INTERVAL 1 MINUTE)) AS ts FROM u GROUP BY symbol)
 SELECT b.symbol, b.ts, round(u.value, 6) AS value, u.ts AS seen FROM b ASOF JOIN u ON b.symbol = u.symbol AND b.ts >= u.ts""")
 def sample_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-01 06:00:00").cast("timestamp_ntz"))
-    return rounded(D.sample_and_hold(e.select(F.col("event_type").alias("symbol"), "ts", "value")))
+    updates = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "value")
+    return rounded(D.sample_and_hold(updates, "1 MINUTE"))
 
 
 @query(f"SELECT {_BARS} FROM ({_bars_sql('hour', 'event_type')})")
