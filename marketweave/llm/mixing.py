@@ -6,7 +6,8 @@ hash of its id, so that reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a
 source without words has target 0 and rate 0; repeated rows with one id draw alike; a null id
-draws like any other value; an empty table gives an empty result; further columns are kept.
+draws like any other value; an empty table gives an empty result; further columns are kept (those
+of `copies` that are named as its results are replaced).
 """
 
 from __future__ import annotations
@@ -64,5 +65,6 @@ def copies(docs: DataFrame, per_source: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mixed corpus: the columns of docs, each document repeated as its source's rate asks."""
-    taken = copies(docs, rates(docs, share, cap, weights), seed).where("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    taken = copies(rows, rates(docs, share, cap, weights), seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -1,8 +1,8 @@
 """Personal data, and terms that give it away, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, payment card numbers and phone numbers. The terms
-are found by information: a term that stands next to a protected entity in at least SUPPORT
-different contexts, and whose presence in a document tells at least THRESHOLD of the entity's
+are found by information: a term that stands next to a protected entity in contexts of a
+min-entropy of at least SUPPORT equally frequent ones, and whose presence in a document tells at least THRESHOLD of the entity's
 information content, log(p(entity | term) / p(entity)) / -log p(entity), discloses the entity.
 Such terms are spans of kind "term" in every document that names the entity.
 
@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import small, text_of
+from marketweave.llm.common import cut, saved, small, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -80,10 +80,17 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
+def _disclosure(documents: str) -> Column:
+    """Share of an entity's information that a term of so many documents tells."""
+    given = F.least(F.col("together") / F.col(documents), F.lit(1.0))
+    return F.log(given * F.col("n") / F.col("with_entity")) / F.greatest(F.log(F.col("n") / F.col("with_entity")), F.lit(1e-9))
+
+
 def disclosing(docs: DataFrame, marked: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(term, entity, disclosure) from docs (text) and marked (key, text, spans).
 
-    Contexts that repeat word for word, as in copies, are one context.
+    Support is the contexts' min-entropy, as a number: occurrences over those of the most frequent
+    context. Copies and near copies, most of whose contexts are one, don't support a term.
     """
     near = marked.where(F.size("spans") > 0).select("key", "text", F.explode("spans").alias("x"))
     start, end = F.col("x.start"), F.col("x.end")
@@ -92,24 +99,27 @@ def disclosing(docs: DataFrame, marked: DataFrame, support: int = SUPPORT, thres
     # a word that the reach cuts off is no term: the outermost parts go
     left = F.when(start > REACH, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
     right = F.when(F.char_length("text") > end + REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    near = near.select(F.lower("x.value").alias("entity"), F.concat_ws(" ", left, right).alias("context")).distinct()
-    named = near.select("entity", F.explode(_words(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"))
-    candidates = named.where((F.col("together") >= support) & (F.char_length("term") > 1))
+    near = near.select(F.lower("x.value").alias("entity"), F.xxhash64("text").alias("h"), F.concat_ws(" ", left, right).alias("context"))
+    contexts = near.distinct().groupBy("entity", "context").agg(F.count("*").alias("times"))
+    named = contexts.select("entity", "times", F.explode(_words(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"), (F.sum("times") / F.max("times")).alias("support"))
     entities = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"), F.xxhash64("text").alias("h")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    # documents in which a term stands next to any entity: where these alone rule it out, the others aren't counted
+    met = near.select("h", F.explode(_words(F.col("context"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("met"))
+    texts = docs.select(F.xxhash64("text").alias("h")).distinct().count()
+    likely = named.where((F.col("support") >= support) & (F.char_length("term") > 1)).join(met, "term").join(entities, "entity").withColumn("n", F.lit(texts))
+    candidates = cut(likely.where(_disclosure("met") >= threshold).drop("met"))
     terms = small(candidates.select("term").distinct())
     # every document counts; equal texts count once, on both sides
     frequency = docs.select(F.explode(_words(F.col("text"))).alias("term"), F.xxhash64("text").alias("h")).join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.select(F.xxhash64("text").alias("h")).distinct().agg(F.count("*").alias("n"))
-    scored = candidates.join(frequency, "term").join(entities, "entity").crossJoin(F.broadcast(total))
-    revealed = F.log(F.least(F.col("together") / F.col("with_term"), F.lit(1.0)) * F.col("n") / F.col("with_entity")) / F.greatest(F.log(F.col("n") / F.col("with_entity")), F.lit(1e-9))
-    return scored.withColumn("disclosure", revealed).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
+    scored = candidates.join(frequency, "term").withColumn("disclosure", _disclosure("with_term"))
+    return scored.where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
 
 
 def marked(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with text (never null), base and spans: arrays of (start, rank, kind, end, value)."""
     whole = docs.withColumn("text", text_of())
     base = whole.withColumn("base", base_spans())
-    keyed = base.where(F.size("base") > 0).select(F.col("doc_id").alias("key"), "text", F.col("base").alias("spans"))
+    keyed = saved(base.where(F.size("base") > 0).select(F.col("doc_id").alias("key"), "text", F.col("base").alias("spans")))
     told = disclosing(whole.select("text"), keyed, support, threshold)
     at = keyed.select("key", "text", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
     hits = at.join(small(told.select("term", "entity")), "entity").select("key", "text", "term").distinct()
@@ -139,7 +149,8 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHO
                 WHEN s.start < acc.at THEN struct(acc.parts AS parts, s.end AS at)
                 ELSE struct(concat(acc.parts, array(substr(text, acc.at + 1, s.start - acc.at), concat('[', upper(s.kind), ']'))) AS parts, s.end AS at) END,
             acc -> concat(array_join(acc.parts, ''), substr(text, acc.at + 1))) END""")
-    return marked(docs, support, threshold).withColumn("text", cleaned).select(*docs.columns)
+    rows = marked(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), support, threshold)
+    return rows.withColumn("text", cleaned).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def find(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:

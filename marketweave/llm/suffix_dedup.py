@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from marketweave.llm.common import saved, text_of
 
 LENGTH, GRAM = 400, 16
-BUCKET = 256
+#: Regions of a gram that meet in one array: a few MB at most.
+BUCKET = 4096
 #: Bytes of texts that a task hashes at once, and of regions that share a suffix array.
 CHUNK, ARRAY = 4_000_000, 400_000
 _rng = np.random.default_rng(17)
