@@ -199,16 +199,19 @@ def _in_arrays(regions: DataFrame, length: int) -> DataFrame:
         ends = np.cumsum([len(r[3]) for r in rows])
         starts = np.concatenate([[0], ends[:-1]])
         _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        found_at, found_size = [], []
+        # the longest repeat from each place; what overlaps or touches in a region is one span
+        reach = np.zeros(len(data), dtype=np.int64)
         for size, places in repeats(data, starts, ends, group, 256 + np.arange(len(rows)), length):
-            found_at += places
-            found_size += [size] * len(places)
-        if not found_at:
+            reach[places] = np.maximum(reach[places], size)
+        at = np.flatnonzero(reach)
+        if not len(at):
             return None
-        at, size = np.array(found_at), np.array(found_size)
         row = np.searchsorted(ends, at, side="right")
-        base = np.array([r[2] for r in rows])[row] + at - starts[row]
-        return pa.RecordBatch.from_pydict({"doc": np.array([r[1] for r in rows])[row], "start": base, "stop": base + size})
+        stop = np.maximum.accumulate(at + reach[at])  # no repeat goes beyond its region
+        opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > stop[:-1])]))
+        first, last, row = at[opens], stop[np.append(opens[1:], len(at)) - 1], row[opens]
+        base = np.array([r[2] for r in rows])[row] - starts[row]
+        return pa.RecordBatch.from_pydict({"doc": np.array([r[1] for r in rows])[row], "start": base + first, "stop": base + last})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
