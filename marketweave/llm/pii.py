@@ -1,9 +1,11 @@
 """Personal data, and terms that give it away, in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, payment card numbers and phone numbers. The terms
-are found by information: a term that stands next to a protected entity in contexts of a
-min-entropy of at least SUPPORT equally frequent ones, and whose presence in a document tells at least THRESHOLD of the entity's
+are found by information: a term that stands next to a protected entity in at least SUPPORT groups
+of near copies, and whose presence in a document tells at least THRESHOLD of the entity's
 information content, log(p(entity | term) / p(entity)) / -log p(entity), discloses the entity.
+Copies of a document add no support and take none away; a passage that different documents share
+counts once for each of them.
 Such terms are spans of kind "term" in every document that names the entity.
 
 Base patterns are matched leftmost and without overlap per kind. Possessive forms and the look
@@ -16,12 +18,13 @@ table gives an empty result; further columns are kept by `sanitise` and ignored
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import cut, saved, small, text_of
+from marketweave.llm.common import components, cut, saved, small, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -35,6 +38,9 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](
 #: Characters on each side of an entity in which terms stand next to it.
 REACH = 48
 SUPPORT, THRESHOLD = 3, 0.8
+#: Near copies: least hashes of runs of three words, in bands of so many; how many must agree in texts of at least LONG runs, and in shorter ones.
+HASHES, BAND = 32, 4
+LONG, AGREE_LONG, AGREE_SHORT = 64, 20, 26
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -80,17 +86,35 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
 
 
-def _disclosure(documents: str) -> Column:
+def _disclosure(together: str, documents: str) -> Column:
     """Share of an entity's information that a term of so many documents tells."""
-    given = F.least(F.col("together") / F.col(documents), F.lit(1.0))
+    given = F.least(F.col(together) / F.col(documents), F.lit(1.0))
     return F.log(given * F.col("n") / F.col("with_entity")) / F.greatest(F.log(F.col("n") / F.col("with_entity")), F.lit(1e-9))
 
 
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(h, root) of the texts (h, text), h different, that have near copies among them: root is the same within a group.
+
+    Texts that share a band of least hashes are compared with the first of them only, so no pairs are made.
+    """
+    rng = random.Random(11)
+    salts = [rng.getrandbits(32) - (1 << 31) for _ in range(HASHES)]
+    words = texts.select("h", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)).alias("w"))
+    runs = words.select("h", F.expr("transform(sequence(0, greatest(size(w) - 3, 0)), i -> hash(get(w, i), get(w, i + 1), get(w, i + 2)))").alias("runs"))
+    signs = runs.select("h", F.size("runs").alias("n"), F.array(*[F.expr(f"array_min(transform(runs, x -> x ^ ({c})))") for c in salts]).alias("sign"))
+    bands = F.array(*[F.xxhash64(F.lit(i), *[F.col("sign")[i + j] for j in range(BAND)]) for i in range(0, HASHES, BAND)])
+    rows = cut(signs).select("h", "n", "sign", F.explode(bands).alias("band"))
+    first = rows.groupBy("band").agg(F.min(F.struct("h", "n", "sign")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    agree = F.expr("size(filter(zip_with(sign, first.sign, (a, b) -> a = b), x -> x))")
+    enough = F.when(F.least("n", "first.n") >= LONG, AGREE_LONG).otherwise(AGREE_SHORT)
+    edges = rows.join(first, "band").where((F.col("h") != F.col("first.h")) & (agree >= enough)).select(F.col("h").alias("u"), F.col("first.h").alias("v"))
+    return components(edges).select(F.col("node").alias("h"), "root")
+
+
 def disclosing(docs: DataFrame, marked: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(term, entity, disclosure) from docs (text) and marked (key, text, spans).
 
-    Support is the contexts' min-entropy, as a number: occurrences over those of the most frequent
-    context. Copies and near copies, most of whose contexts are one, don't support a term.
+    Support is the number of groups of near copies in which the term stands next to the entity.
     """
     near = marked.where(F.size("spans") > 0).select("key", "text", F.explode("spans").alias("x"))
     start, end = F.col("x.start"), F.col("x.end")
@@ -100,18 +124,25 @@ def disclosing(docs: DataFrame, marked: DataFrame, support: int = SUPPORT, thres
     left = F.when(start > REACH, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
     right = F.when(F.char_length("text") > end + REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
     near = near.select(F.lower("x.value").alias("entity"), F.xxhash64("text").alias("h"), F.concat_ws(" ", left, right).alias("context"))
-    contexts = near.distinct().groupBy("entity", "context").agg(F.count("*").alias("times"))
-    named = contexts.select("entity", "times", F.explode(_words(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"), (F.sum("times") / F.max("times")).alias("support"))
-    entities = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"), F.xxhash64("text").alias("h")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    groups = near_copies(marked.where(F.size("spans") > 0).select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]))
+    beside = near.select("entity", "h", F.explode(_words(F.col("context"))).alias("term")).where(F.char_length("term") > 1).distinct()
+    named = beside.join(groups, "h", "left").select("entity", "term", F.coalesce("root", "h").alias("root")).distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
+    at = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"), F.xxhash64("text").alias("h")).distinct()
+    entities = at.groupBy("entity").agg(F.count("*").alias("with_entity"))
     # documents in which a term stands next to any entity: where these alone rule it out, the others aren't counted
-    met = near.select("h", F.explode(_words(F.col("context"))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("met"))
+    met = beside.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("met"))
     texts = docs.select(F.xxhash64("text").alias("h")).distinct().count()
-    likely = named.where((F.col("support") >= support) & (F.char_length("term") > 1)).join(met, "term").join(entities, "entity").withColumn("n", F.lit(texts))
-    candidates = cut(likely.where(_disclosure("met") >= threshold).drop("met"))
+    likely = named.where(F.col("support") >= support).join(met, "term").join(entities, "entity").withColumn("n", F.lit(texts))
+    candidates = cut(likely.where(_disclosure("with_entity", "met") >= threshold).select("term", "entity", "with_entity", "n"))
     terms = small(candidates.select("term").distinct())
-    # every document counts; equal texts count once, on both sides
-    frequency = docs.select(F.explode(_words(F.col("text"))).alias("term"), F.xxhash64("text").alias("h")).join(terms, "term").distinct().groupBy("term").agg(F.count("*").alias("with_term"))
-    scored = candidates.join(frequency, "term").withColumn("disclosure", _disclosure("with_term"))
+
+    def holding(frame: DataFrame) -> DataFrame:
+        return frame.select(F.explode(_words(F.col("text"))).alias("term"), F.xxhash64("text").alias("h")).join(terms, "term").distinct()
+
+    # every document counts; equal texts count once, on all sides
+    frequency = holding(docs).groupBy("term").agg(F.count("*").alias("with_term"))
+    both = holding(marked).join(candidates.select("term", "entity"), "term").join(at, ["h", "entity"]).groupBy("term", "entity").agg(F.count("*").alias("together"))
+    scored = candidates.join(both, ["term", "entity"]).join(frequency, "term").withColumn("disclosure", _disclosure("together", "with_term"))
     return scored.where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
 
 

@@ -328,6 +328,40 @@ def test_pii_finds_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "zorblax" not in clean[0] and "ann@" not in clean[0] and clean[100] == rows[5][1]
 
 
+def _terms(spark, texts):
+    """Words of term spans by document."""
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: {texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "term"} for r in got}
+
+
+def test_pii_copies_add_and_take_no_support(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    said = lambda k: " ".join(rng.choices(words, k=k))
+    left, right = said(60), said(60)
+    copies = [f"{said(1)} {left} zorblax ann@corp.org {right}" for _ in range(30)]
+    others = [f"{said(60)} zorblax ann@corp.org {said(60)}" for _ in range(12)]
+    signed = [f"{said(60)} kind regards from the northern office of Velquist Trading, bob@corp.org, which sends this to nobody else at any time" for _ in range(20)]
+    # copies of which each has one change beside the entity
+    changed = [f"{left} plimworth {said(1)} eve@corp.org {right} {said(1)}" for _ in range(30)]
+    plain = [said(100) for _ in range(400)]
+    found = _terms(spark, copies + others + signed + changed + plain)
+    assert all("zorblax" in found[i] for i in range(42))
+    assert all("Velquist" in found[i] for i in range(42, 62))
+    assert not any("plimworth" in found[i] for i in range(62, 92))
+    assert not any(found[i] for i in range(92, len(found)))
+
+
+def test_pii_counts_documents_that_hold_both(spark):
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(2000)]
+    said = lambda k: " ".join(rng.choices(words, k=k))
+    # in five of 40 documents the term is beside the entity, in the others far from it
+    texts = [f"{said(40)} zorblax ann@corp.org {said(40)}" if i < 5 else f"zorblax {said(40)} ann@corp.org {said(40)}" for i in range(40)]
+    found = _terms(spark, texts + [said(80) for _ in range(400)])
+    assert all("zorblax" in found[i] for i in range(40))
+
+
 def test_pii_long_runs_do_not_overflow(spark):
     texts = ["1 " * 20_000, "1-" * 20_000 + "1", "a." * 20_000 + "@b", "x@" + "a." * 20_000 + "b", "+1" + "(" * 20_000 + "2"]
     got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
