@@ -42,8 +42,8 @@ from marketweave.llm.common import cut
 DISCOUNT = 0.75
 #: Characters of a batch of documents; distinct bigrams that a shard is meant for.
 BATCH_CHARS, SHARD_BIGRAMS = 10_000_000, 1_500_000
-#: Quantised probabilities: 0 is none, others are steps of log10.
-STEP = 7.0 / 254
+#: Steps of log10 between the least and the greatest discounted count of a context.
+STEPS = 254
 
 _squeeze = zstandard.ZstdCompressor(level=1)
 _expand = zstandard.ZstdDecompressor()
@@ -57,13 +57,22 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(_expand.decompress(data), dtype=dtype)
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    """Codes 1..255 of probabilities above 0, and 0."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(-np.log10(p) / STEP), 0, 254) + 1, 0).astype(np.uint8)
+def _step(counts: np.ndarray) -> np.ndarray:
+    return np.log10((np.maximum(counts, 1) - DISCOUNT) / (1 - DISCOUNT)) / STEPS
 
 
-PROBABILITY = np.concatenate([[0.0], 10.0 ** (-STEP * np.arange(255))])
+def quantise(bigrams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Codes 1..255 of bigram counts above 0 in contexts of so many tokens, and 0.
+
+    1 is a bigram seen once, 255 one that fills its context; the steps between follow the context, so nothing is clipped.
+    """
+    above = np.log10((np.maximum(bigrams, 1) - DISCOUNT) / (1 - DISCOUNT))
+    return np.where(bigrams > 0, np.rint(above / np.maximum(_step(counts), 1e-9)) + 1, 0).astype(np.uint8)
+
+
+def probability(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Discounted probabilities of codes in contexts of so many tokens."""
+    return np.where(codes > 0, (1 - DISCOUNT) * 10.0 ** (_step(counts) * (codes.astype(np.float64) - 1)) / np.maximum(counts, 1), 0.0)
 
 
 class Monotone:
@@ -166,8 +175,8 @@ class Trie:
         first = Monotone.encode(contexts - self.base, high - low)
         pointers = Monotone.encode(np.concatenate([[0], np.cumsum(kinds)]), len(owner) + 1)
         second = Monotone.encode(owner.astype(np.uint64) << np.uint64(32) | successors.astype(np.uint64), max(1, len(contexts)) << 32)
-        probability = quantise(np.maximum(bigrams - DISCOUNT, 0) / np.maximum(counts[owner], 1))
-        parts = [x for m in (first, pointers, second) for x in (m.low, m.high, m.zeros)] + [counts.astype(np.uint32), probability]
+        codes = quantise(bigrams, counts[owner])
+        parts = [x for m in (first, pointers, second) for x in (m.low, m.high, m.zeros)] + [counts.astype(np.uint32), codes]
         handle, self.path = tempfile.mkstemp(suffix=".trie")
         with os.fdopen(handle, "wb") as out:
             for x in parts:
@@ -373,7 +382,7 @@ def _score(batches: DataFrame, answers: DataFrame, bits: int, n: int, v: int) ->
         base = np.log10((count + 1) / (n + v + 1))
         seen = count[b.owner] > 0
         share = np.where(seen, DISCOUNT * kind[b.owner] / np.maximum(count[b.owner], 1), 1.0)
-        p = np.log10(PROBABILITY[code] + share * 10.0 ** base[b.successor])
+        p = np.log10(probability(code, count[b.owner]) + share * 10.0 ** base[b.successor])
         starts = b.ends - b.sizes - 1
         whole = lambda x: np.add.reduceat(x, starts)
         return pa.table({

@@ -272,6 +272,19 @@ def test_lm_scores(docs, rows):
             assert abs(r["score"] - total) <= 0.015 * len(words)  # half a step of the codes
 
 
+def test_lm_probabilities_are_not_clipped():
+    counts = np.array([1, 40, 100_000_000])
+    owner = np.array([0] + [1] * 3 + [2] * 1000)
+    bigrams = np.array([1, 1, 3, 36] + [1] * 998 + [5_000_000, 94_999_002])
+    trie = lm_scoring.Trie(np.array([5, 9, 12], dtype=np.uint64), counts, owner, np.arange(len(owner), dtype=np.uint32), bigrams, 0, 1 << 64)
+    codes = trie.codes(owner, np.arange(len(owner), dtype=np.uint64))
+    trie.close()
+    found, want = lm_scoring.probability(codes, counts[owner]), (bigrams - 0.75) / counts[owner]
+    assert np.allclose(found[bigrams == 1], want[bigrams == 1], rtol=1e-9)
+    assert (np.abs(np.log10(found / want)) <= 0.018).all()
+    assert (lm_scoring.probability(np.zeros(3, np.uint8), counts) == 0).all()
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, universe in ((0, 10), (1, 1), (500, 700), (3000, 1 << 50), (70_000, 1 << 20)):
