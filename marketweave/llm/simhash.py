@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm import pairing
-from marketweave.llm.common import components, cut
+from marketweave.llm.common import components, cut, small
 
 BLOCKS, SAME = 6, 3
 SEED = 42
@@ -52,14 +52,14 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long), one row per document."""
+    """doc_id, fp (the 64 bits as a signed long) and h, a hash of the text, one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), words_per_shingle) for x in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": found.view(np.int64)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": found.view(np.int64), "h": batch.column("h")})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def masks() -> list[int]:
@@ -86,17 +86,29 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     return pairing.linked(rows, prepare, near).where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")).distinct()
 
 
+def _placed(prints: DataFrame, distance: int) -> DataFrame:
+    """Per fp: least, its least doc_id, and root, the same for all fp of a component."""
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    tree = components(links(classes.select("fp"), distance))
+    return classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def clusters(docs: DataFrame, words_per_shingle: int = 3, distance: int = 3) -> DataFrame:
     """Per document: doc_id, fp and component_id, the least doc_id of its component."""
     prints = cut(fingerprints(docs, words_per_shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    tree = components(links(classes.select("fp"), distance))
-    placed = classes.join(tree, classes["fp"] == tree["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(prints, distance)
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(lowest, "root").select("fp", "component_id"), "fp")
+    return prints.drop("h").join(placed.join(lowest, "root").select("fp", "component_id"), "fp")
 
 
 def representatives(docs: DataFrame, words_per_shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One document of each component: the one of least doc_id. Rows of a null doc_id stay."""
-    kept = clusters(docs, words_per_shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One row of each component: of least doc_id, nulls last, then of least hash of the text, then of the whole row."""
+    prints = cut(fingerprints(docs, words_per_shingle))
+    rows = prints.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "h", "times"))
+    kept = cut(rows.join(_placed(prints, distance), "fp").groupBy("root").agg(first.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.h").alias("__h"), F.col("x.times").alias("__times")))
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__h"))
+    single = docs.join(kept.where("__times = 1"), match, "left_semi")
+    # of rows equal in id and text, one stays
+    repeated = docs.join(small(kept.where("__times > 1")), match).groupBy("__id", "__h").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return single.unionByName(repeated.select("row.*"))

@@ -205,6 +205,18 @@ def test_simhash_components(docs, rows):
     assert kept == sorted(set(want.values()))
 
 
+def test_simhash_keeps_one_row_of_each_component(spark):
+    text = "one text of which there are many rows, with and without ids"
+    other, lone = "quite another text which has rows without ids only", "a third text that stands alone"
+    rows = [(3, text, "a")] * 4 + [(3, text, "b"), (5, text, "a"), (None, text, "a"), (None, text, "a")]
+    rows += [(None, other, "a")] * 3 + [(None, other, "b"), (3, lone, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = simhash.representatives(frame)
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(3, text), (0, other), (3, lone)])
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, simhash.representatives(frame.repartition(2)).collect()))
+
+
 def test_simhash_links_across_hot_buckets(spark):
     rng = np.random.default_rng(5)
     base = int(rng.integers(0, 1 << 62))
