@@ -32,16 +32,21 @@ def interval(points: DataFrame, spans: DataFrame, key: str, ts: str, start: str,
     return points.withColumn("__b", bucket(F.col(ts))).join(spans.withColumn("__b", near), [key, "__b"]).where((F.col(ts) > F.col(start)) & (F.col(ts) <= F.col(stop))).drop("__b")
 
 
-def band_pairs(df: DataFrame, key: str, day: str, id_: str, days: int) -> DataFrame:
+def band_pairs(df: DataFrame, key: str, day: str, id_: str, days: int, tiles: int = 1) -> DataFrame:
     """Pairs (left, right) of a key at most `days` apart, left earlier or, on one day, of lower id.
 
-    An equi join on buckets of `days` days: each row meets its own and the next bucket.
+    An equi join on buckets of `days` days: each row meets its own and the next bucket. The pairs of
+    a bucket are dealt over `tiles` x `tiles` join keys by hash of the ids, for keys with many rows.
     """
     bucket = F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / days)
     a = df.select(key, F.col(day).alias("left_day"), F.col(id_).alias("left"), F.explode(F.array(bucket, bucket + 1)).alias("__b"))
     b = df.select(key, F.col(day).alias("right_day"), F.col(id_).alias("right"), bucket.alias("__b"))
+    tile, every = lambda side: F.pmod(F.xxhash64(side), F.lit(tiles)), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    if tiles > 1:
+        a = a.withColumn("__l", tile("left").cast("int")).withColumn("__r", every)
+        b = b.withColumn("__r", tile("right").cast("int")).withColumn("__l", every)
     gap = F.datediff("right_day", "left_day")
-    return a.join(b, [key, "__b"]).where(gap.between(0, days) & ((gap > 0) | (F.col("left") < F.col("right")))).drop("__b")
+    return a.join(b, [key, "__b", *(["__l", "__r"] if tiles > 1 else [])]).where(gap.between(0, days) & ((gap > 0) | (F.col("left") < F.col("right")))).drop("__b", "__l", "__r")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

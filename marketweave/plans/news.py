@@ -178,7 +178,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("turn = 0")
     words = F.split(text.normal(F.col("text")), " ")
     at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("conv_id") % 90) * 86_400)
-    return c.select(F.col("conv_id").alias("id"), F.pmod(F.xxhash64(F.get(words, 0)), F.lit(64)).alias("block"), at.alias("published"), _title().alias("event_title"), F.slice(words, 1, 2).alias("actors"), F.array_join(F.slice(words, 3, 3), " ").alias("action"), F.slice(words, 6, 1).alias("object"), F.lit("occurred").alias("event_status"), F.col("text").alias("objective_summary"), F.col("role").alias("source"))
+    return c.select(F.col("conv_id").alias("id"), at.alias("published"), _title().alias("event_title"), F.slice(words, 1, 2).alias("actors"), F.array_join(F.slice(words, 3, 3), " ").alias("action"), F.slice(words, 6, 1).alias("object"), F.lit("occurred").alias("event_status"), F.col("text").alias("objective_summary"), F.col("role").alias("source"))
 
 
 @query()

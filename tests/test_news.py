@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketweave.functions import html, text
 from marketweave.operators import events as E
 from marketweave.operators import news as N
+from marketweave.plans import news
 from marketweave.sources import paged, payloads
 from marketweave.streaming import minutes
 
@@ -171,6 +172,22 @@ def test_candidates_and_groups(spark):
     assert (rolled[1]["size"], rolled[1]["status"], rolled[3]["status"]) == (2, "provisional", "provisional")
 
 
+def test_candidate_pairs_equal_brute_force(spark, tmp_path):
+    heads = ["Today", "Reports", "Later", "Sources", "Everyone", "Nobody", "Officials", "Hackers"]
+    texts = [f"{h} lazarus group {'drained' if i % 2 else 'drains'} the bridge ronin after an exploit{' in march' * (i % 3)}" for i, h in enumerate(heads)]
+    texts += ["Plain weather stays mild over hills", "Other gardens bloom early near lakes"]
+    rows = [(i * 11 % 90, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    facts = [r.asDict() for r in news._facts(spark, str(tmp_path)).collect()]
+    want = set()
+    for b in facts:
+        near = [a for a in facts if 0 <= (gap := (b["published"].date() - a["published"].date()).days) <= 14 and (gap or a["id"] < b["id"])]
+        scored = sorted((-E.similarity(a, b), a["id"]) for a in near if E.similarity(a, b) >= 0.20 and E.anchor(a, b))
+        want |= {(a, b["id"]) for _, a in scored[:5]}
+    found = {(r["left"], r["right"]) for r in news.candidate_pairs(spark, str(tmp_path)).collect()}
+    assert found == want and len(want) > 5
+
+
 def test_streams_equal_batches(spark, tmp_path):
     at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
     rows = [("E", at(s), i, float(s % 7), 0.0) for i, s in enumerate(range(0, 400, 13))]
