@@ -12,8 +12,8 @@ bigrams with their training counts, once each. A shard owns a range of word hash
 adds the counts up and builds its trie: level 1 has the contexts with counts, level 2 their
 successors with quantised discounted probabilities, both Elias-Fano coded monotone sequences joined
 by monotone pointers, in one memory-mapped file. The batch's questions are answered by successor
-search within the range of their context, in the order in which they came, and the batch puts the
-answers back to its tokens. So counts are exact over the whole training corpus, a model of any
+search for (context position, successor), in the order in which they came, and the batch puts the
+answers back to its tokens; the pointers give the number of different successors. So counts are exact over the whole training corpus, a model of any
 size is spread over the shards, and nothing goes through the driver but a few sums.
 
 A context with more tokens than a shard should hold is dealt over shards by its successors.
