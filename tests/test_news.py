@@ -172,6 +172,14 @@ def test_candidates_and_groups(spark):
     assert (rolled[1]["size"], rolled[1]["status"], rolled[3]["status"]) == (2, "provisional", "provisional")
 
 
+def test_components_that_do_not_settle_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "left long, right long")
+    nodes = spark.createDataFrame([(i,) for i in range(41)], "id long")
+    assert {r["component"] for r in E.component_of(edges, nodes).collect()} == {0}
+    with pytest.raises(RuntimeError, match="did not settle"):
+        E.component_of(edges, nodes, rounds=1)
+
+
 def test_candidate_pairs_equal_brute_force(spark, tmp_path):
     heads = ["Today", "Reports", "Later", "Sources", "Everyone", "Nobody", "Officials", "Hackers"]
     texts = [f"{h} lazarus group {'drained' if i % 2 else 'drains'} the bridge ronin after an exploit{' in march' * (i % 3)}" for i, h in enumerate(heads)]
