@@ -1,20 +1,24 @@
 """Passages that occur again anywhere in the corpus, found in enhanced suffix arrays.
 
-Two equal strings of LENGTH bytes have the same least gram: of their GRAM-byte grams the one of
-least hash, the rightmost of equals. So every window of LENGTH bytes is owned by its least gram
+Two equal strings of LEAST bytes have the same least gram: of their GRAM-byte grams the one of
+least hash, the rightmost of equals. So every window of LEAST bytes is owned by its least gram
 (its anchor), and equal windows meet under equal anchors at equal offsets. An anchor's region is
-the bytes of all windows that it owns in its document.
-
-1. Every anchor sends its gram's and its region's hash. A region that stands twice is repeated as a
-   whole: copies of documents and the inner parts of passages end here.
-2. Where one gram anchors different regions, one example of each region is fetched, and the regions
-   of a gram are put into one enhanced suffix array. A stack scan over its longest common prefixes
-   gives the intervals of suffixes that share LENGTH bytes or more; those whose occurrences are
-   preceded by different bytes are the maximal repeats, with all their occurrences.
-3. Grams that anchor over BUCKET different regions don't meet in one task: each of their windows is
-   counted by its hash instead, which finds the same repeated windows.
-
-Spans are joined per document and cut out.
+the bytes of all windows that it owns in its document, and on to LENGTH bytes from the last.
+
+1. Regions that are equal are one string with all its occurrences; that string is a repeat as a
+   whole, of which no array can tell more.
+2. The different regions of a gram are put into one suffix array, made by prefix doubling. A stack
+   scan over its longest common prefixes gives the intervals of suffixes that share LEAST bytes or
+   more; those whose occurrences are preceded by different bytes are the maximal repeats, with all
+   their occurrences.
+3. A gram of over BUCKET different regions is split further before that: its windows are taken in
+   blocks of consecutive offsets, and regions go on together only where they agree in the bytes that
+   all windows of the block hold. Equal parts become one string again, and what is still too large is
+   split by smaller blocks, down to single windows. So an array has BUCKET regions at most, whatever
+   the gram.
+
+Repeats of LENGTH bytes or more are joined per document and cut out; those of LEAST or more are
+counted beside.
 
 Defined cases: a null text is empty; a text shorter than LENGTH bytes keeps all its bytes; equal
 rows are copies of each other; matches never cross documents; an empty table gives an empty
@@ -25,21 +29,24 @@ result; further columns are ignored. Equality of regions is judged by 64 bits of
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketweave.llm.common import saved, text_of
 
-LENGTH, GRAM = 400, 16
-#: Regions of a gram that meet in one array: a few MB at most.
-BUCKET = 4096
+LENGTH, LEAST, GRAM = 400, 300, 16
+#: Different regions of a gram that meet in one array; offsets of the blocks by which larger ones are split.
+BUCKET, BLOCKS = 256, (64, 8, 1)
 #: Bytes of texts that a task hashes at once, and of regions that share a suffix array.
 CHUNK, ARRAY = 4_000_000, 400_000
+#: Symbols of 9 bits (byte + 1, or 0 beyond the end) in a word of the first sort.
+SYMBOLS = 7
 _rng = np.random.default_rng(17)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,221 +88,333 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - have : width - have + n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, least_: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor, first and last owned window start, gram hash) of the anchors of one run of bytes."""
     hashes = rolling(data, gram)
     rank = (hashes >> np.uint64(_PLACE)) << np.uint64(_PLACE) | (np.uint64((1 << _PLACE) - 1) - np.arange(len(hashes), dtype=np.uint64))
-    low = least(rank, length - gram + 1)
+    low = least(rank, least_ - gram + 1)
     at = (np.uint64((1 << _PLACE) - 1) - (low & np.uint64((1 << _PLACE) - 1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     last = np.append(first[1:], len(at)) - 1
     return at[first], first, last, hashes[at[first]]
 
 
-def occurrences(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, gram, region, lead, start, stop): a row per anchor; region is bytes [start, stop) of the text, lead the anchor's place in it."""
+def _packed(start: np.ndarray, lead: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A region's start, its anchor's offset, number of windows and bytes in one long."""
+    return start.astype(np.int64) << 32 | lead.astype(np.int64) << 22 | own.astype(np.int64) << 12 | size.astype(np.int64)
+
+
+def _start(place: Column) -> Column:
+    return F.shiftright(place, 32)
+
+
+def _size(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(0xFFF))
+
+
+def occurrences(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(doc, gram, region, place): a row per anchor; region is a hash of the region's bytes and of the anchor's offset in it."""
+    if not (gram <= least_ <= length and least_ < 1 << 10 and least_ + length < 1 << 12):
+        raise ValueError("gram <= least_ <= length with least_ < 1024 and least_ + length < 4096 is asked for")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "gram", "region", "place"]
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
             for key, value in zip(batch.column("doc"), batch.column("text"), strict=True):
                 raw = value.as_py().encode()
-                for at in range(0, max(1, len(raw) - length + 1), CHUNK):
-                    # runs overlap so that every window lies whole in one run
-                    part = raw[at : at + CHUNK + length - 1]
-                    if len(part) < length:
+                for at in range(0, max(1, len(raw) - least_ + 1), CHUNK):
+                    # runs overlap so that every window lies whole in one run, with what follows it
+                    part = raw[at : at + CHUNK + least_ - 1]
+                    if len(part) < least_:
                         continue
-                    place, first, last, name = anchors(np.frombuffer(part, dtype=np.uint8), length, gram)
-                    stop = last + length
-                    region = np.array([xxhash.xxh3_64_intdigest(part[s:e]) for s, e in zip(first.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
-                    for k, x in enumerate((np.full(len(first), key.as_py()), name.view(np.int64), (region ^ _mix((place - first).astype(np.uint64))).view(np.int64), (place - first).astype(np.int32), first + at, stop + at)):
+                    place, first, last, name = anchors(np.frombuffer(part, dtype=np.uint8), least_, gram)
+                    start = first + at
+                    stop = np.minimum(last + at + length, len(raw))
+                    region = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
+                    for k, x in enumerate((np.full(len(first), key.as_py()), name.view(np.int64), (region ^ _mix((place - first).astype(np.uint64))).view(np.int64), _packed(start, place - first, last - first + 1, stop - start))):
                         out[k].append(x)
                     held += len(first)
                 if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "gram", "region", "lead", "start", "stop"])
-                    out, held = [[] for _ in range(6)], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                    out, held = [[] for _ in names], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["doc", "gram", "region", "lead", "start", "stop"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, gram long, region long, lead int, start long, stop long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, gram long, region long, place long")
 
 
-def _suffix_order(data: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes data[start:stop] in order, and the longest common prefix of each with the one before (0 first)."""
-    suffix = [data[s:e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
-    order = np.array(sorted(range(len(suffix)), key=suffix.__getitem__), dtype=np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8)
-    common = np.zeros(len(order), dtype=np.int64)
-    size = (stops - starts)[order]
-    most = np.minimum(size[1:], size[:-1])
-    width = int(most.max()) if len(most) else 0
-    cols = np.arange(width)
-    for at in range(0, len(most), 1_000):
-        a, b = starts[order[at : at + 1_000]], starts[order[at + 1 : at + 1_001]]
-        n = min(len(a), len(b))
-        end = most[at : at + n]
-        same = raw[np.minimum(a[:n, None] + cols, len(raw) - 1)] == raw[np.minimum(b[:n, None] + cols, len(raw) - 1)]
-        same &= cols < end[:, None]
-        common[at + 1 : at + 1 + n] = np.where(same.all(axis=1), width, same.argmin(axis=1)) if width else 0
-    return order, common
-
-
-def repeats(data: bytes, starts: np.ndarray, stops: np.ndarray, group: np.ndarray, fixed: np.ndarray, length: int) -> Iterator[tuple[int, list[int]]]:
+def suffix_array(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
+    """Suffixes of the strings raw[start:stop], in order within equal values of group (ascending), by prefix doubling.
+
+    Gives the positions in order, the ranks at each doubled length, and the end of each position's
+    string. Positions of equal rank at a length agree in so many bytes, or to the ends of both.
+    """
+    sizes = stops - starts
+    of = np.repeat(np.arange(len(starts)), sizes)
+    at = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[of]
+    end = np.zeros(len(raw) + 1, dtype=np.int64)
+    end[at] = stops[of]
+    word = np.zeros(len(at), dtype=np.uint64)
+    for i in range(SYMBOLS):
+        here = at + i
+        word = word << np.uint64(9) | np.where(here < end[at], raw[np.minimum(here, len(raw) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    order = np.argsort(word, kind="stable")
+    order = order[np.argsort(group[of[order]].astype(np.uint16 if len(starts) < 65_536 else np.int64), kind="stable")]
+    own = group[of]
+    new = np.concatenate([[True], (word[order[1:]] != word[order[:-1]]) | (own[order[1:]] != own[order[:-1]])])
+    places = at[order]
+    rank = np.zeros(len(raw) + 1, dtype=np.int64)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    rank[places] = first + 1  # 0 is the rank beyond an end
+    levels = [(SYMBOLS, rank.copy())]
+    have, most = SYMBOLS, int(sizes.max()) if len(sizes) else 0
+    # slots of the order whose class has more than one position
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(open_) and have < most:
+        p = places[open_]
+        ahead = p + have
+        second = np.where(ahead < end[p], rank[np.minimum(ahead, len(raw))], 0)
+        key = rank[p] << 32 | second
+        by = np.argsort(key, kind="stable")
+        p, key = p[by], key[by]
+        places[open_] = p
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[p] = np.maximum.accumulate(np.where(new, open_, 0)) + 1
+        open_ = open_[~(new & np.append(new[1:], True))]
+        have *= 2
+        levels.append((have, rank.copy()))
+    return places, levels, end
+
+
+def common_prefixes(a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]], end: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and at b have in common."""
+    most = np.minimum(end[a] - a, end[b] - b)
+    have = np.zeros(len(a), dtype=np.int64)
+    for width, rank in reversed(levels):
+        x, y = np.minimum(a + have, len(raw)), np.minimum(b + have, len(raw))
+        have += np.where((have < most) & (rank[x] == rank[y]), width, 0)
+    for _ in range(SYMBOLS - 1):
+        x, y = np.minimum(a + have, len(raw) - 1), np.minimum(b + have, len(raw) - 1)
+        have += (have < most) & (raw[x] == raw[y])
+    return np.minimum(have, most)
+
+
+def repeats(data: bytes, starts: np.ndarray, stops: np.ndarray, own: np.ndarray, group: np.ndarray, fixed: np.ndarray, length: int) -> Iterator[tuple[int, list[int]]]:
     """Maximal repeats of at least `length` bytes: (length, places) with all places of each.
 
-    The strings are data[start:stop]; repeats are looked for within equal values of group. fixed
-    holds what a suffix at the beginning of a string counts as preceded by; values under 256 are
-    bytes, others distinct.
+    The strings are data[start:stop], each with `own` places at its beginning that may be places of
+    a repeat; repeats are looked for within equal values of group, which ascend. fixed holds what a
+    suffix at the beginning of a string counts as preceded by; values under 256 are bytes, others distinct.
     """
     raw = np.frombuffer(data, dtype=np.uint8)
-    sizes = np.maximum(stops - starts - length + 1, 0)
-    of = np.repeat(np.arange(len(starts)), sizes)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[of]
-    if len(of) < 2:
+    if not len(raw):
         return
-    name = rolling(raw, length)[place] + _mix(group[of].astype(np.uint64) + np.uint64(1))
-    before = np.where(place == starts[of], fixed[of], raw[place - 1].astype(np.int64))
-    # suffixes whose first `length` bytes stand twice and are preceded by different bytes
-    order = np.argsort(name, kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
-    count = np.diff(np.append(edge, len(order)))
-    diverse = (count > 1) & (np.minimum.reduceat(before[order], edge) != np.maximum.reduceat(before[order], edge))
-    take = order[np.repeat(diverse, count)]
-    if not len(take):
+    places, levels, end = suffix_array(raw, starts, stops, group)
+    row = np.zeros(len(raw), dtype=np.int64)
+    row[starts[1:]] = 1
+    row = np.cumsum(row)
+    # neighbours in order that can share so many bytes
+    near = ([group[row]] + [rank for width, rank in levels if width <= length])[-1]
+    close = np.flatnonzero(near[places[1:]] == near[places[:-1]])
+    common = np.zeros(len(places) + 1, dtype=np.int64)
+    common[close + 1] = common_prefixes(places[close], places[close + 1], levels, end, raw)
+    common[common < length] = 0
+    member = np.flatnonzero((common[:-1] > 0) | (common[1:] > 0))
+    if not len(member):
         return
-    own = group[of[take]]
-    by_group = np.argsort(own, kind="stable")
-    take, own = take[by_group], own[by_group]
-    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(take)), strict=True):
-        here = take[a:b]
-        array, common = _suffix_order(data, place[here], stops[of[here]])
-        places, left = place[here][array], before[here][array]
+    # of places that aren't a string's own, the common prefix goes on to the next
+    run = np.cumsum(common[member] == 0) - 1
+    mine = places[member] - starts[row[places[member]]] < own[row[places[member]]]
+    kept = np.flatnonzero(mine)
+    if len(kept) < 2:
+        return
+    from_ = np.concatenate([[0], kept[:-1] + 1])
+    low = np.minimum.reduceat(common[member][: kept[-1] + 1], from_)
+    low[np.concatenate([[True], run[kept[1:]] != run[kept[:-1]]])] = 0
+    place = places[member][kept]
+    left = np.where(place == starts[row[place]], fixed[row[place]], raw[np.maximum(place - 1, 0)].astype(np.int64))
+    # a run whose occurrences are all preceded by one byte is part of a longer repeat
+    edge = np.flatnonzero(low == 0)
+    bounds = np.append(edge[1:], len(place))
+    diverse = np.minimum.reduceat(left, edge) != np.maximum.reduceat(left, edge)
+    for a, b in zip(edge[diverse].tolist(), bounds[diverse].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        shared, before, names = low[a:b].tolist(), left[a:b].tolist(), place[a:b].tolist()
         # stack of open intervals (common prefix, first suffix, lowest and highest left byte)
         stack: list[list[int]] = []
-        for i in range(len(array) + 1):
-            now = int(common[i]) if i < len(array) else 0
-            first, low, high = i - 1, int(left[i - 1]), int(left[i - 1])
+        for i in range(len(names) + 1):
+            now = shared[i] if 0 < i < len(names) else 0
+            first, lowest, highest = i - 1, before[i - 1], before[i - 1]
             while stack and stack[-1][0] > now:
                 depth, first, lo, hi = stack.pop()
-                low, high = min(low, lo), max(high, hi)
-                if depth >= length and low != high:
-                    yield depth, places[first:i].tolist()
+                lowest, highest = min(lowest, lo), max(highest, hi)
+                if lowest != highest:
+                    yield depth, names[first:i]
             if i and stack and stack[-1][0] == now:
-                stack[-1][2], stack[-1][3] = min(stack[-1][2], low), max(stack[-1][3], high)
+                stack[-1][2], stack[-1][3] = min(stack[-1][2], lowest), max(stack[-1][3], highest)
             elif i and now > 0:
-                stack.append([now, first, low, high])
+                stack.append([now, first, lowest, highest])
 
 
-_SPAN = "doc long, start long, stop long"
+_SPAN = "doc long, start long, stop long, cut boolean"
+_PIECE = "gram long, region long, doc long, start long, lead int, own int, bytes binary"
 
 
-def _in_arrays(regions: DataFrame, length: int) -> DataFrame:
-    """Spans (doc, start, stop) of repeats between the regions (gram, doc, start, bytes) of a gram."""
+def _in_arrays(regions: DataFrame, length: int, least_: int) -> DataFrame:
+    """Spans (doc, start, stop, cut) of repeats between the regions (gram, doc, start, own, bytes) of a gram; cut: of `length` bytes or more."""
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
-        data = b"".join(r[3] for r in rows)
-        ends = np.cumsum([len(r[3]) for r in rows])
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        data = b"".join(r[4] for r in rows)
+        ends = np.cumsum([len(r[4]) for r in rows])
         starts = np.concatenate([[0], ends[:-1]])
-        _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-        # the longest repeat from each place; what overlaps or touches in a region is one span
-        reach = np.zeros(len(data), dtype=np.int64)
-        for size, places in repeats(data, starts, ends, group, 256 + np.arange(len(rows)), length):
-            reach[places] = np.maximum(reach[places], size)
-        at = np.flatnonzero(reach)
-        if not len(at):
-            return None
-        row = np.searchsorted(ends, at, side="right")
-        stop = np.maximum.accumulate(at + reach[at])  # no repeat goes beyond its region
-        opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > stop[:-1])]))
-        first, last, row = at[opens], stop[np.append(opens[1:], len(at)) - 1], row[opens]
-        base = np.array([r[2] for r in rows])[row] - starts[row]
-        return pa.RecordBatch.from_pydict({"doc": np.array([r[1] for r in rows])[row], "start": base + first, "stop": base + last})
+        names = np.array([r[0] for r in rows])
+        group = np.cumsum(np.concatenate([[0], names[1:] != names[:-1]]))
+        # the longest repeat from each place, of those that are cut and of all
+        reach = np.zeros((2, len(data)), dtype=np.int64)
+        for size, places in repeats(data, starts, ends, np.array([r[3] for r in rows]), group, 256 + np.arange(len(rows)), least_):
+            for k in range(1 + (size >= length)):
+                reach[k, places] = np.maximum(reach[k, places], size)
+        # what overlaps or touches in a region is one span
+        for k in range(2):
+            at = np.flatnonzero(reach[k])
+            if not len(at):
+                continue
+            row = np.searchsorted(ends, at, side="right")
+            stop = np.maximum.accumulate(at + reach[k, at])  # no repeat goes beyond its region
+            opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > stop[:-1])]))
+            first, last, row = at[opens], stop[np.append(opens[1:], len(at)) - 1], row[opens]
+            base = np.array([r[2] for r in rows])[row] - starts[row]
+            yield pa.RecordBatch.from_pydict({"doc": np.array([r[1] for r in rows])[row], "start": base + first, "stop": base + last, "cut": np.full(len(row), bool(k))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "bytes")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "own", "bytes")), strict=True):
                 if held > ARRAY and rows[-1][0] != r[0]:
-                    if (out := settle(rows)) is not None:
-                        yield out
+                    yield from settle(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[3])
-        if rows and (out := settle(rows)) is not None:
-            yield out
+                held += len(r[4])
+        if rows:
+            yield from settle(rows)
 
     count = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return regions.repartition(count, "gram").sortWithinPartitions("gram").mapInArrow(run, _SPAN)
+    return regions.select("gram", "doc", "start", "own", "bytes").repartition(count, "gram").sortWithinPartitions("gram").mapInArrow(run, _SPAN)
+
 
+def _finer(regions: DataFrame, block: int, length: int, least_: int) -> DataFrame:
+    """Pieces (gram, region, doc, start, lead, own, bytes) of regions: `block` windows of least_ and of length bytes each.
 
-def _by_windows(regions: DataFrame, length: int) -> DataFrame:
-    """The same spans for grams of many regions, by counting the hash of every window."""
+    Blocks are counted from the anchor. The new gram is a hash of the old one and of what all windows of the block hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["gram", "region", "doc", "start", "lead", "own", "bytes"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                data = [x.as_py() for x in part.column("bytes")]
-                gram, doc, start = (part.column(c).to_numpy() for c in ("gram", "doc", "start"))
-                size = np.array([len(d) - length + 1 for d in data])
-                ends = np.cumsum([len(d) for d in data])
-                of = np.repeat(np.arange(len(data)), size)
-                inside = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                name = rolling(np.frombuffer(b"".join(data), dtype=np.uint8), length)[inside + (ends - [len(d) for d in data])[of]] + _mix(gram.view(np.uint64)[of])
-                # windows that stand twice here need no other; one row says that they are there
-                _, first, back, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-                known = count[back] > 1
-                lone = np.isin(np.arange(len(of)), first)
-                yield pa.RecordBatch.from_pydict({"window": name.view(np.int64), "doc": doc[of], "start": start[of] + inside, "known": known}).filter(pa.array(lone | known))
-
-    windows = regions.mapInArrow(run, "window long, doc long, start long, known boolean")
-    # the spans of windows that are known to be repeated are settled; of the others the hash decides
-    sums = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("start").alias("start"))
-    many = sums.where("n > 1").select("window")
-    return windows.join(many, "window", "left_semi").select("doc", "start", (F.col("start") + length).alias("stop"))
-
-
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(doc, start, stop): byte spans of docs (doc, text) that are made of repeated strings; they may overlap."""
-    found = saved(occurrences(docs, length, gram))
-    example = F.min(F.struct("doc", "start", "stop")).alias("x")
-    regions = saved(found.groupBy("gram", "region").agg(F.count("*").alias("n"), example))
+            out: list[tuple] = []
+            for gram, doc, start, lead, own, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "lead", "own", "bytes")), strict=True):
+                for size in {least_, length}:
+                    at, stop = 0, min(own, len(raw) - size + 1)
+                    while at < stop:
+                        base = (at - lead) // block * block + lead  # where the block begins, perhaps before the region
+                        end = min(base + block, stop)
+                        core, piece = raw[base + block - 1 : base + size], raw[at : end - 1 + size]
+                        salt = struct.pack("<qii", gram, size, base - lead)
+                        name, same = (int.from_bytes(xxhash.xxh3_64_digest(x + salt), "little", signed=True) for x in (core, piece + struct.pack("<i", at - base)))
+                        out.append((name, same, doc, start + at, lead - at, end - at, piece))
+                        at = end
+                if len(out) > 5_000:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+    return regions.mapInArrow(run, _PIECE)
+
+
+def _split(hot: DataFrame, length: int, least_: int, bucket: int) -> list[DataFrame]:
+    """Spans of the regions (gram, doc, start, lead, own, bytes) of grams that have too many for one array."""
+    found: list[DataFrame] = []
+    stop = F.col("start") + F.octet_length("bytes")
+    for block in BLOCKS:
+        pieces = saved(_finer(hot, min(block, least_), length, least_))
+        example = F.min(F.struct("doc", "start", "lead", "own", "bytes")).alias("x")
+        sums = saved(pieces.groupBy("gram", "region").agg(F.count("*").alias("n"), example))
+        whole = pieces.join(sums.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi")
+        found.append(whole.select("doc", "start", stop.alias("stop"), (F.octet_length("bytes") >= length).alias("cut")))
+        grams = sums.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        mixed = sums.join(grams, "gram").select("gram", "kinds", "x.*")
+        found.append(_in_arrays(mixed.where(F.col("kinds") <= bucket), length, least_))
+        hot = saved(mixed.where(F.col("kinds") > bucket).drop("kinds"))
+        if hot.isEmpty():
+            break
+    return found
+
+
+def spans(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """(doc, start, stop, cut): byte spans of docs (doc, text) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap."""
+    found = saved(occurrences(docs, length, least_, gram))
+    regions = saved(found.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("x")))
     grams = regions.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = found.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi").select("doc", "start", "stop")
+    whole = found.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi")
+    whole = whole.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _size(F.col("place"))).alias("stop"), (_size(F.col("place")) >= length).alias("cut"))
     mixed = regions.join(grams, "gram").select("gram", "kinds", "x.*")
-    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "start", "stop")).alias("want"))
+    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "place")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["gram", "kinds", "doc", "start", "lead", "own", "bytes"]
         for batch in batches:
             out: list[tuple] = []
             for key, text, want in zip(batch.column("doc"), batch.column("text"), batch.column("want"), strict=True):
                 raw = text.as_py().encode()
-                out += [(w["gram"], w["kinds"], key.as_py(), w["start"], raw[w["start"] : w["stop"]]) for w in want.as_py()]
+                for w in want.as_py():
+                    place = w["place"]
+                    start = place >> 32
+                    out.append((w["gram"], w["kinds"], key.as_py(), start, place >> 22 & 0x3FF, place >> 12 & 0x3FF, raw[start : start + (place & 0xFFF)]))
                 if len(out) > 5_000:
-                    yield _columns(out)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
                     out = []
             if out:
-                yield _columns(out)
-
-    def _columns(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["gram", "kinds", "doc", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     # equal rows share a key: one of them is enough
     texts = docs.select("doc", "text").join(wanted, "doc").dropDuplicates(["doc"])
-    fetched = saved(texts.mapInArrow(fetch, "gram long, kinds long, doc long, start long, bytes binary"))
-    partly = _in_arrays(fetched.where(F.col("kinds") <= bucket).drop("kinds"), length)
-    hot = _by_windows(fetched.where(F.col("kinds") > bucket).repartition("gram", F.pmod("doc", F.lit(64))), length)
-    return whole.unionByName(partly).unionByName(hot)
-
-
-def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """Per document of (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256."""
+    fetched = saved(texts.mapInArrow(fetch, "gram long, kinds long, doc long, start long, lead int, own int, bytes binary"))
+    parts = [whole, _in_arrays(fetched.where(F.col("kinds") <= bucket), length, least_)]
+    hot = fetched.where(F.col("kinds") > bucket)
+    if not hot.isEmpty():
+        parts += _split(hot, length, least_, bucket)
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans joined where they overlap or touch, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def remove(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+    """Per document of (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 and n_repeated.
+
+    n_repeated counts the bytes covered by strings of least_ bytes that also start elsewhere; these that are
+    shorter than length are kept.
+    """
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    marked = spans(keyed.select("doc", "text"), length, gram, bucket).groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    marked = spans(keyed.select("doc", "text"), length, least_, gram, bucket).groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "cut")).alias("spans"))
     kind = dict(keyed.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,18 +422,15 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int
             out = []
             for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = text.as_py().encode()
-                kept, at, n = [], 0, 0
-                last = -1
-                for s, e in sorted((x["start"], x["stop"]) for x in found.as_py() or []):
-                    if s > last:
-                        kept.append(raw[at:s])
-                        n += 1
-                    at = last = max(last, e)
-                kept.append(raw[max(at, 0) :])
-                rest = b"".join(kept)
-                out.append((len(raw), len(raw) - len(rest), n, rest, hashlib.sha256(rest).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                told = found.as_py() or []
+                gone = _covered([(x["start"], x["stop"]) for x in told if x["cut"]])
+                seen = _covered([(x["start"], x["stop"]) for x in told])
+                edges = [0, *(x for span in gone for x in span), len(raw)]
+                rest = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+                out.append((len(raw), len(raw) - len(rest), len(gone), rest, hashlib.sha256(rest).hexdigest(), sum(e - s for s, e in seen)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_repeated"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=names)
 
     joined = keyed.join(marked, "doc", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, n_repeated long")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -230,29 +231,79 @@ def test_simhash_links_across_hot_buckets(spark):
 # -- suffix arrays
 
 
-@pytest.mark.parametrize("bucket", [1, 3, 256])
-def test_suffix_dedup_removes_exactly_the_repeated(docs, rows, bucket):
-    length = 60
-    places = Counter()
-    texts = [(i, (t or "").encode()) for i, t, *_ in rows]
-    for _, raw in texts:
-        places.update(raw[a : a + length] for a in range(len(raw) - length + 1))
-    got = by_id(suffix_dedup.remove(docs, length=length, gram=12, bucket=bucket))
+def _repeated(raw, length, places):
+    """Bytes covered by strings of so many bytes that start more than once."""
+    cover = bytearray(len(raw))
+    for a in range(len(raw) - length + 1):
+        if places[raw[a : a + length]] > 1:
+            cover[a : a + length] = b"\1" * length
+    return cover
+
+
+def _repeats_by_counting(texts, got, length, least):
+    places = {n: Counter(raw[a : a + n] for _, raw in texts for a in range(len(raw) - n + 1)) for n in (length, least)}
     for i, raw in texts:
-        cover = bytearray(len(raw))
-        for a in range(len(raw) - length + 1):
-            if places[raw[a : a + length]] > 1:
-                cover[a : a + length] = b"\1" * length
+        cover = _repeated(raw, length, places[length])
         kept = bytes(b for b, c in zip(raw, cover, strict=True) if not c)
         runs = len(re.findall(rb"\x01+", bytes(cover)))
+        seen = sum(_repeated(raw, least, places[least]))
         for r in got[i]:
-            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), sum(cover), runs, sha(kept))
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_repeated"]) == (len(raw), sum(cover), runs, sha(kept), seen)
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 256])
+def test_suffix_dedup_removes_exactly_the_repeated(docs, rows, bucket):
+    texts = [(i, (t or "").encode()) for i, t, *_ in rows]
+    _repeats_by_counting(texts, by_id(suffix_dedup.remove(docs, length=60, least_=45, gram=12, bucket=bucket)), 60, 45)
+
+
+@pytest.mark.parametrize("bucket", [2, 16])
+def test_suffix_dedup_splits_hot_grams(spark, bucket):
+    # one passage stands in many texts, between different words and with a changed letter here and there
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    passage = " ".join(word() for _ in range(60))
+    texts = []
+    for i in range(90):
+        middle = list(passage)
+        for _ in range(rng.randint(0, 2)):
+            middle[rng.randrange(len(middle))] = "z"
+        texts.append((i, " ".join(word() for _ in range(rng.randint(0, 30))) + "".join(middle) + " ".join(word() for _ in range(rng.randint(0, 30)))))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    _repeats_by_counting([(i, t.encode()) for i, t in texts], by_id(suffix_dedup.remove(frame, length=80, least_=50, gram=8, bucket=bucket)), 80, 50)
+
+
+def test_suffix_dedup_long_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    line = " ".join(word() for _ in range(900))
+    long = " ".join([line, " ".join(word() for _ in range(3000)), line[200:3000]])
+    texts = [(1, long), (2, line[1000:1500]), (3, line[:90])]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1_000)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    _repeats_by_counting([(i, t.encode()) for i, t in texts], by_id(suffix_dedup.remove(frame)), 400, 300)
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    for alphabet in (b"ab", b"ab\0c", bytes(range(256))):
+        data = bytes(rng.choice(list(alphabet), 700))
+        starts = np.array([0, 40, 300, 301, 500])
+        stops, group = np.append(starts[1:], len(data)), np.array([0, 0, 1, 1, 1])
+        places, levels, end = suffix_dedup.suffix_array(np.frombuffer(data, np.uint8), starts, stops, group)
+        of = np.searchsorted(stops, np.arange(len(data)), side="right")
+        key = [(group[of[p]], data[p : end[p]]) for p in places]
+        assert sorted(places) == list(range(len(data))) and key == sorted(key)
+        same = [len(os.path.commonprefix([x, y])) for (_, x), (_, y) in zip(key[:-1], key[1:], strict=True)]
+        got = suffix_dedup.common_prefixes(places[:-1], places[1:], levels, end, np.frombuffer(data, np.uint8))
+        across = np.array([a != b for (a, _), (b, _) in zip(key[:-1], key[1:], strict=True)])
+        assert (got[~across] == np.array(same)[~across]).all()
 
 
 def test_maximal_repeats():
     data = b"xabcdefYabcdefZZabcdeQ"
     found = dict()
-    for size, places in suffix_dedup.repeats(data, np.array([0]), np.array([len(data)]), np.array([0]), np.array([256]), 4):
+    for size, places in suffix_dedup.repeats(data, np.array([0]), np.array([len(data)]), np.array([len(data)]), np.array([0]), np.array([256]), 4):
         found[size] = sorted(places)
     assert found == {6: [1, 8], 5: [1, 8, 16]}
 
