@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,10 @@ def test_html_and_tables(spark):
     page = "<html><head><meta name='description' content='short'><script>no()</script></head><body><nav><p>menu entry of the site here</p></nav><article><h1>A heading that is long enough</h1><p>First paragraph of the article, long enough &amp; more to reach the limit.</p><p>first paragraph of the ARTICLE, long enough &amp; more to reach the limit.</p><p>tiny</p></article><p>outside text that is long enough</p></body></html>"
     assert html.article(page).split("\n\n") == ["A heading that is long enough", "First paragraph of the article, long enough & more to reach the limit."]
     assert html.article("<meta name=description content='only this'>") == "only this" and html.article("") == ""
+    again = "".join(f"<p>{x} text that stands here twice or once</p>" for x in ("One", "Two", "ONE"))
+    assert html.article(again).split("\n\n") == ["One text that stands here twice or once", "Two text that stands here twice or once"]
+    assert html.article("<p>a paragraph that is never closed<p>goes on in the next one</p></nav></li>") == "a paragraph that is never closed goes on in the next one"
+    assert html.cells("<table><tr><td>a<td> b </td><tr></table><td>c</td>") == [[["b"], ["c"]]] and html.cells("</td><table><td>x</td>") == [[]]
     flows = "<table><tr><th></th><th></th><th></th><th>Total</th></tr><tr><th></th><th>ETHA</th><th>FETH</th><th></th></tr><tr><td>Fee</td><td>0.25%</td><td>0.25%</td><td></td></tr><tr><td>01 Aug 2026</td><td>10.0</td><td>(2.5)</td><td>7.5</td></tr><tr><td>02 Aug 2026</td><td>0.0</td><td>-</td><td>0.0</td></tr></table>"
     got = {(r["day"], r["ticker"]): (r["flow"], r["is_total"]) for r in payloads.flow_table(one(spark, flows)).collect()}
     first, second = dt.date(2026, 8, 1), dt.date(2026, 8, 2)
@@ -145,16 +151,41 @@ def item(**more):
     return {"event_title": None, "actors": [], "action": None, "object": [], "event_status": None, "objective_summary": None} | more
 
 
-def test_anchors_and_rejections():
+def test_anchors_and_rejections(spark):
     a = item(event_title="Bridge exploit drains funds", actors=["Lazarus"], action="exploited the bridge", object=["Ronin"], event_status="occurred")
-    assert E.anchor(a, item(actors=["lazarus group"])) and not E.anchor(a, item(event_title="the new market"))
-    assert E.similarity(a, a) == 1.0 and E.similarity(item(), a) == 0.0
-    assert E.rejection(a, {**a, "event_status": "ruled"}) == "stage"
-    assert E.rejection({**a, "event_status": "planned"}, {**a, "event_status": "proposed"}) is None
-    assert E.rejection(item(objective_summary="case 1234-a"), item(objective_summary="case 9999-b")) == "identifier"
-    assert E.rejection(item(action="lists token", object=["abc"]), item(action="lists token", object=["xyz"])) == "object"
-    assert E.rejection(item(actors=["Acme"], action="sued Acme"), item(actors=["Acme"], action="hack of Acme")) == "kind"
-    assert E.rejection(a, dict(a)) is None
+    cases = [
+        (a, item(actors=["lazarus group"]), (True, None)),
+        (a, item(actors=["Lazerusx"]), None),
+        (item(actors=["lazarus gang"]), item(object=["lazarus gong"]), (True, None)),
+        (a, item(event_title="the new market"), None),
+        (a, item(action="hack at the bridge"), (False, None)),
+        (a, {**a, "event_status": "ruled"}, (True, "stage")),
+        ({**a, "event_status": "planned"}, {**a, "event_status": "proposed"}, (True, None)),
+        (item(action="hack", objective_summary="case 1234-a"), item(action="hack", objective_summary="case 9999-b"), (False, "identifier")),
+        (item(action="lists token", object=["abc"]), item(action="lists token", object=["xyz"]), (False, "object")),
+        (item(actors=["Acme"], action="sued Acme"), item(actors=["Acme"], action="hack of Acme"), (True, "kind")),
+        (a, dict(a), (True, None)),
+    ]
+    day = dt.datetime(2026, 1, 1)
+    rows = [(2 * n + k, day + dt.timedelta(days=100 * n), *(x[f.split()[0]] for f in E.FIELDS.split(", "))) for n, (left, right, _) in enumerate(cases) for k, x in enumerate((left, right))]
+    items = E.described(spark.createDataFrame(rows, "id long, published timestamp, " + E.FIELDS))
+    pairs = E.anchored(items)
+    shared = {r["left"] // 2: r["shared"] for r in pairs.collect()}
+    told = {r["left"] // 2: (r["score"], r["rejected"]) for r in E.judged(pairs, items, 0.0).collect()}
+    for n, (_, _, want) in enumerate(cases):
+        assert (None if n not in shared else (shared[n], told[n][1])) == want, n
+    assert told[len(cases) - 1][0] == pytest.approx(1.0)
+
+
+def test_alike_equals_brute_force(spark):
+    rng = random.Random(3)
+    words = {"".join(rng.choices("abc ", k=rng.randint(1, 9))).strip() for _ in range(150)} | {"lazarus group", "lazarus", "the lazarus group", "x"}
+    words.discard("")
+    frame = spark.createDataFrame([(w,) for w in words], "value string")
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    for least, inside in ((0.86, True), (0.82, False)):
+        got = {(r["a"], r["b"]) for r in E.alike(frame, least, inside).collect()}
+        assert got == {(a, b) for a in words for b in words if a == b or ratio(a, b) >= least or inside and (a in b or b in a)}
 
 
 def test_candidates_and_groups(spark):
@@ -186,12 +217,21 @@ def test_candidate_pairs_equal_brute_force(spark, tmp_path):
     texts += ["Plain weather stays mild over hills", "Other gardens bloom early near lakes"]
     rows = [(i * 11 % 90, 0, "user", t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    facts = [r.asDict() for r in news._facts(spark, str(tmp_path)).collect()]
+    # every pair of the window, joined without keys
+    items = E.described(news._facts(spark, str(tmp_path)))
+    a, b = items.select(F.col("id").alias("left"), F.col("day").alias("l"), F.col("x").alias("a")), items.select(F.col("id").alias("right"), F.col("day").alias("r"), F.col("x").alias("b"))
+    gap = F.datediff("r", "l")
+    ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
     want = set()
-    for b in facts:
-        near = [a for a in facts if 0 <= (gap := (b["published"].date() - a["published"].date()).days) <= 14 and (gap or a["id"] < b["id"])]
-        scored = sorted((-E.similarity(a, b), a["id"]) for a in near if E.similarity(a, b) >= 0.20 and E.anchor(a, b))
-        want |= {(a, b["id"]) for _, a in scored[:5]}
+    best = {}
+    for r in a.crossJoin(b).where(gap.between(0, 14) & ((gap > 0) | (F.col("left") < F.col("right")))).collect():
+        x, y = r["a"], r["b"]
+        common = [f for f in E.WEIGHTS if x[f] and y[f]]
+        score = sum(E.WEIGHTS[f] * ratio(x[f], y[f]) for f in common) / sum(E.WEIGHTS[f] for f in common)
+        met = any(set(x[f]) & set(y[f]) for f in ("ids", "tokens", "kinds")) or any(v in w or w in v or ratio(v, w) >= 0.86 for v in x["parties"] for w in y["parties"])
+        if score >= 0.20 and (met or x["action"] and y["action"] and ratio(x["action"], y["action"]) >= 0.82):
+            best.setdefault(r["right"], []).append((-score, r["left"]))
+    want = {(left, right) for right, found in best.items() for _, left in sorted(found)[:5]}
     found = {(r["left"], r["right"]) for r in news.candidate_pairs(spark, str(tmp_path)).collect()}
     assert found == want and len(want) > 5
 
