@@ -49,7 +49,7 @@ def events(html: str) -> list[tuple[str, str, dict]]:
 def _depth(page: list[tuple[str, str, dict]], names: set[str]) -> list[int]:
     """How many elements of these names are open after each event; a close too many counts for nothing."""
     steps = ((kind == "open") - (kind == "close") if name in names else 0 for kind, name, _ in page)
-    return list(accumulate(steps, lambda depth, step: max(0, depth + step)))
+    return list(accumulate(steps, lambda depth, step: max(0, depth + step), initial=0))[1:]
 
 
 def _flat(parts: Iterable[str], between: str = " ") -> str:
