@@ -1,12 +1,16 @@
 """Personal data, and terms that give it away, in DataFrame operations only.
 
-Base spans are e-mail addresses, IP addresses, payment card numbers and phone numbers. The terms
-are found by information: a term that stands next to a protected entity in at least SUPPORT groups
-of near copies, and whose presence in a document tells at least THRESHOLD of the entity's
-information content, log(p(entity | term) / p(entity)) / -log p(entity), discloses the entity.
-Copies of a document add no support and take none away; a passage that different documents share
-counts once for each of them.
-Such terms are spans of kind "term" in every document that names the entity.
+Base spans are e-mail addresses, IP addresses, payment card numbers and phone numbers. Protected
+entities are their values and the groups that values share: an address's domain, the network of an
+IP address, a card's issuer, a phone number without its last four digits. Terms are found by
+information: a word that stands, outside of base spans, in texts of an entity in at least SUPPORT
+groups of near copies, and whose presence tells at least THRESHOLD of the entity's information
+content, log(p(entity | term) / p(entity)) / -log p(entity), discloses the entity. Probabilities
+are shares of the different texts of the corpus, p(entity | term) with one text more that has the
+term alone and half a text less that has both, so that a few chance meetings tell little. Near
+copies among the texts that have spans count as one text throughout; a passage that different texts
+share counts in each.
+Such terms are spans of kind "term" wherever they stand, with the entity or without.
 
 Base patterns are matched leftmost and without overlap per kind. Possessive forms and the look
 behind keep matching linear in the text; they accept the same spans as the plain patterns.
@@ -35,8 +39,6 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: Characters on each side of an entity in which terms stand next to it.
-REACH = 48
 SUPPORT, THRESHOLD = 3, 0.8
 #: Near copies: least hashes of runs of three words, in bands of so many; how many must agree in texts of at least LONG runs, and in shorter ones.
 HASHES, BAND = 32, 4
@@ -87,11 +89,32 @@ def _words(text: Column) -> Column:
 
 
 def _disclosure(together: str, documents: str) -> Column:
-    """Share of an entity's information that a term of so many documents tells."""
-    given = F.least(F.col(together) / F.col(documents), F.lit(1.0))
+    """Share of an entity's information that a term of so many texts tells."""
+    given = (F.col(together) - 0.5) / (F.col(documents) + 1)
     return F.log(given * F.col("n") / F.col("with_entity")) / F.greatest(F.log(F.col("n") / F.col("with_entity")), F.lit(1e-9))
 
 
+#: What stands for a span of a kind in entities: the value, and the group that it belongs to.
+_ENTITIES = f"""array(lower(x.value), CASE x.kind
+    WHEN 'email' THEN concat('@', substring_index(lower(x.value), '@', -1))
+    WHEN 'ip' THEN concat(substring_index(x.value, '.', 3), '.*')
+    WHEN 'card' THEN concat('card:', substr({_DIGITS.replace("$m", "x.value")}, 1, 6))
+    ELSE concat('phone:', regexp_extract({_DIGITS.replace("$m", "x.value")}, '^([0-9]*)[0-9]{{4}}$', 1)) END)"""
+
+
+def _replaced(by: str) -> Column:
+    """text with each of its spans replaced by an SQL expression on the span s; overlapping spans by that of the first."""
+    return F.expr(f"""
+        CASE WHEN size(spans) = 0 THEN text ELSE aggregate(
+            spans,
+            struct(CAST(array() AS ARRAY<STRING>) AS parts, 0 AS at),
+            (acc, s) -> CASE
+                WHEN s.end <= acc.at THEN acc
+                WHEN s.start < acc.at THEN struct(acc.parts AS parts, s.end AS at)
+                ELSE struct(concat(acc.parts, array(substr(text, acc.at + 1, s.start - acc.at), {by})) AS parts, s.end AS at) END,
+            acc -> concat(array_join(acc.parts, ''), substr(text, acc.at + 1))) END""")
+
+
 def near_copies(texts: DataFrame) -> DataFrame:
     """(h, root) of the texts (h, text), h different, that have near copies among them: root is the same within a group.
 
@@ -111,38 +134,36 @@ def near_copies(texts: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("h"), "root")
 
 
-def disclosing(docs: DataFrame, marked: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(term, entity, disclosure) from docs (text) and marked (key, text, spans).
+def holding(texts: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+    """(term, keep..) of the texts that hold a term, one row each."""
+    return texts.select(*keep, F.explode(_words(F.col("text"))).alias("term")).join(terms, "term")
 
-    Support is the number of groups of near copies in which the term stands next to the entity.
-    """
-    near = marked.where(F.size("spans") > 0).select("key", "text", F.explode("spans").alias("x"))
-    start, end = F.col("x.start"), F.col("x.end")
-    left = F.substring("text", F.greatest(start - REACH, F.lit(0)) + 1, start - F.greatest(start - REACH, F.lit(0)))
-    right = F.substring("text", end + 1, F.lit(REACH))
-    # a word that the reach cuts off is no term: the outermost parts go
-    left = F.when(start > REACH, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.char_length("text") > end + REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    near = near.select(F.lower("x.value").alias("entity"), F.xxhash64("text").alias("h"), F.concat_ws(" ", left, right).alias("context"))
-    groups = near_copies(marked.where(F.size("spans") > 0).select(F.xxhash64("text").alias("h"), "text").dropDuplicates(["h"]))
-    beside = near.select("entity", "h", F.explode(_words(F.col("context"))).alias("term")).where(F.char_length("term") > 1).distinct()
-    named = beside.join(groups, "h", "left").select("entity", "term", F.coalesce("root", "h").alias("root")).distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
-    at = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"), F.xxhash64("text").alias("h")).distinct()
-    entities = at.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    # documents in which a term stands next to any entity: where these alone rule it out, the others aren't counted
-    met = beside.select("h", "term").distinct().groupBy("term").agg(F.count("*").alias("met"))
-    texts = docs.select(F.xxhash64("text").alias("h")).distinct().count()
-    likely = named.where(F.col("support") >= support).join(met, "term").join(entities, "entity").withColumn("n", F.lit(texts))
-    candidates = cut(likely.where(_disclosure("with_entity", "met") >= threshold).select("term", "entity", "with_entity", "n"))
-    terms = small(candidates.select("term").distinct())
-
-    def holding(frame: DataFrame) -> DataFrame:
-        return frame.select(F.explode(_words(F.col("text"))).alias("term"), F.xxhash64("text").alias("h")).join(terms, "term").distinct()
-
-    # every document counts; equal texts count once, on all sides
-    frequency = holding(docs).groupBy("term").agg(F.count("*").alias("with_term"))
-    both = holding(marked).join(candidates.select("term", "entity"), "term").join(at, ["h", "entity"]).groupBy("term", "entity").agg(F.count("*").alias("together"))
-    scored = candidates.join(both, ["term", "entity"]).join(frequency, "term").withColumn("disclosure", _disclosure("together", "with_term"))
+
+def disclosing(docs: DataFrame, marked: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """(term, entity, disclosure) from docs (text) and marked (text, spans), the texts that have base spans."""
+    texts = marked.select(F.xxhash64("text").alias("h"), "text", "spans").dropDuplicates(["h"])
+    at = texts.select("h", F.explode("spans").alias("x")).select("h", F.explode(F.expr(_ENTITIES)).alias("entity")).distinct()
+    # an entity of fewer texts than the support has no terms
+    often = at.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("entity")
+    at = cut(at.join(often, "entity"))
+    groups = near_copies(texts.join(at.select("h").distinct(), "h", "left_semi").select("h", "text"))
+    rooted = cut(texts.select("h").join(groups, "h", "left").select("h", F.coalesce("root", "h").alias("root")))
+    words = texts.select("h", F.explode(_words(_replaced("' '"))).alias("term")).where(F.char_length("term") > 1).join(rooted, "h")
+    placed = at.join(rooted, "h").select("h", "entity", "root")
+    entities = placed.select("entity", "root").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    both = words.drop("root").join(placed, "h").select("entity", "term", "root").distinct().groupBy("entity", "term").agg(F.count("*").alias("together"))
+    # a term is in no fewer texts than in those that have spans: where these alone rule it out, the others aren't counted
+    met = words.groupBy("term", "root").agg(F.count("*").alias("texts")).groupBy("term").agg(F.count("*").alias("met"), F.sum("texts").alias("met_texts"))
+    sums = rooted.agg(F.count("*").alias("texts"), F.count_distinct("root").alias("groups")).first()
+    n = docs.select(F.xxhash64("text").alias("h")).distinct().count() - sums.texts + sums.groups
+    likely = both.where(F.col("together") >= support).join(entities, "entity").withColumn("n", F.lit(n)).join(met, "term")
+    candidates = cut(likely.where(_disclosure("together", "met") >= threshold))
+    terms = candidates.select("term").distinct()
+    # every text counts; equal texts count once
+    known = docs.select(F.xxhash64("text").alias("h"), "text")
+    frequency = holding(known, small(terms), "h").distinct().groupBy("term").agg(F.count("*").alias("texts"))
+    counted = candidates.join(frequency, "term").withColumn("with_term", F.col("texts") - F.col("met_texts") + F.col("met"))
+    scored = counted.withColumn("disclosure", _disclosure("together", "with_term"))
     return scored.where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure")
 
 
@@ -150,12 +171,12 @@ def marked(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD
     """The rows of docs with text (never null), base and spans: arrays of (start, rank, kind, end, value)."""
     whole = docs.withColumn("text", text_of())
     base = whole.withColumn("base", base_spans())
-    keyed = saved(base.where(F.size("base") > 0).select(F.col("doc_id").alias("key"), "text", F.col("base").alias("spans")))
-    told = disclosing(whole.select("text"), keyed, support, threshold)
-    at = keyed.select("key", "text", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
-    hits = at.join(small(told.select("term", "entity")), "entity").select("key", "text", "term").distinct()
+    keyed = saved(base.where(F.size("base") > 0).select("text", F.col("base").alias("spans")))
+    terms = cut(disclosing(whole.select("text"), keyed, support, threshold).select("term").distinct())
+    if terms.isEmpty():
+        return base.withColumn("spans", F.col("base"))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}])"))
-    hits = hits.withColumn("pattern", pattern)
+    hits = holding(whole.select(F.col("doc_id").alias("key"), "text"), small(terms), "key", "text").distinct().withColumn("pattern", pattern)
     sql = _spans("term", "@@", "true").replace(_quoted("@@"), "pattern")
     added = hits.select("key", F.xxhash64("text").alias("h"), F.expr(sql).alias("x"))
     added = added.groupBy("key", "h").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("added"))
@@ -171,15 +192,7 @@ def as_text(spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """docs with each span of text generalised to its kind, such as [EMAIL]; overlapping spans to that of the first."""
-    cleaned = F.expr("""
-        CASE WHEN size(spans) = 0 THEN text ELSE aggregate(
-            spans,
-            struct(CAST(array() AS ARRAY<STRING>) AS parts, 0 AS at),
-            (acc, s) -> CASE
-                WHEN s.end <= acc.at THEN acc
-                WHEN s.start < acc.at THEN struct(acc.parts AS parts, s.end AS at)
-                ELSE struct(concat(acc.parts, array(substr(text, acc.at + 1, s.start - acc.at), concat('[', upper(s.kind), ']'))) AS parts, s.end AS at) END,
-            acc -> concat(array_join(acc.parts, ''), substr(text, acc.at + 1))) END""")
+    cleaned = _replaced("concat('[', upper(s.kind), ']')")
     rows = marked(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), support, threshold)
     return rows.withColumn("text", cleaned).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 

@@ -61,7 +61,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_documents(spark, sf_dir))
     counts = [f"n_{kind}" for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+    size = F.size("spans").cast("long")
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), size.alias("n_spans"), (size - F.size("base")).alias("n_terms"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii)}

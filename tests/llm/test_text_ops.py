@@ -438,6 +438,43 @@ def test_pii_counts_documents_that_hold_both(spark):
     assert all("zorblax" in found[i] for i in range(40))
 
 
+def test_pii_terms_equal_counting(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    said = lambda k: " ".join(rng.choices(words, k=k))
+    people = ["ann@corp.org", "bob@corp.org", "eve@lake.net", "10.1.2.3", "10.1.2.9", "+1 (415) 555-0199"]
+    hints = ["zebrafish", "quillon", "marmot", "ostrava", "pelmet", "yarrow"]
+    texts = []
+    for i in range(240):
+        parts = [said(25), said(25)]
+        for person, hint in zip(people, hints, strict=True):
+            if rng.random() < 0.06:
+                parts.append(f"{person} , {hint if rng.random() < 0.9 else ''} {said(5)}")
+        texts.append(" ".join(rng.sample(parts, len(parts))))
+    texts += [f"{said(20)} zebrafish {said(20)}", f"{said(20)} quillon {said(9)}", said(50), texts[0], texts[0]]
+    entity = {"ann@corp.org": "@corp.org", "bob@corp.org": "@corp.org", "eve@lake.net": "@lake.net", "10.1.2.3": "10.1.2.*", "10.1.2.9": "10.1.2.*", "+1 (415) 555-0199": "phone:1415555"}
+    held, known = {}, {}
+    for text in set(texts):
+        bare = text
+        for person in people:
+            if person in text:
+                bare = bare.replace(person, " ")
+                for e in (person, entity[person]):
+                    held.setdefault(e, set()).add(text)
+        known[text] = (set(re.findall(r"[a-z0-9]+", bare)), set(re.findall(r"[a-z0-9]+", text)))
+    n, want = len(set(texts)), set()
+    for e, inside in held.items():
+        for term in set().union(*(known[x][0] for x in inside)):
+            together = sum(term in known[x][0] for x in inside)
+            given = (together - 0.5) / (sum(term in w for _, w in known.values()) + 1)
+            if len(term) > 1 and together >= 3 and len(inside) >= 3 and math.log(given * n / len(inside)) / math.log(n / len(inside)) >= 0.8:
+                want.add(term)
+    assert {"zebrafish", "quillon"} <= want and not want & {"corp", "org"}
+    found = _terms(spark, texts)
+    assert all(found[i] == want & set(re.findall(r"[a-z0-9]+", x)) for i, x in enumerate(texts))
+    assert "zebrafish" in found[240] and "quillon" in found[241]  # with no entity beside them
+
+
 def test_pii_long_runs_do_not_overflow(spark):
     texts = ["1 " * 20_000, "1-" * 20_000 + "1", "a." * 20_000 + "@b", "x@" + "a." * 20_000 + "b", "+1" + "(" * 20_000 + "2"]
     got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
