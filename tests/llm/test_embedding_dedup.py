@@ -50,6 +50,33 @@ def test_odd_vectors(spark):
     assert embedding_dedup.clusters(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_one_id_with_different_vectors(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal(32), rng.standard_normal(32)
+    rows = [(1, a), (1, b), (2, a + 0.01 * rng.standard_normal(32)), (3, b + 0.01 * rng.standard_normal(32)), (4, rng.standard_normal(32))]
+    got = embedding_dedup.clusters(spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_double_precision_and_large_values(spark):
+    angle = np.arccos(0.95 + 1e-9), np.arccos(0.95 - 1e-9)
+    rows = [(1, [1.0, 0.0]), (2, [np.cos(angle[0]), np.sin(angle[0])]), (3, [0.0, 1e200]), (4, [1e150, 1e200]), (5, [-1e-200, 0.0]), (6, [-np.cos(angle[1]), np.sin(angle[1])])]
+    # many pairs in one table each: signs are few, so tables tell all of them
+    got = {r["vec_id"]: r for r in embedding_dedup.clusters(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i]["n_links"] for i in range(1, 7)] == [1, 1, 1, 1, 0, 0]
+
+
+def test_sketch_allows_links():
+    rng = np.random.default_rng(7)
+    x = embedding_dedup.unit_rows(rng.standard_normal((4000, 48)))
+    y = rng.standard_normal((4000, 48))
+    y = embedding_dedup.unit_rows(y - (x * y).sum(axis=1)[:, None] * x)
+    pair = 0.95 * x + np.sqrt(1 - 0.95**2) * y
+    apart = np.bitwise_count(embedding_dedup.sketches(x) ^ embedding_dedup.sketches(pair)).sum(axis=1)
+    other = np.bitwise_count(embedding_dedup.sketches(x) ^ embedding_dedup.sketches(y)).sum(axis=1)
+    assert apart.max() <= embedding_dedup.allowed(0.95) < other.min()
+
+
 @pytest.mark.parametrize("n", [10, 10_000, 10**8])
 def test_plan_misses_few(n):
     signs, tables = embedding_dedup.plan(n, 0.95)
