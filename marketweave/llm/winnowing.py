@@ -1,6 +1,7 @@
 """Winnowing fingerprints of documents, in DataFrame operations only.
 
-Every K consecutive code points are hashed; in every window of W hashes the least is chosen, the
+Every K consecutive code points are hashed, each gram on its own: column expressions carry no
+state from one gram to the next; in every window of W hashes the least is chosen, the
 rightmost of equals, and its position kept. Two texts that share any W + K - 1 code points in a row
 share a chosen hash. A fingerprint is the list of chosen values, in order of position: each is a
 long with the hash in its upper 31 bits and the complement of the position in its lower 32, so that
@@ -15,6 +16,7 @@ document is its own next; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from marketweave.llm.common import text_of
 
 K, W = 12, 16
-#: Consecutive ids that are ordered together; consecutive buckets whose heads are.
-IDS, HEADS = 256, 4096
+#: Rows that are ordered together, about; ranges of ids at most, and bytes of a text by which null ids are parted.
+IDS, TOPS, LEADING = 256, 256, 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -122,27 +124,49 @@ def _result(rows: DataFrame) -> DataFrame:
     )
 
 
+def _buckets(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the bucket (top, low) of each row: higher for higher ids, null ids below all.
+
+    Tops are ranges between quantiles of the ids, cut evenly into as many lows as leave about IDS rows in each,
+    whether ids are dense, sparse or clustered. Null ids are parted by the first bytes of their texts.
+    """
+    n = docs.count()
+    tops = min(TOPS, max(1, n // IDS))
+    lows = math.ceil(max(1, n) / (tops * IDS))
+    # TOPS + 1 numbers, whatever the input
+    edges = docs.agg(F.percentile_approx("doc_id", [i / tops for i in range(tops + 1)], 100_000).alias("edges")).first().edges or [0] * (tops + 1)
+    own, bounds = F.col("doc_id"), F.array(*[F.lit(e).cast("long") for e in edges])
+    top = F.size(F.filter(F.slice(bounds, 2, tops - 1), lambda e: e <= own)) if tops > 1 else F.lit(0)
+    placed = docs.withColumn("top", F.when(own.isNull(), -1).otherwise(top).cast("int"))
+    at = lambda c: F.try_element_at(bounds, c).cast("double")
+    first, end = at(F.col("top") + 1), at(F.col("top") + 2)
+    even = F.least(F.greatest(F.floor((own.cast("double") - first) / F.greatest(end - first, F.lit(1.0)) * lows), F.lit(0)), F.lit(lows - 1))
+    told = F.conv(F.hex(F.rpad(F.substring(F.encode("text", "UTF-8"), 1, LEADING), LEADING, F.lit(b"\0"))), 16, 10).cast("long")
+    return placed.withColumn("low", F.when(F.col("doc_id").isNull(), told).otherwise(even).cast("long"))
+
+
 def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next.
 
-    The order over all documents is made of buckets of consecutive ids: texts are shuffled once, by
-    bucket. Only the last document of a bucket has its next in another one; these few are joined to
-    the first documents of the buckets below.
+    The order over all documents is made of buckets: texts are shuffled once, by bucket. Only the
+    last document of a bucket has its next in another one; these few are joined to the first
+    documents of the buckets below.
     """
-    bucket = F.coalesce(F.floor(F.col("doc_id") / IDS), F.lit(-(1 << 62)))
-    base = docs.select(F.col("doc_id"), text_of().alias("text"), bucket.alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    base = _buckets(docs.select(F.col("doc_id"), text_of().alias("text")))
+    order = Window.partitionBy("top", "low").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     placed = base.withColumns({"next": F.lead("text").over(order), "before": F.lag(F.lit(1)).over(order)})
     inner = _edit(placed, k, w).withColumn("next_fp", F.lead("fp.own").over(order)).where("next IS NOT NULL")
 
-    # the bucket below each bucket, the highest below the lowest: two levels, so that no task orders many
-    heads = docs.select(bucket.alias("bucket")).distinct().withColumn("top", F.floor(F.col("bucket") / HEADS))
-    tops = heads.groupBy("top").agg(F.max("bucket").alias("first"))
+    # the bucket below each bucket, the highest below the lowest: tops are TOPS + 1 at most
+    heads = base.select("top", "low").distinct()
+    tops = heads.groupBy("top").agg(F.max("low").alias("low"))
     over = Window.orderBy(F.col("top").desc())
-    tops = tops.select("top", F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("below"))
-    down = heads.withColumn("next_bucket", F.lead("bucket").over(Window.partitionBy("top").orderBy(F.col("bucket").desc())))
-    down = down.join(tops, "top").select("bucket", F.coalesce("next_bucket", "below").alias("next_bucket"))
-    first = placed.where("before IS NULL").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("next"))
-    last = placed.where("next IS NULL").select("bucket", "doc_id", "text").join(down, "bucket").join(first, "next_bucket")
+    follow = lambda c: F.coalesce(F.lead(c).over(over), F.first(c).over(over))
+    below = tops.select("top", F.struct(follow("top").alias("top"), follow("low").alias("low")).alias("below"))
+    inside = F.lead("low").over(Window.partitionBy("top").orderBy(F.col("low").desc()))
+    down = heads.withColumn("inside", inside).join(F.broadcast(below), "top")
+    down = down.select("top", "low", F.when(F.col("inside").isNotNull(), F.struct("top", F.col("inside").alias("low"))).otherwise(F.col("below")).alias("at"))
+    first = placed.where("before IS NULL").select(F.struct("top", "low").alias("at"), F.col("text").alias("next"))
+    last = placed.where("next IS NULL").select("top", "low", "doc_id", "text").join(down, ["top", "low"]).join(first, "at")
     outer = _edit(last, k, w).withColumn("next_fp", fingerprint(F.col("next"), k, w))
     return _result(inner).unionByName(_result(outer))

@@ -161,6 +161,23 @@ def test_winnowing_edits(docs, rows):
             assert all(0.3 < r["near_edited"] < 1 for r in got[i])
 
 
+@pytest.mark.parametrize("kind", ["sparse", "clustered", "null", "one id"])
+def test_winnowing_order_of_any_ids(spark, kind):
+    rng = random.Random(12)
+    said = lambda: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(12))
+    ids = {"sparse": [rng.randint(-(1 << 62), 1 << 62) for _ in range(1500)], "clustered": [*range(1200), 10**15, *range(10**17, 10**17 + 300)], "null": [None] * 1000 + list(range(500)), "one id": [7] * 900 + [-3, 1 << 60]}[kind]
+    rows = [(i, said()) for i in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sizes = [r["count"] for r in winnowing._buckets(frame).groupBy("top", "low").count().collect()]
+    assert kind == "one id" or max(sizes) < 1200 and len(sizes) > 3
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = Counter()
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        third = len(text) // 3
+        want[i, sha(text[: len(text) - third] + after[:third])] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in winnowing.compare(frame).collect()) == want
+
+
 def test_winnowing_finds_shared_passages(spark):
     passage = "a passage of at least twenty-seven characters"
     frame = spark.createDataFrame([("left words before " + passage, "other text " * 9 + passage + " and after")], "a string, b string")
