@@ -1,4 +1,4 @@
-"""Scores of texts by a bigram model held in sharded Elias-Fano tries.
+"""Scores of texts by a bigram model held in Elias-Fano tries.
 
 The model is interpolated absolute discounting over the add-one unigram base:
 
@@ -7,20 +7,23 @@ The model is interpolated absolute discounting over the add-one unigram base:
 with T(v) the number of different successors of v, and p(w) alone where v was never seen. A text
 is its words between two boundaries; the boundary after it is its end token.
 
-Tokens are kept in batches of documents. A batch sends each shard its distinct contexts and
-bigrams with their training counts, once each. A shard owns a range of word hashes as contexts; it
-adds the counts up and builds its trie: level 1 has the contexts with counts, level 2 their
-successors with quantised discounted probabilities, both Elias-Fano coded monotone sequences joined
-by monotone pointers, in one memory-mapped file. The batch's questions are answered by successor
-search for (context position, successor), in the order in which they came, and the batch puts the
-answers back to its tokens; the pointers give the number of different successors. So counts are exact over the whole training corpus, a model of any
-size is spread over the shards, and nothing goes through the driver but a few sums.
-
-A context with more tokens than a shard should hold is dealt over shards by its successors.
-
-Defined cases: a null or empty text is its end token alone; a null doc_id is training data (it has
-no checksum); repeated rows count and return as often as they stand; an empty table gives an empty
-result; further columns are ignored. Successors are told apart by 32 bits of hash within a context.
+Tokens are kept in batches of documents. A batch sends one row per distinct context, with the
+context's distinct successors and their training counts: as many rows as it has different words,
+whatever the size of the corpus. Rows are shuffled by context. A task adds up the counts of the
+contexts that it holds, some SHARD_BIGRAMS entries at a time, and builds their trie: level 1 has the
+contexts with counts, level 2 their successors with quantised discounted probabilities. A successor
+is numbered relative to its context, by its place among the successors that are asked for there. Both
+levels and the pointers between them are Elias-Fano coded monotone sequences in one memory-mapped
+file. Questions are answered by successor search in the range that the context's pointers give; the
+pointers also give the number of different successors. The batch puts the answers back to its tokens.
+So counts are exact over the whole training corpus, a model of any size is spread over the tasks, and
+nothing goes through the driver but two sums.
+
+A context of over SPLIT training tokens is dealt by its successors: each part answers for its own.
+
+Words are told apart by 64 bits of hash. Defined cases: a null or empty text is its end token alone;
+a null doc_id is training data (it has no checksum); repeated rows count and return as often as they
+stand; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,17 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import cut
+from marketweave.llm.common import cut, saved, small
 
 DISCOUNT = 0.75
-#: Characters of a batch of documents; distinct bigrams that a shard is meant for.
-BATCH_CHARS, SHARD_BIGRAMS = 10_000_000, 1_500_000
+#: Characters of a batch of documents; entries of a trie; training tokens of a context that is not dealt out.
+BATCH_CHARS, SHARD_BIGRAMS, SPLIT = 10_000_000, 1_000_000, 2_000_000
 #: Steps of log10 between the least and the greatest discounted count of a context.
 STEPS = 254
 
@@ -168,17 +172,17 @@ class Monotone:
 class Trie:
     """Two levels in one memory-mapped file: contexts with counts, successors with probabilities."""
 
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray, owner: np.ndarray, successors: np.ndarray, bigrams: np.ndarray, low: int, high: int):
-        """contexts: sorted hashes in [low, high); owner: position of each bigram's context, sorted; successors: 32 bits, sorted per context."""
-        self.base = np.uint64(low)
-        kinds = np.bincount(owner, minlength=len(contexts))
-        first = Monotone.encode(contexts - self.base, high - low)
-        pointers = Monotone.encode(np.concatenate([[0], np.cumsum(kinds)]), len(owner) + 1)
-        second = Monotone.encode(owner.astype(np.uint64) << np.uint64(32) | successors.astype(np.uint64), max(1, len(contexts)) << 32)
-        codes = quantise(bigrams, counts[owner])
-        parts = [x for m in (first, pointers, second) for x in (m.low, m.high, m.zeros)] + [counts.astype(np.uint32), codes]
-        handle, self.path = tempfile.mkstemp(suffix=".trie")
-        with os.fdopen(handle, "wb") as out:
+    def __init__(self, contexts: np.ndarray, counts: np.ndarray, numbered: np.ndarray, owner: np.ndarray, successors: np.ndarray, bigrams: np.ndarray):
+        """contexts: sorted hashes; numbered: how many successors are numbered in each; owner: place of each bigram's context, sorted; successors: numbers in it, sorted."""
+        self.base = contexts[0] if len(contexts) else np.uint64(0)
+        bounds = np.concatenate([[0], np.cumsum(numbered)])
+        first = Monotone.encode(contexts - self.base, int(contexts[-1] - self.base) + 1 if len(contexts) else 1)
+        pointers = Monotone.encode(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(contexts)))]), len(owner) + 1)
+        ranges = Monotone.encode(bounds, int(bounds[-1]) + 1)
+        second = Monotone.encode(bounds[owner] + successors, int(bounds[-1]) + 1)
+        parts = [x for m in (first, pointers, ranges, second) for x in (m.low, m.high, m.zeros)] + [counts.astype(np.int64), quantise(bigrams, counts[owner])]
+        with tempfile.NamedTemporaryFile(suffix=".trie", delete=False) as out:
+            self.path = out.name
             for x in parts:
                 out.write(x.tobytes())
                 out.write(bytes(-x.nbytes % 8))
@@ -187,30 +191,30 @@ class Trie:
         for x in parts:
             mapped.append(np.memmap(self.path, dtype=x.dtype, mode="r", offset=at, shape=x.shape) if x.size else x)
             at += x.nbytes + -x.nbytes % 8
-        self.first, self.pointers, self.second = (Monotone(m.size, m.bits, *mapped[3 * i : 3 * i + 3]) for i, m in enumerate((first, pointers, second)))
-        self.counts, self.probability = mapped[9:]
+        # the file goes with the last mapping of it, also where a task dies
+        os.unlink(self.path)
+        self.first, self.pointers, self.ranges, self.second = (Monotone(m.size, m.bits, *mapped[3 * i : 3 * i + 3]) for i, m in enumerate((first, pointers, ranges, second)))
+        self.counts, self.probability = mapped[12:]
 
     def contexts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position (-1: unknown), count and number of successors of each context."""
-        at = self.first.find(hashes - self.base)
-        known = np.maximum(at, 0)
         if not self.first.size:
-            return at, np.zeros(len(at), np.uint32), np.zeros(len(at), np.uint32)
-        kinds = self.pointers.get(known + 1) - self.pointers.get(known)
+            return np.full(len(hashes), -1), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        inside = (hashes >= self.base) & (hashes - self.base <= self.first.get(np.array([self.first.size - 1]))[0])
+        at = np.where(inside, self.first.find(np.where(inside, hashes - self.base, np.uint64(0))), -1)
+        known = np.maximum(at, 0)
+        kinds = (self.pointers.get(known + 1) - self.pointers.get(known)).astype(np.int64)
         return at, np.where(at >= 0, self.counts[known], 0), np.where(at >= 0, kinds, 0)
 
     def codes(self, at: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Code of each bigram (context position, successor), 0 where it was never seen."""
+        """Code of each bigram (context position, number of the successor in it), 0 where it was never seen."""
         out = np.zeros(len(at), dtype=np.uint8)
         known = np.flatnonzero(at >= 0)
-        found = self.second.find(at[known].astype(np.uint64) << np.uint64(32) | successors[known].astype(np.uint64))
-        out[known[found >= 0]] = self.probability[found[found >= 0]]
+        place = self.second.find(self.ranges.get(at[known]) + successors[known].astype(np.uint64))
+        within = (place >= self.pointers.get(at[known]).astype(np.int64)) & (place < self.pointers.get(at[known] + 1).astype(np.int64))
+        out[known[within]] = self.probability[place[within]]
         return out
 
-    def close(self) -> None:
-        self.first = self.pointers = self.second = self.counts = self.probability = None
-        os.unlink(self.path)
-
 
 def held_out(column: str = "doc_id", parts: int = 7, part: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % parts == part, F.lit(False))
@@ -275,110 +279,127 @@ class Batch:
         self.owner, self.successor = self.pairs >> 32, self.pairs & 0xFFFFFFFF
 
 
-_MESSAGES = "shard int, batch long, lead boolean, contexts binary, counts binary, kinds binary, successors binary, pairs binary"
-_ANSWERS = "shard int, batch long, counts binary, kinds binary, codes binary, n long, v long"
+_ROWS = "context long, batch long, count long, names array<long>, counts array<int>"
+_ANSWERS = "batch long, context long, part int, count long, kinds long, codes binary"
 
 
-def _ask(batches: DataFrame, bits: int, hot: dict[int, tuple[int, int]]) -> DataFrame:
-    """Messages of each batch to each shard. hot: hash to (first shard, number of shards)."""
+def _asked(batches: DataFrame) -> DataFrame:
+    """A row per batch and context: the context's training count there, its distinct successors in unsigned order and theirs."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in rows:
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
             for row in record.to_pylist():
                 b = Batch(row)
                 words = np.cumsum(unpack(row["words"], "u8"))
                 weight = np.repeat(b.train, b.sizes + 1)
-                counts = np.bincount(b.left, weight, len(words)).astype(np.uint32)
-                pairs = np.bincount(b.inverse, weight, len(b.pairs)).astype(np.uint32)
+                counts = np.bincount(b.left, weight, len(words)).astype(np.int64)
+                pairs = np.bincount(b.inverse, weight, len(b.pairs)).astype(np.int32)
                 starts = np.searchsorted(b.owner, np.arange(len(words) + 1))
-                split = [int(i) for i in np.flatnonzero(np.isin(words, np.array(list(hot), dtype=np.uint64)))]
-                special = np.zeros(len(words), dtype=bool)
-                special[split] = True
-                shard = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), dtype=np.int64)
-                names = (words[b.successor] >> np.uint64(32)).astype(np.uint32)
-                out = []
-
-                def message(to: int, lead: bool, own: np.ndarray, sizes: np.ndarray, take: np.ndarray) -> None:
-                    out.append((to, row["batch"], lead, pack(np.diff(words[own], prepend=np.uint64(0))), pack(counts[own]), pack(sizes.astype(np.int32)), pack(names[take].view(np.uint8).reshape(-1, 4).T), pack(pairs[take])))
-
-                plain = np.flatnonzero(~special)
-                edges = np.searchsorted(shard[plain], np.arange((1 << bits) + 1))
-                for s in range(1 << bits):
-                    own = plain[edges[s] : edges[s + 1]]
-                    if len(own):
-                        take = np.arange(starts[own[0]], starts[own[-1] + 1])
-                        message(s, True, own, starts[own + 1] - starts[own], take[~special[b.owner[take]]])
-                for v in split:
-                    first, many = hot[int(words[v])]
-                    part = (names[starts[v] : starts[v + 1]].astype(np.uint64) * np.uint64(many)) >> np.uint64(32)
-                    for s in range(many):
-                        take = starts[v] + np.flatnonzero(part == s)
-                        message(first + s, s == 0, np.array([v]), np.array([len(take)]), take)
-                # for the batch itself: which of its contexts are dealt out
-                out.append((-1 - row["batch"] % (1 << 20), row["batch"], False, pack(np.array(split, dtype=np.int64)), pack(np.array([hot[int(words[v])] for v in split], dtype=np.int64).reshape(-1, 2)), b"", b"", b""))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5))], names=["shard", "batch", "lead", "contexts", "counts", "kinds", "successors", "pairs"])
-
-    return batches.select("batch", "ids", "missing", "train", "sizes", "words", "tokens").mapInArrow(run, _MESSAGES)
-
-
-def _answer(messages: DataFrame, bits: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = []
-        if rows[0]["shard"] < 0:
-            out = [(r["shard"], r["batch"], r["contexts"], r["counts"], b"", 0, 0) for r in rows]
-        else:
-            contexts = [np.cumsum(unpack(r["contexts"], "u8")) for r in rows]
-            counts = [unpack(r["counts"], "u4") for r in rows]
-            kinds = [unpack(r["kinds"], "i4") for r in rows]
-            successors = [unpack(r["successors"], "u1").reshape(4, -1).T.copy().view("u4").ravel() for r in rows]
-            pairs = [unpack(r["pairs"], "u4") for r in rows]
-            name, of = np.unique(np.concatenate(contexts), return_inverse=True)
-            total = np.bincount(of, np.concatenate(counts)).astype(np.int64)
-            key = np.repeat(of, np.concatenate(kinds)).astype(np.uint64) << np.uint64(32) | np.concatenate(successors).astype(np.uint64)
-            distinct, back = np.unique(key, return_inverse=True)
-            bigrams = np.bincount(back, np.concatenate(pairs), len(distinct)).astype(np.int64)
-            # the trie holds what training has seen
-            seen = total > 0
-            position = np.cumsum(seen) - 1
-            kept = bigrams > 0
-            owner = position[(distinct[kept] >> np.uint64(32)).astype(np.int64)]
-            span = 1 << (64 - bits)
-            low = int(name[0]) // span * span
-            trie = Trie(name[seen], total[seen], owner, (distinct[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32), bigrams[kept], low, low + span)
-            at, count, kind = trie.contexts(name)
-            code = trie.codes(at[(distinct >> np.uint64(32)).astype(np.int64)], distinct & np.uint64(0xFFFFFFFF))
-            trie.close()
-            lead = bool(rows[0]["lead"])
-            i = j = 0
-            for k, r in enumerate(rows):
-                own = of[i : i + len(contexts[k])]
-                out.append((r["shard"], r["batch"], pack(count[own].astype(np.uint32)), pack(kind[own].astype(np.uint32)), pack(code[back[j : j + len(successors[k])]]), int(total.sum()) if lead and not k else 0, int(seen.sum()) if lead and not k else 0))
-                i, j = i + len(own), j + len(successors[k])
-        return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["shard", "batch", "counts", "kinds", "codes", "n", "v"])
-
-    return messages.groupBy("shard").applyInArrow(run, _ANSWERS)
-
-
-def _score(batches: DataFrame, answers: DataFrame, bits: int, n: int, v: int) -> DataFrame:
+                names = words[b.successor].view(np.int64)
+                for at in range(0, len(words), 10_000):
+                    own = slice(at, min(at + 10_000, len(words)))
+                    low, high = starts[own.start], starts[own.stop]
+                    offsets = pa.array((starts[own.start : own.stop + 1] - low).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[low:high])) for x in (names, pairs)]
+                    yield pa.RecordBatch.from_arrays([pa.array(words[own].view(np.int64)), pa.array(np.full(own.stop - at, row["batch"])), pa.array(counts[own]), *lists], names=["context", "batch", "count", "names", "counts"])
+
+    return batches.select("batch", "ids", "missing", "train", "sizes", "words", "tokens").mapInArrow(run, _ROWS)
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows with their part: a row of a context in hot (context, many) is dealt into so many by the successors' hashes."""
+    share = lambda x: F.shiftright(F.shiftrightunsigned(x, 32) * F.col("many"), 32)
+    parted = rows.join(small(hot), "context", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1)))
+    mine = lambda x: share(x) == F.col("part")
+    dealt = F.filter(F.arrays_zip("names", "counts"), lambda x: mine(x["names"]))
+    parted = parted.withColumn("dealt", F.when(F.col("many").isNotNull(), dealt))
+    names, counts = (F.when(F.col("many").isNull(), F.col(c)).otherwise(F.col(f"dealt.{c}")) for c in ("names", "counts"))
+    return parted.select("context", "part", "batch", "count", names.alias("names"), counts.alias("counts"))
+
+
+def _answered(rows: DataFrame) -> DataFrame:
+    """Per row: the context's training count, the number of its different successors (of this part), and a code per name."""
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        part = table.column("part").to_numpy()
+        context = table.column("context").to_numpy()
+        # the parts of a context follow one another, and stand as contexts of their own
+        new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
+        of = np.cumsum(new) - 1
+        total = np.bincount(of, table.column("count").to_numpy()).astype(np.int64)
+        lists = [table.column(c).combine_chunks() for c in ("names", "counts")]
+        names, pairs = (x.flatten().to_numpy() for x in lists)
+        sizes = lists[0].value_lengths().to_numpy()
+        owner = np.repeat(of, sizes)
+        order = np.lexsort((names.view(np.uint64), owner))
+        sorted_names, sorted_owner = names[order], owner[order]
+        fresh = np.concatenate([[True], (sorted_names[1:] != sorted_names[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])])[: len(order)]
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.cumsum(fresh) - 1
+        bigrams = np.bincount(back, pairs, int(fresh.sum())).astype(np.int64)
+        asked = sorted_owner[fresh]
+        numbered = np.bincount(asked, minlength=len(total))
+        number = np.arange(len(asked)) - (np.cumsum(numbered) - numbered)[asked]
+        # the trie holds what training has seen; parts are told apart by the bits above those of the place
+        seen, kept = total > 0, bigrams > 0
+        position = np.cumsum(seen) - 1
+        hashes = np.arange(len(total), dtype=np.uint64) if (part > 0).any() else context[new].view(np.uint64)
+        by = np.argsort(hashes[seen], kind="stable")
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        owners = place[position[asked[kept]]] if kept.any() else np.zeros(0, dtype=np.int64)
+        line = np.argsort(owners, kind="stable")
+        trie = Trie(hashes[seen][by], total[seen][by], numbered[seen][by], owners[line], number[kept][line], bigrams[kept][line])
+        at, count, kinds = trie.contexts(hashes)
+        codes = trie.codes(at[asked], number)[back]
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
+        return pa.RecordBatch.from_arrays([table.column("batch").combine_chunks(), table.column("context").combine_chunks(), table.column("part").combine_chunks(), pa.array(count[of]), pa.array(kinds[of]), packed], names=["batch", "context", "part", "count", "kinds", "codes"])
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        entries = 0
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, entries
+            table = pa.Table.from_batches(held)
+            end = table.num_rows
+            if not last:
+                keys = [table.column(c).to_numpy() for c in ("context", "part")]
+                change = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))
+                end = int(change[-1]) + 1 if len(change) else 0
+            if end:
+                yield settle(table.slice(0, end).combine_chunks())
+            rest = table.slice(end)
+            held = rest.to_batches() if rest.num_rows else []
+            entries = int(pc.sum(pc.list_value_length(rest.column("names"))).as_py() or 0)
+
+        for record in records:
+            if not record.num_rows:
+                continue
+            held.append(record)
+            entries += int(pc.sum(pc.list_value_length(record.column("names"))).as_py() or 0)
+            if entries >= SHARD_BIGRAMS:
+                yield from whole(False)
+        if held:
+            yield from whole(True)
+
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = rows.repartition(count, "context", "part").sortWithinPartitions("context", "part")
+    return ready.select("context", "part", "batch", "count", "names", "counts").mapInArrow(run, _ANSWERS)
+
+
+def _score(batches: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
     def run(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
         b = Batch(own.to_pylist()[0])
-        rows = sorted(replies.to_pylist(), key=lambda r: r["shard"])
-        split, (first, many) = unpack(rows[0]["counts"], "i8"), unpack(rows[0]["kinds"], "i8").reshape(-1, 2).T
-        size = int(max(b.left.max(), b.right.max())) + 1
-        special = np.zeros(size, dtype=bool)
-        special[split] = True
-        count, kind, code = np.zeros(size), np.zeros(size), np.zeros(len(b.pairs), dtype=np.uint8)
-        plain = [r for r in rows if 0 <= r["shard"] < 1 << bits]
-        joined = lambda c, t: np.concatenate([unpack(r[c], t) for r in plain]) if plain else np.zeros(0, t)
-        count[~special], kind[~special] = joined("counts", "u4"), joined("kinds", "u4")
-        code[~special[b.owner]] = joined("codes", "u1")
-        of = {r["shard"]: r for r in rows}
-        for w, f, m in zip(split, first, many, strict=True):
-            parts = [of[s] for s in range(int(f), int(f + m))]
-            count[w] = unpack(parts[0]["counts"], "u4")[0]
-            kind[w] = sum(int(unpack(r["kinds"], "u4")[0]) for r in parts)
-            code[b.owner == w] = np.concatenate([unpack(r["codes"], "u1") for r in parts])
+        order = np.lexsort((replies.column("part").to_numpy(), replies.column("context").to_numpy().view(np.uint64)))
+        context = replies.column("context").to_numpy()[order]
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        count = replies.column("count").to_numpy()[order][first].astype(np.float64)
+        kind = np.add.reduceat(replies.column("kinds").to_numpy()[order], first).astype(np.float64)
+        codes = replies.column("codes").take(pa.array(order)).combine_chunks()
+        codes = codes if isinstance(codes, pa.Array) else pa.concat_arrays(codes.chunks)
+        code = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8)
         base = np.log10((count + 1) / (n + v + 1))
         seen = count[b.owner] > 0
         share = np.where(seen, DISCOUNT * kind[b.owner] / np.maximum(count[b.owner], 1), 1.0)
@@ -400,34 +421,30 @@ def _score(batches: DataFrame, answers: DataFrame, bits: int, n: int, v: int) ->
     return left.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
-def score(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
+def _words(batches: DataFrame) -> DataFrame:
+    """(context, n): training tokens of each word, with the end of texts as 0."""
+
+    def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            for row in record.to_pylist():
+                sizes, train = unpack(row["sizes"], "i4"), unpack(row["train"], "?")
+                tokens = unpack(row["tokens"], "u1").reshape(4, -1).T.copy().view("i4").ravel()
+                words = np.cumsum(unpack(row["words"], "u8"))
+                n = np.bincount(tokens, np.repeat(train, sizes), len(words)).astype(np.int64)
+                n[0] = train.sum()
+                yield pa.RecordBatch.from_pydict({"context": words.view(np.int64)[n > 0], "n": n[n > 0]})
+
+    return batches.select("train", "sizes", "words", "tokens").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+
+
+def score(docs: DataFrame, held_out: Column | None = None, split: int = SPLIT) -> DataFrame:
     """Per document of (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Documents with held_out true are scored and not learned from.
     """
     train = ~F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(True)
     batches = cut(batches_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))))
-    total = batches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    bits = max(6, (int(total) // SHARD_BIGRAMS).bit_length())
-
-    # words of over half a shard's share of all tokens: fewer than twice the number of shards
-    least = 0.5 / (1 << bits)
-
-    def heavy(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in rows:
-            for row in record.to_pylist():
-                tokens = unpack(row["tokens"], "u1").reshape(4, -1).T.copy().view("i4").ravel()
-                n = np.bincount(tokens, minlength=1)
-                n[0] = len(unpack(row["sizes"], "i4"))
-                often = np.flatnonzero(n >= least * row["n"])
-                yield pa.RecordBatch.from_pydict({"word": np.cumsum(unpack(row["words"], "u8"))[often].view(np.int64), "n": n[often]})
-
-    found = batches.select("n", "sizes", "words", "tokens").mapInArrow(heavy, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least * total).orderBy("word").collect()
-    hot, shard = {}, 1 << bits
-    for r in found:
-        many = int(np.ceil(r.n / total * (1 << bits) * 2))
-        hot[r.word % (1 << 64)] = (shard, many)
-        shard += many
-    answers = cut(_answer(_ask(batches, bits, hot), bits))
-    sums = answers.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    return _score(batches, answers, bits, sums.n, sums.v)
+    words = saved(_words(batches))
+    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    hot = words.where(F.col("n") > split).select("context", F.ceil(F.col("n") / split).cast("int").alias("many"))
+    return _score(batches, _answered(_dealt(_asked(batches), hot)), sums.n, sums.v)

@@ -328,8 +328,11 @@ def test_maximal_repeats():
 # -- language model
 
 
-def test_lm_scores(docs, rows):
-    got = by_id(lm_scoring.score(docs, lm_scoring.held_out()))
+@pytest.mark.parametrize("split", [40, 2_000_000])
+def test_lm_scores(docs, rows, split, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH_CHARS", 20_000)
+    monkeypatch.setattr(lm_scoring, "SHARD_BIGRAMS", 500 if split == 40 else 1_000_000)
+    got = by_id(lm_scoring.score(docs, lm_scoring.held_out(), split))
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     lines = [(i, (t or "").encode().lower().split() + [None]) for i, t, *_ in rows]
     one, two, kinds = Counter(), Counter(), Counter()
@@ -356,9 +359,12 @@ def test_lm_probabilities_are_not_clipped():
     counts = np.array([1, 40, 100_000_000])
     owner = np.array([0] + [1] * 3 + [2] * 1000)
     bigrams = np.array([1, 1, 3, 36] + [1] * 998 + [5_000_000, 94_999_002])
-    trie = lm_scoring.Trie(np.array([5, 9, 12], dtype=np.uint64), counts, owner, np.arange(len(owner), dtype=np.uint32), bigrams, 0, 1 << 64)
-    codes = trie.codes(owner, np.arange(len(owner), dtype=np.uint64))
-    trie.close()
+    numbered = np.bincount(owner) + 1
+    number = np.arange(len(owner)) - np.array([0, 1, 4])[owner]
+    trie = lm_scoring.Trie(np.array([5, 9, 12], dtype=np.uint64), counts, numbered, owner, number, bigrams)
+    codes = trie.codes(owner, number)
+    assert not trie.codes(np.array([0, 1, 2, -1]), numbered[[0, 1, 2, 0]] - 1).any()  # numbered, but never seen
+    assert trie.contexts(np.array([5, 9, 12, 0, 7, 99], dtype=np.uint64))[0].tolist() == [0, 1, 2, -1, -1, -1]
     found, want = lm_scoring.probability(codes, counts[owner]), (bigrams - 0.75) / counts[owner]
     assert np.allclose(found[bigrams == 1], want[bigrams == 1], rtol=1e-9)
     assert (np.abs(np.log10(found / want)) <= 0.018).all()
