@@ -86,3 +86,8 @@ def health(run: Column, inspection: Column, reference: Column, now: Column) -> C
     """never_run, broken (failed, or older than 72 hours), degraded (warning, or older than 36) or healthy."""
     age = now.cast("timestamp").cast("double") - F.coalesce(reference, run).cast("timestamp").cast("double")
     return F.when(run.isNull(), "never_run").when((inspection == "failed") | (age > 72 * 3600), "broken").when((age > 36 * 3600) | (inspection == "warning"), "degraded").otherwise("healthy")
+
+
+def scale_top(values: Column) -> Column:
+    """The end of a scale for values of either sign: 1.15 times the greatest, 0.01 at least (an aggregate)."""
+    return F.greatest(F.max(F.abs(values)) * 1.15, F.lit(0.01))

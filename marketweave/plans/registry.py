@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketweave.plans import checks, market, news, series
+from marketweave.plans import checks, flows, market, news, series
 
-QUERIES = {**series.QUERIES, **market.QUERIES, **news.QUERIES, **checks.QUERIES}
-ORACLE_SQL = {**series.ORACLE_SQL, **market.ORACLE_SQL, **news.ORACLE_SQL, **checks.ORACLE_SQL}
+QUERIES = {**series.QUERIES, **market.QUERIES, **news.QUERIES, **checks.QUERIES, **flows.QUERIES}
+ORACLE_SQL = {**series.ORACLE_SQL, **market.ORACLE_SQL, **news.ORACLE_SQL, **checks.ORACLE_SQL, **flows.ORACLE_SQL}
