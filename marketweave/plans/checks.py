@@ -94,10 +94,10 @@ def usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT status, count(*) AS runs FROM (SELECT CASE WHEN o_orderstatus = 'O' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 15 MINUTE THEN 'failed' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'done' END AS status FROM orders) GROUP BY status""")
 def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    last = o.agg(F.max("o_orderdate")).first()[0]
-    runs = o.select(F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), F.col("o_orderdate").alias("started"), F.lit(None).cast("timestamp_ntz").alias("heartbeat"))
-    return R.recover_stale(runs, F.lit(last)).groupBy("status").agg(F.count("*").alias("runs"))
+    o = table(spark, sf_dir, "orders").withColumn("k", F.lit(1))
+    runs = o.join(o.groupBy("k").agg(F.max("o_orderdate").alias("now")), "k")
+    runs = runs.select("now", F.when(F.col("o_orderstatus") == "O", "running").otherwise("done").alias("status"), F.col("o_orderdate").alias("started"), F.lit(None).cast("timestamp_ntz").alias("heartbeat"))
+    return R.recover_stale(runs, F.col("now")).groupBy("status").agg(F.count("*").alias("runs"))
 
 
 _LOCAL = "(ts + INTERVAL 8 HOUR)"

@@ -68,9 +68,11 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.duplicates(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
-@query("SELECT event_id, event_type, ts, previous FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS previous FROM events) WHERE ts < previous")
+@query("SELECT event_id, event_type, ts, previous FROM (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id % 97 * 1000000 + event_id) AS previous FROM events) WHERE ts < previous")
 def sequence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.out_of_order(table(spark, sf_dir, "events"), ["event_type"], "event_id", "ts").select("event_id", "event_type", "ts", "previous")
+    """Events that arrive in 97 runs, each of which begins anew."""
+    e = table(spark, sf_dir, "events").withColumn("arrival", F.col("event_id") % 97 * 1_000_000 + F.col("event_id"))
+    return Q.out_of_order(e, ["event_type"], "arrival", "ts").select("event_id", "event_type", "ts", "previous")
 
 
 @query("""WITH s AS (SELECT event_type, ts, time_bucket(INTERVAL 8 HOUR, ts) AS start FROM events), m AS (SELECT *, CASE WHEN ts < start + INTERVAL 30 MINUTE THEN start END AS slot FROM s)
@@ -186,9 +188,9 @@ def union_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy(F.col("value").desc(), "kind", "id").limit(100)
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("SELECT o_custkey AS id FROM orders UNION SELECT s_suppkey FROM supplier")

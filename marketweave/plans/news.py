@@ -156,11 +156,17 @@ def contains_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("text").ilike("%data%") | F.col("source").ilike("SRC1%")).groupBy("lang").agg(F.count("*").alias("documents"))
 
 
-@query(r"""WITH s AS (SELECT conv_id, turn, regexp_replace(trim(text), '\s+', ' ', 'g') AS t FROM conversations)
-SELECT conv_id, substr(array_to_string(list_distinct([t1, t2]), chr(10)), 1, 12000) AS body FROM (SELECT conv_id, max(t) FILTER (WHERE turn = 0) AS t1, NULL AS t2 FROM s GROUP BY conv_id) WHERE t1 IS NOT NULL AND t1 <> ''""")
+@query(r"""WITH s AS (SELECT conv_id, turn, regexp_replace(trim(text), '\s+', ' ', 'g') AS t FROM conversations), p AS (SELECT conv_id, max(t) FILTER (WHERE turn = 0) AS a, max(t) FILTER (WHERE turn = 1) AS b, max(t) FILTER (WHERE turn >= 2) AS c FROM s GROUP BY conv_id),
+q AS (SELECT conv_id, list_filter([a, b, a, c, NULL], lambda x: x IS NOT NULL AND x <> '') AS l FROM p)
+SELECT conv_id, substr(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)), 1, 12000) AS body FROM q WHERE len(l) > 0""")
 def stored_body(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "conversations").where("turn = 0").groupBy("conv_id").agg(F.max("text").alias("t"))
-    return first.select("conv_id", text.stored_body([F.col("t"), F.col("t"), F.lit(None).cast("string")]).alias("body")).where("body <> ''")
+    """Several parts of a conversation, one of them twice, joined."""
+    part = lambda which: F.max(F.when(which, F.col("text")))
+    turn = F.col("turn")
+    # the greatest text of a range of turns, after its white space is flat
+    flat = table(spark, sf_dir, "conversations").withColumn("text", text.tidy(F.col("text")))
+    parts = flat.groupBy("conv_id").agg(part(turn == 0).alias("a"), part(turn == 1).alias("b"), part(turn >= 2).alias("c"))
+    return parts.select("conv_id", text.stored_body([F.col("a"), F.col("b"), F.col("a"), F.col("c"), F.lit(None).cast("string")]).alias("body")).where("body <> ''")
 
 
 @query()
