@@ -38,9 +38,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import saved, text_of
+from marketweave.llm.common import saved, small, text_of
 
-LENGTH, LEAST, GRAM = 400, 300, 16
+LENGTH, LEAST, GRAM = 400, 300, 32
 #: Different regions of a gram that meet in one array; offsets of the blocks by which larger ones are split.
 BUCKET, BLOCKS = 256, (64, 8, 1)
 #: Bytes of texts that a task hashes at once, and of regions that share a suffix array.
@@ -294,6 +294,8 @@ def _in_arrays(regions: DataFrame, length: int, least_: int) -> DataFrame:
         held = 0
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "own", "bytes")), strict=True):
+                if rows and rows[-1][:3] == r[:3]:
+                    continue
                 if held > ARRAY and rows[-1][0] != r[0]:
                     yield from settle(rows)
                     rows, held = [], 0
@@ -303,7 +305,7 @@ def _in_arrays(regions: DataFrame, length: int, least_: int) -> DataFrame:
             yield from settle(rows)
 
     count = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return regions.select("gram", "doc", "start", "own", "bytes").repartition(count, "gram").sortWithinPartitions("gram").mapInArrow(run, _SPAN)
+    return regions.select("gram", "doc", "start", "own", "bytes").repartition(count, "gram").sortWithinPartitions("gram", "doc", "start").mapInArrow(run, _SPAN)
 
 
 def _finer(regions: DataFrame, block: int, length: int, least_: int) -> DataFrame:
@@ -357,42 +359,49 @@ def _split(hot: DataFrame, length: int, least_: int, bucket: int) -> list[DataFr
 
 
 def spans(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(doc, start, stop, cut): byte spans of docs (doc, text) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap."""
+    """(doc, start, stop, cut): byte spans of docs (doc, text, ..) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap."""
     found = saved(occurrences(docs, length, least_, gram))
-    regions = saved(found.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("x")))
-    grams = regions.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    whole = found.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi")
+    # most grams occur once: their anchors own no repeat
+    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    kept = saved(found.join(twice, "gram", "left_semi"))
+    regions = saved(kept.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("x")))
+    whole = kept.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi")
     whole = whole.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _size(F.col("place"))).alias("stop"), (_size(F.col("place")) >= length).alias("cut"))
-    mixed = regions.join(grams, "gram").select("gram", "kinds", "x.*")
-    wanted = mixed.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "place")).alias("want"))
+    grams = regions.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = saved(regions.join(grams, "gram").select("gram", "kinds", "x.*"))
+
+    def wanted(which: Column) -> DataFrame:
+        return mixed.where(which).groupBy("doc").agg(F.collect_list(F.struct("gram", "place")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        names = ["gram", "kinds", "doc", "start", "lead", "own", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        names = ["gram", "doc", "start", "lead", "own", "bytes"]
+        last = None
         for batch in batches:
             out: list[tuple] = []
-            for key, text, want in zip(batch.column("doc"), batch.column("text"), batch.column("want"), strict=True):
-                raw = text.as_py().encode()
+            for key, text, want in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("want"), strict=True):
+                if key == last:  # equal rows share a key and follow one another: one of them is enough
+                    continue
+                last, raw = key, text.as_py().encode()
                 for w in want.as_py():
                     place = w["place"]
                     start = place >> 32
-                    out.append((w["gram"], w["kinds"], key.as_py(), start, place >> 22 & 0x3FF, place >> 12 & 0x3FF, raw[start : start + (place & 0xFFF)]))
+                    out.append((w["gram"], key, start, place >> 22 & 0x3FF, place >> 12 & 0x3FF, raw[start : start + (place & 0xFFF)]))
                 if len(out) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    # equal rows share a key: one of them is enough
-    texts = docs.select("doc", "text").join(wanted, "doc").dropDuplicates(["doc"])
-    fetched = saved(texts.mapInArrow(fetch, "gram long, kinds long, doc long, start long, lead int, own int, bytes binary"))
-    parts = [whole, _in_arrays(fetched.where(F.col("kinds") <= bucket), length, least_)]
-    hot = fetched.where(F.col("kinds") > bucket)
-    if not hot.isEmpty():
-        parts += _split(hot, length, least_, bucket)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    def fetched(want: DataFrame) -> DataFrame:
+        return docs.join(want, "doc").mapInArrow(fetch, "gram long, doc long, start long, lead int, own int, bytes binary")
+
+    # docs are joined whole: a later join of the same rows by doc takes over what is shuffled here
+    result = whole.unionByName(_in_arrays(fetched(wanted(F.col("kinds") <= bucket)), length, least_))
+    if not mixed.where(F.col("kinds") > bucket).isEmpty():
+        hot = saved(fetched(small(wanted(F.col("kinds") > bucket))).dropDuplicates(["gram", "doc", "start"]))
+        for part in _split(hot, length, least_, bucket):
+            result = result.unionByName(part)
     return result
 
 
@@ -414,7 +423,7 @@ def remove(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int
     shorter than length are kept.
     """
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    marked = spans(keyed.select("doc", "text"), length, least_, gram, bucket).groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "cut")).alias("spans"))
+    marked = spans(keyed, length, least_, gram, bucket).groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "cut")).alias("spans"))
     kind = dict(keyed.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
