@@ -3,13 +3,13 @@
 Evidence: word forms and word beginnings that stand in toxic rather than clean documents of a
 labelled sample. A token's evidence, as a class of strength and support, is its observation. Tokens
 of strong evidence in toxic documents are labelled 1, all others 0, and a two-state chain with
-weights for a token's own and its neighbours' classes and for transitions is fitted to windows of
-the sample. Forward-backward marginals then give, per document, the expected number of toxic
+weights for a token's own and its neighbours' classes and for transitions is fitted to the sample's
+whole texts, in pieces of SPAN tokens; equal pieces are one with a weight. Forward-backward marginals then give, per document, the expected number of toxic
 tokens, the highest marginal and the offending offsets; a logistic curve over the first two and
 their share, fitted to the sample's document labels, gives the score.
 
-The sample is bounded (SAMPLE labelled documents, by hash of their ids; FORMS forms; WINDOWS
-windows); scoring reads every token of every text.
+The sample is bounded (SAMPLE labelled documents, by hash of their ids), and with it all that is
+collected of it; nothing of the sample is left out. Scoring reads every token of every text.
 
 Defined cases: a null or empty text is scored as one without tokens; a null label isn't used;
 without both classes in the sample every score is the share of toxic rows (0 without rows);
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from marketweave.llm.common import cut, text_of
 
-SAMPLE, FORMS, WINDOWS = 20_000, 8_192, 8_000
-SPAN = 32
+#: Labelled documents that are learned from at most; tokens of a piece of them.
+SAMPLE, SPAN = 20_000, 32
 PREFIXES = (4, 5, 6)
 LEAST_TOXIC, LEAST_ODDS = 3, 2.0
 ODDS = np.array([3.0, 4.0, 5.0, 6.0, 7.0])
@@ -139,25 +139,26 @@ def marginals(model: Model, documents: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fit_chain(model: Model, classes: np.ndarray, labels: np.ndarray, rounds: int = 150) -> None:
-    """Maximum likelihood of the labels of windows (rows of SPAN tokens) by Adam, with a ridge."""
-    n, width = classes.shape
-    size = np.full(n, width)
+def fit_chain(model: Model, classes: np.ndarray, labels: np.ndarray, times: np.ndarray, rounds: int = 150) -> None:
+    """Maximum likelihood of the labels of pieces (rows of SPAN tokens), each of which stands so many times, by Adam, with a ridge."""
+    width = classes.shape[1]
+    n, size = times.sum(), np.full(len(classes), width)
+    weight = times[:, None].astype(np.float64)
     weights = [model.own, model.before, model.after, model.moves]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     seen_moves = np.zeros((2, 2))
-    np.add.at(seen_moves, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
+    np.add.at(seen_moves, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), np.repeat(times, width - 1))
     for step in range(1, rounds + 1):
         odds = potentials(model, classes, size)
         forward, backward = chain(odds, size, model.moves)
         p = forward * backward / (1 + forward * backward)
-        gap = labels - p
+        gap = (labels - p) * weight
         own = np.bincount(classes.ravel(), gap.ravel(), CLASSES)
         before = np.bincount(classes[:, :-1].ravel(), gap[:, 1:].ravel(), CLASSES)
         after = np.bincount(classes[:, 1:].ravel(), gap[:, :-1].ravel(), CLASSES)
         m, r, e = np.exp(model.moves), forward[:, :-1], (odds * backward)[:, 1:]
         joint = np.stack([np.full_like(r, m[0, 0]), m[0, 1] * e, m[1, 0] * r, m[1, 1] * r * e])
-        moves = seen_moves - (joint / joint.sum(axis=0)).sum(axis=(1, 2)).reshape(2, 2)
+        moves = seen_moves - (joint / joint.sum(axis=0) * weight).sum(axis=(1, 2)).reshape(2, 2)
         for i, (w, g) in enumerate(zip(weights, (own, before, after, moves), strict=True)):
             g = g / n - 1e-4 * w
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -218,28 +219,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counted = rows.mapInArrow(count_forms, "form string, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     strong = counted.where(F.col("toxic") >= LEAST_TOXIC).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    model.evidence = {r.form: (r.toxic, r.clean) for r in strong.orderBy((F.col("odds") * F.col("toxic")).desc(), "form").limit(FORMS).collect()}
+    model.evidence = {r.form: (r.toxic, r.clean) for r in strong.collect()}
 
-    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(model)
         for batch in batches:
-            out = []
+            found: Counter = Counter()
             for text, label in zip(batch.column("text"), batch.column("toxic"), strict=True):
-                found = classes.of(tokens(text.as_py()), label.as_py())
-                told = np.flatnonzero(found)
-                middle = len(found) // 2
-                for at in {int(told[0]), int(told[-1]), middle} if len(told) else {middle}:
-                    start = max(0, min(at - SPAN // 2, len(found) - SPAN))
-                    window = np.zeros(SPAN, dtype=np.int8)
-                    window[: len(found[start : start + SPAN])] = found[start : start + SPAN]
-                    out.append((window.tobytes(), label.as_py()))
-            yield pa.RecordBatch.from_pydict({"window": pa.array([w for w, _ in out], pa.binary()), "toxic": pa.array([y for _, y in out], pa.int32())})
-
-    windows = rows.mapInArrow(cut_windows, "window binary, toxic int").orderBy(F.xxhash64("window", "toxic")).limit(WINDOWS).collect()
-    x = np.stack([np.frombuffer(bytes(r.window), dtype=np.int8) for r in windows])
+                line = classes.of(tokens(text.as_py()), label.as_py())
+                padded = np.zeros(-(-len(line) // SPAN) * SPAN, dtype=np.int8)
+                padded[: len(line)] = line
+                for piece in padded.reshape(-1, SPAN):
+                    # without evidence a piece is the same in either kind of document
+                    found[piece.tobytes(), label.as_py() if piece.any() else 0] += 1
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([w for w, _ in found], pa.binary()), "toxic": pa.array([y for _, y in found], pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+
+    pieces = rows.mapInArrow(cut_pieces, "piece binary, toxic int, n long").groupBy("piece", "toxic").agg(F.sum("n").alias("n")).orderBy("piece", "toxic").collect()
+    x = np.stack([np.frombuffer(bytes(r.piece), dtype=np.int8) for r in pieces])
     strength = np.concatenate([[0.0], np.repeat(np.concatenate([[LEAST_ODDS], ODDS]), len(SUPPORT) + 1)])
-    y = (strength[x] >= STRONG) & (np.array([r.toxic for r in windows]) == 1)[:, None]
-    fit_chain(model, x, y.astype(np.int64))
+    y = (strength[x] >= STRONG) & (np.array([r.toxic for r in pieces]) == 1)[:, None]
+    fit_chain(model, x, y.astype(np.int64), np.array([r.n for r in pieces]))
     scored = _features(rows.select(F.lit(0).cast("long").alias("doc_id"), "text", "toxic"), model, keep="toxic").select("f0", "f1", "f2", "toxic").collect()
     model.curve = fit_curve(np.array([[r.f0, r.f1, r.f2] for r in scored]), np.array([r.toxic for r in scored], dtype=float))
     return model
