@@ -5,8 +5,8 @@ emitted floor(rate) times plus one more time with probability rate - floor(rate)
 hash of its id, so that reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a
-source without words has target 0 and rate 0; repeated rows with one id draw alike; a null id
-draws like any other value; an empty table gives an empty result; further columns are kept (those
+source without words has target 0 and rate 0; repeated rows with one id draw alike; rows of null id
+draw by their texts, where docs has them; an empty table gives an empty result; further columns are kept (those
 of `copies` that are named as its results are replaced).
 """
 
@@ -54,9 +54,13 @@ def rates(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[
 
 
 def copies(docs: DataFrame, per_source: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with source_size, target and copies, the number of times the mix takes each document."""
+    """docs with source_size, target and copies, the number of times the mix takes each document.
+
+    The words taken of a source have a standard deviation of sqrt(sum of size^2 * f * (1 - f)), f the fraction of its rate.
+    """
     rate = F.col("__rate")
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    unnamed = F.concat(F.lit("text:"), F.coalesce(F.md5("text"), F.lit(""))) if "text" in docs.columns else F.lit("")
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), unnamed))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     side = per_source.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     joined = docs.join(small(side), docs["source"].eqNullSafe(side["__source"]))
@@ -65,6 +69,6 @@ def copies(docs: DataFrame, per_source: DataFrame, seed: int = 7) -> DataFrame:
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """The mixed corpus: the columns of docs, each document repeated as its source's rate asks."""
-    rows = docs.select("doc_id", "source", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     taken = copies(rows, rates(docs, share, cap, weights), seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

@@ -46,7 +46,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    taken = mixing.copies(docs.select("doc_id", "source", mixing.word_count().alias("size")), mixing.rates(docs))
+    taken = mixing.copies(docs.select("doc_id", "source", "text", mixing.word_count().alias("size")), mixing.rates(docs))
     return taken.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -129,6 +129,17 @@ def test_mix_repeats_rows_and_keeps_columns(docs):
     assert {r["copies"] for r in mixed.collect()} == {1}  # the documents' own column
 
 
+def test_mixing_rows_without_ids_draw_apart(spark):
+    rows = [(None, f"some words of text number {i}", s) for i in range(900) for s in "abc"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    per = {r["source"]: r for r in mixing.rates(frame).collect()}
+    got = mixing.mix(frame).groupBy("source").agg(F.sum(mixing.word_count()).alias("n")).collect()
+    for r in got:
+        part = per[r["source"]]["rate"] % 1
+        spread = math.sqrt(900 * 36 * part * (1 - part))
+        assert abs(r["n"] - per[r["source"]]["target"]) <= 4 * spread + 1e-6
+
+
 # -- winnowing
 
 
