@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketweave.operators.chunks import DAY, chunk_of
+
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str], width: int = DAY) -> DataFrame:
     """left with `values` of the latest row of right at or before its time, by key.
 
-    One shuffle by key: both sides are merged in time order and the last right row is carried
-    forward. No pair of rows is made, so a hot key costs a sort, not a product.
+    Both sides are merged in time order by key and chunk of `width` seconds, and the last right row is carried
+    forward. What a chunk doesn't know it takes from the last chunk before it that has a right row: a table of
+    a row per key and chunk. No pair of rows is made, and a hot key is spread over its chunks.
     """
     carried = F.struct(F.col(right_ts).alias("__at"), *values)
     kind = right.select(carried.alias("x")).schema["x"].dataType
     a = left.select(*keys, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__value"))
     row = a.schema["__row"].dataType
     b = right.select(*keys, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(row).alias("__row"), carried.alias("__value"))
-    w = Window.partitionBy(*keys).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__value", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
+    both = a.unionByName(b).withColumn("__chunk", chunk_of("__ts", width))
+    w = Window.partitionBy(*keys, "__chunk").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("__value", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
+    last = both.groupBy(*keys, "__chunk").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__ts"))).alias("__last"))
+    past = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = last.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__chunk").alias("__c"), F.last("__last", ignorenulls=True).over(past).alias("__before"))
+    same = reduce(lambda x, y: x & y, (inside[k].eqNullSafe(before[f"__{k}"]) for k in keys))
+    found = inside.join(before, same & inside["__chunk"].eqNullSafe(before["__c"]), "left").withColumn("__value", F.coalesce("__value", "__before"))
+    return found.select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
 
 
 def interval(points: DataFrame, spans: DataFrame, key: str, ts: str, start: str, stop: str, width: int) -> DataFrame:

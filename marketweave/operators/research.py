@@ -31,15 +31,20 @@ def observations(features: DataFrame, metrics: list[str], label: str) -> DataFra
 def split(obs: DataFrame, purge: str, share: float = 0.7) -> DataFrame:
     """obs with part: the first share of each metric's rows is discovery, the rest validation.
 
-    Discovery rows whose label reaches into validation are purged: they get no part.
+    Discovery rows whose label reaches into validation are purged: they get no part. The turn is found by counts per
+    day; only the rows of the day on which it falls are ranked. Rows of one metric at one time fall on one side.
     """
-    order = Window.partitionBy("symbol", "metric").orderBy("ts")
-    whole = Window.partitionBy("symbol", "metric")
-    ranked = obs.withColumns({"rank": F.row_number().over(order), "n": F.count("*").over(whole)})
-    ranked = ranked.withColumn("late", F.col("rank") > F.floor(F.col("n") * F.lit(share)))
-    ranked = ranked.withColumn("turn", F.min(F.when(F.col("late"), F.col("ts"))).over(whole))
-    part = F.when(F.col("late"), "validation").when(F.col("turn").isNull() | (F.col("ts") + F.expr(f"INTERVAL {purge}") < F.col("turn")), "discovery")
-    return ranked.withColumn("part", part).drop("rank", "late", "turn")
+    keys = ["symbol", "metric"]
+    days = obs.groupBy(*keys, F.to_date("ts").alias("day")).agg(F.count("*").alias("rows"))
+    done = F.sum("rows").over(Window.partitionBy(*keys).orderBy("day"))
+    whole = F.sum("rows").over(Window.partitionBy(*keys))
+    days = days.withColumns({"done": done, "cut": F.floor(whole * F.lit(share))})
+    turning = days.where((F.col("done") > F.col("cut")) & (F.col("done") - F.col("rows") <= F.col("cut"))).select(*keys, "day", (F.col("cut") - F.col("done") + F.col("rows")).alias("left"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("ts"))
+    on_day = obs.withColumn("day", F.to_date("ts")).join(turning, [*keys, "day"]).withColumn("rank", rank)
+    turn = on_day.where(F.col("rank") == F.col("left") + 1).select(*keys, F.col("ts").alias("turn"))
+    part = F.when(F.col("ts") >= F.col("turn"), "validation").when(F.col("turn").isNull() | (F.col("ts") + F.expr(f"INTERVAL {purge}") < F.col("turn")), "discovery")
+    return obs.join(turn, keys, "left").withColumn("part", part).drop("turn")
 
 
 def decile_study(obs: DataFrame, purge: str) -> DataFrame:
@@ -50,7 +55,7 @@ def decile_study(obs: DataFrame, purge: str) -> DataFrame:
     parts = split(obs, purge).where("part IS NOT NULL")
     cuts = parts.where("part = 'discovery'").groupBy("symbol", "metric").agg(*[F.expr(f"percentile_disc({k / 10}) WITHIN GROUP (ORDER BY x)").alias(f"c{k}") for k in range(1, 10)])
     bucket = sum(((F.col("x") >= F.col(f"c{k}")).cast("int") for k in range(2, 10)), (F.col("x") >= F.col("c1")).cast("int")) + 1
-    placed = parts.join(F.broadcast(cuts), ["symbol", "metric"]).withColumn("bucket", bucket)
+    placed = parts.join(cuts, ["symbol", "metric"]).withColumn("bucket", bucket)
     found = placed.groupBy("symbol", "metric", "bucket", "part").agg(F.count("*").alias("count"), F.avg("y").alias("mean_return"), F.avg(F.when(F.col("y") > 0, F.expr("1D")).otherwise(F.expr("0D"))).alias("up_share"))
     groups = cuts.select("symbol", "metric", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("bucket")).withColumn("part", F.explode(F.array(F.lit("discovery"), F.lit("validation"))))
     return groups.join(found, ["symbol", "metric", "bucket", "part"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
