@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketweave.session import checkpoint_folder
+
 #: ASCII white space parts words; everything else belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,27 +17,16 @@ BROADCAST_ROWS = 20_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there from now on.
-
-    The folder is the session's spark.checkpoint.dir. Only where none is set, as in local tests,
-    a temporary folder is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """Writes df to the session's shared checkpoint folder and reads it from there from now on."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """As cut, but as Parquet in the same folder: for wide or large rows of which later steps read some columns."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
