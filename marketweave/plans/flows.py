@@ -56,7 +56,7 @@ def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("run", C.run_status(F.col("error"), F.col("created")).alias("status"), C.finished(F.col("created"), F.col("updated"), F.col("failed")).alias("finish"))
 
 
-@query("""WITH p AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey % 11 AS digest, o_orderkey % 13 AS parsed, o_orderkey % 3 AS invalid, o_orderdate::DATE AS earliest, DATE '1993-06-01' AS boundary FROM orders),
+@query("""WITH p AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderkey % 11 AS digest, o_orderkey % 13 AS parsed, o_orderkey % 3 AS invalid, o_orderdate::DATE AS earliest, DATE '1996-01-01' AS boundary FROM orders),
 r AS (SELECT *, CASE WHEN parsed = 0 AND page = 1 THEN 'no_entries' WHEN parsed = 0 THEN 'completed' WHEN row_number() OVER (PARTITION BY run, digest ORDER BY page) > 1 THEN 'page_loop' WHEN earliest < boundary THEN 'reached_boundary' WHEN page >= 5 THEN 'page_cap' END AS reason FROM p),
 s AS (SELECT run, arg_min(reason, page) AS reason, min(page) AS last FROM r WHERE reason IS NOT NULL GROUP BY run)
 SELECT run, count(*) AS pages, coalesce(max(s.reason), 'request_failed') AS reason, sum(CASE WHEN r.reason = 'page_loop' THEN 0 ELSE parsed END)::BIGINT AS parsed, sum(CASE WHEN r.reason = 'page_loop' THEN 0 ELSE invalid END)::BIGINT AS invalid,
@@ -65,7 +65,7 @@ def feed_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as pages of a feed: loops by digest, boundaries, empty pages and the page cap."""
     k = F.col("o_orderkey")
     page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), page.alias("page"), (k % 11).alias("digest"), (k % 13).alias("parsed"), (k % 3).alias("invalid"), F.to_date("o_orderdate").alias("earliest"), F.lit("1993-06-01").cast("date").alias("boundary"))
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), page.alias("page"), (k % 11).alias("digest"), (k % 13).alias("parsed"), (k % 3).alias("invalid"), F.to_date("o_orderdate").alias("earliest"), F.lit("1996-01-01").cast("date").alias("boundary"))
     found = C.feed_pages(pages, "run", 5)
     return found.withColumns({"parsed": F.col("parsed").cast("long"), "invalid": F.col("invalid").cast("long")})
 
@@ -88,10 +88,10 @@ def source_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_diagnostics(answers, "source", "ts", "content")
 
 
-@query("""SELECT o_orderkey AS id, o_orderdate::DATE AS claimed_for, DATE '1995-01-01' AS last_run, (DATE '1995-01-01' + INTERVAL 1 DAY)::DATE AS next_run FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate::DATE <= DATE '1995-01-01'""")
+@query("""SELECT o_orderkey AS id, o_orderdate::DATE AS claimed_for, DATE '1996-06-01' AS last_run, (DATE '1996-06-01' + INTERVAL 1 DAY)::DATE AS next_run FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate::DATE <= DATE '1996-06-01'""")
 def due_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as schedules: those that are due are claimed and set to the next day."""
-    now = F.lit("1995-01-01").cast("date")
+    now = F.lit("1996-06-01").cast("date")
     s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "P").alias("enabled"), F.to_date("o_orderdate").alias("due"))
     return C.claims(s, now, F.date_add(now, 1))
 

@@ -43,7 +43,9 @@ def test_query_equals_its_sql(spark, sql, name):
     got, want = registry.QUERIES[name](spark, DATA), sql.sql(registry.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    same([[r[c] for c in columns] for r in got.collect()], [[r[want.columns.index(c)] for c in columns] for r in want.fetchall()])
+    rows = got.collect()
+    assert rows
+    same([[r[c] for c in columns] for r in rows], [[r[want.columns.index(c)] for c in columns] for r in want.fetchall()])
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
