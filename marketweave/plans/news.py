@@ -180,11 +180,12 @@ def url_normalise_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as extracted facts: one item per turn."""
-    c = table(spark, sf_dir, "conversations")
+    """conversations as extracted facts: one item per conversation, of all its turns in order."""
+    turns = table(spark, sf_dir, "conversations")
+    c = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min_by("role", "turn").alias("role"))
     words = F.split(text.normal(F.col("text")), " ")
     at = F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("conv_id") % 90) * 86_400)
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), at.alias("published"), _title().alias("event_title"), F.slice(words, 1, 2).alias("actors"), F.array_join(F.slice(words, 3, 3), " ").alias("action"), F.slice(words, 6, 1).alias("object"), F.lit("occurred").alias("event_status"), F.col("text").alias("objective_summary"), F.col("role").alias("source"))
+    return c.select(F.col("conv_id").alias("id"), at.alias("published"), _title().alias("event_title"), F.slice(words, 1, 2).alias("actors"), F.array_join(F.slice(words, 3, 3), " ").alias("action"), F.slice(words, 6, 1).alias("object"), F.lit("occurred").alias("event_status"), F.col("text").alias("objective_summary"), F.col("role").alias("source"))
 
 
 @query()
