@@ -137,12 +137,13 @@ def _buckets(docs: DataFrame) -> DataFrame:
     edges = docs.agg(F.percentile_approx("doc_id", [i / tops for i in range(tops + 1)], 100_000).alias("edges")).first().edges or [0] * (tops + 1)
     own, bounds = F.col("doc_id"), F.array(*[F.lit(e).cast("long") for e in edges])
     top = F.size(F.filter(F.slice(bounds, 2, tops - 1), lambda e: e <= own)) if tops > 1 else F.lit(0)
-    placed = docs.withColumn("top", F.when(own.isNull(), -1).otherwise(top).cast("int"))
+    # never null, so that no filter sets the shuffle of one reader of the buckets apart from that of the other
+    placed = docs.withColumn("top", F.coalesce(F.when(own.isNotNull(), top), F.lit(-1)).cast("int"))
     at = lambda c: F.try_element_at(bounds, c).cast("double")
     first, end = at(F.col("top") + 1), at(F.col("top") + 2)
     even = F.least(F.greatest(F.floor((own.cast("double") - first) / F.greatest(end - first, F.lit(1.0)) * lows), F.lit(0)), F.lit(lows - 1))
     told = F.conv(F.hex(F.rpad(F.substring(F.encode("text", "UTF-8"), 1, LEADING), LEADING, F.lit(b"\0"))), 16, 10).cast("long")
-    return placed.withColumn("low", F.when(F.col("doc_id").isNull(), told).otherwise(even).cast("long"))
+    return placed.withColumn("low", F.coalesce(F.when(F.col("doc_id").isNull(), told).otherwise(even).cast("long"), F.lit(0).cast("long")))
 
 
 def compare(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
