@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame
 
 LONGEST = 64
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, LONGEST)
-CACHE = 200_000
+CACHE = 100_000
+#: Rows of a padded matrix.
+ROWS = 5_000
 NONE = np.int64(1 << 40)
 
 
@@ -93,8 +95,8 @@ class Ranks:
             else:
                 out[i] = []
         for width, rows in buckets.items():
-            for at in range(0, len(rows), 20_000):
-                self._rounds(pieces, rows[at : at + 20_000], width, out)
+            for at in range(0, len(rows), ROWS):
+                self._rounds(pieces, rows[at : at + ROWS], width, out)
         return out
 
     def _rounds(self, pieces: list[bytes], rows: list[int], width: int, out: list) -> None:
@@ -190,7 +192,8 @@ class Encoder:
         return [int(x) for p in pieces for x in self.known[p][1].split(",")]
 
 
-GROUP_CHARS = 4_000_000
+#: Characters of texts that are split at once.
+GROUP_CHARS = 1_000_000
 
 
 def _groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
