@@ -7,23 +7,24 @@ The model is interpolated absolute discounting over the add-one unigram base:
 with T(v) the number of different successors of v, and p(w) alone where v was never seen. A text
 is its words between two boundaries; the boundary after it is its end token.
 
-Tokens are kept in batches of documents. A batch sends one row per distinct context, with the
-context's distinct successors and their training counts: as many rows as it has different words,
-whatever the size of the corpus. Rows are shuffled by context. A task adds up the counts of the
-contexts that it holds, some SHARD_BIGRAMS entries at a time, and builds their trie: level 1 has the
+Tokens are kept in batches of documents. A batch sends its distinct contexts with their distinct
+successors and training counts, once each, in one row per shard of context hashes that it has any in:
+never more rows than it has different words, whatever the size of the corpus. A shard holds about
+SHARD_TOKENS training tokens. Its task adds up the counts and builds its trie: level 1 has the
 contexts with counts, level 2 their successors with quantised discounted probabilities. A successor
 is numbered relative to its context, by its place among the successors that are asked for there. Both
 levels and the pointers between them are Elias-Fano coded monotone sequences in one memory-mapped
 file. Questions are answered by successor search in the range that the context's pointers give; the
 pointers also give the number of different successors. The batch puts the answers back to its tokens.
 So counts are exact over the whole training corpus, a model of any size is spread over the tasks, and
-nothing goes through the driver but two sums.
+nothing goes through the driver but two sums and the hot words.
 
-A context of over SPLIT training tokens is dealt by its successors: each part answers for its own.
+A context of more training tokens than a shard is meant for is dealt by its successors into shards of
+its own. These hot words are HOT at most, as a shard is meant for no fewer than that part of all tokens.
 
-Words are told apart by 64 bits of hash. Defined cases: a null or empty text is its end token alone;
-a null doc_id is training data (it has no checksum); repeated rows count and return as often as they
-stand; an empty table gives an empty result; further columns are ignored.
+Words are told apart by 64 bits of hash, the successors of one context by 48. Defined cases: a null or
+empty text is its end token alone; a null doc_id is training data (it has no checksum); repeated rows
+count and return as often as they stand; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,18 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import cut, saved, small
+from marketweave.llm.common import cut, saved
 
 DISCOUNT = 0.75
-#: Characters of a batch of documents; entries of a trie; training tokens of a context that is not dealt out.
-BATCH_CHARS, SHARD_BIGRAMS, SPLIT = 10_000_000, 1_000_000, 2_000_000
+#: Characters of a batch of documents; training tokens that a shard is meant for; words that are hot at most.
+BATCH_CHARS, SHARD_TOKENS, HOT = 10_000_000, 2_000_000, 1 << 20
 #: Steps of log10 between the least and the greatest discounted count of a context.
 STEPS = 254
 
@@ -279,12 +279,27 @@ class Batch:
         self.owner, self.successor = self.pairs >> 32, self.pairs & 0xFFFFFFFF
 
 
-_ROWS = "context long, batch long, count long, names array<long>, counts array<int>"
-_ANSWERS = "batch long, context long, part int, count long, kinds long, codes binary"
+_ROWS = "shard long, part int, batch long, contexts binary, counts binary, sizes binary, names binary, pairs binary"
+_ANSWERS = "batch long, shard long, part int, counts binary, kinds binary, codes binary"
 
 
-def _asked(batches: DataFrame) -> DataFrame:
-    """A row per batch and context: the context's training count there, its distinct successors in unsigned order and theirs."""
+def _pack_names(names: np.ndarray) -> bytes:
+    """The upper 48 bits of each, byte by byte."""
+    return pack(np.ascontiguousarray(names >> np.uint64(16)).view(np.uint8).reshape(-1, 8).T[:6])
+
+
+def _unpack_names(data: bytes) -> np.ndarray:
+    rows = unpack(data, "u1").reshape(6, -1)
+    out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
+    out[:, :6] = rows.T
+    return out.view(np.uint64).ravel()
+
+
+def _asked(batches: DataFrame, bits: int, hot: np.ndarray, many: np.ndarray) -> DataFrame:
+    """Rows of a batch: its contexts of a shard (part -1), or of a hot word (the shard) the successors of one part.
+
+    hot: sorted hashes; many: parts of each. Contexts and successors stand in unsigned order of their hashes.
+    """
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
@@ -292,114 +307,109 @@ def _asked(batches: DataFrame) -> DataFrame:
                 b = Batch(row)
                 words = np.cumsum(unpack(row["words"], "u8"))
                 weight = np.repeat(b.train, b.sizes + 1)
-                counts = np.bincount(b.left, weight, len(words)).astype(np.int64)
-                pairs = np.bincount(b.inverse, weight, len(b.pairs)).astype(np.int32)
+                counts = np.bincount(b.left, weight, len(words)).astype(np.uint32)
+                pairs = np.bincount(b.inverse, weight, len(b.pairs)).astype(np.uint32)
                 starts = np.searchsorted(b.owner, np.arange(len(words) + 1))
-                names = words[b.successor].view(np.int64)
-                for at in range(0, len(words), 10_000):
-                    own = slice(at, min(at + 10_000, len(words)))
-                    low, high = starts[own.start], starts[own.stop]
-                    offsets = pa.array((starts[own.start : own.stop + 1] - low).astype(np.int32))
-                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[low:high])) for x in (names, pairs)]
-                    yield pa.RecordBatch.from_arrays([pa.array(words[own].view(np.int64)), pa.array(np.full(own.stop - at, row["batch"])), pa.array(counts[own]), *lists], names=["context", "batch", "count", "names", "counts"])
+                names = words[b.successor]
+                special = np.isin(words, hot)
+                shard = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), dtype=np.int64)
+                out = []
+
+                def send(to: int, part: int, own: np.ndarray, take: np.ndarray, sizes: np.ndarray) -> None:
+                    out.append((to, part, row["batch"], pack(np.diff(words[own], prepend=np.uint64(0))), pack(counts[own]), pack(sizes.astype(np.int32)), _pack_names(names[take]), pack(pairs[take])))
+
+                plain = np.flatnonzero(~special)
+                edges = np.flatnonzero(np.concatenate([[True], shard[plain[1:]] != shard[plain[:-1]]])) if len(plain) else np.zeros(0, dtype=int)
+                for own in np.split(plain, edges[1:]):
+                    if len(own):
+                        take = np.arange(starts[own[0]], starts[own[-1] + 1])
+                        send(int(shard[own[0]]), -1, own, take[~special[b.owner[take]]], starts[own + 1] - starts[own])
+                for v in np.flatnonzero(special):
+                    parts = int(many[np.searchsorted(hot, words[v])])
+                    part = (names[starts[v] : starts[v + 1]] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+                    for s in range(parts):
+                        take = starts[v] + np.flatnonzero(part == s)
+                        send(int(words[v].view(np.int64)), s, np.array([v]), take, np.array([len(take)]))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["shard", "part", "batch", "contexts", "counts", "sizes", "names", "pairs"])
 
     return batches.select("batch", "ids", "missing", "train", "sizes", "words", "tokens").mapInArrow(run, _ROWS)
 
 
-def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """rows with their part: a row of a context in hot (context, many) is dealt into so many by the successors' hashes."""
-    share = lambda x: F.shiftright(F.shiftrightunsigned(x, 32) * F.col("many"), 32)
-    parted = rows.join(small(hot), "context", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("many", F.lit(1)) - 1)))
-    mine = lambda x: share(x) == F.col("part")
-    dealt = F.filter(F.arrays_zip("names", "counts"), lambda x: mine(x["names"]))
-    parted = parted.withColumn("dealt", F.when(F.col("many").isNotNull(), dealt))
-    names, counts = (F.when(F.col("many").isNull(), F.col(c)).otherwise(F.col(f"dealt.{c}")) for c in ("names", "counts"))
-    return parted.select("context", "part", "batch", "count", names.alias("names"), counts.alias("counts"))
+def _settled(rows: list[dict]) -> Iterator[tuple]:
+    """The answers to the rows of one shard, or of one part of a hot word."""
+    contexts = [np.cumsum(unpack(r["contexts"], "u8")) for r in rows]
+    names = [_unpack_names(r["names"]) for r in rows]
+    every, of = np.unique(np.concatenate(contexts), return_inverse=True)
+    total = np.bincount(of, np.concatenate([unpack(r["counts"], "u4") for r in rows])).astype(np.int64)
+    owner = np.repeat(of, np.concatenate([unpack(r["sizes"], "i4") for r in rows]))
+    flat = np.concatenate(names)
+    order = np.lexsort((flat, owner))
+    sorted_names, sorted_owner = flat[order], owner[order]
+    fresh = np.concatenate([[True], (sorted_names[1:] != sorted_names[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])])[: len(order)]
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    bigrams = np.bincount(back, np.concatenate([unpack(r["pairs"], "u4") for r in rows]), int(fresh.sum())).astype(np.int64)
+    # successors are numbered in their context; the trie holds what training has seen
+    asked = sorted_owner[fresh]
+    numbered = np.bincount(asked, minlength=len(every))
+    number = np.arange(len(asked)) - (np.cumsum(numbered) - numbered)[asked]
+    seen, kept = total > 0, bigrams > 0
+    position = np.cumsum(seen) - 1
+    trie = Trie(every[seen], total[seen], numbered[seen], position[asked[kept]], number[kept], bigrams[kept])
+    at, count, kinds = trie.contexts(every)
+    code = trie.codes(at[asked], number)[back]
+    i = j = 0
+    for r, own, mine in zip(rows, contexts, names, strict=True):
+        place = of[i : i + len(own)]
+        yield r["batch"], r["shard"], r["part"], pack(count[place]), pack(kinds[place]), pack(code[j : j + len(mine)])
+        i, j = i + len(own), j + len(mine)
 
 
 def _answered(rows: DataFrame) -> DataFrame:
-    """Per row: the context's training count, the number of its different successors (of this part), and a code per name."""
-
-    def settle(table: pa.Table) -> pa.RecordBatch:
-        part = table.column("part").to_numpy()
-        context = table.column("context").to_numpy()
-        # the parts of a context follow one another, and stand as contexts of their own
-        new = np.concatenate([[True], (context[1:] != context[:-1]) | (part[1:] != part[:-1])])
-        of = np.cumsum(new) - 1
-        total = np.bincount(of, table.column("count").to_numpy()).astype(np.int64)
-        lists = [table.column(c).combine_chunks() for c in ("names", "counts")]
-        names, pairs = (x.flatten().to_numpy() for x in lists)
-        sizes = lists[0].value_lengths().to_numpy()
-        owner = np.repeat(of, sizes)
-        order = np.lexsort((names.view(np.uint64), owner))
-        sorted_names, sorted_owner = names[order], owner[order]
-        fresh = np.concatenate([[True], (sorted_names[1:] != sorted_names[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])])[: len(order)]
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.cumsum(fresh) - 1
-        bigrams = np.bincount(back, pairs, int(fresh.sum())).astype(np.int64)
-        asked = sorted_owner[fresh]
-        numbered = np.bincount(asked, minlength=len(total))
-        number = np.arange(len(asked)) - (np.cumsum(numbered) - numbered)[asked]
-        # the trie holds what training has seen; parts are told apart by the bits above those of the place
-        seen, kept = total > 0, bigrams > 0
-        position = np.cumsum(seen) - 1
-        hashes = np.arange(len(total), dtype=np.uint64) if (part > 0).any() else context[new].view(np.uint64)
-        by = np.argsort(hashes[seen], kind="stable")
-        place = np.empty(len(by), dtype=np.int64)
-        place[by] = np.arange(len(by))
-        owners = place[position[asked[kept]]] if kept.any() else np.zeros(0, dtype=np.int64)
-        line = np.argsort(owners, kind="stable")
-        trie = Trie(hashes[seen][by], total[seen][by], numbered[seen][by], owners[line], number[kept][line], bigrams[kept][line])
-        at, count, kinds = trie.contexts(hashes)
-        codes = trie.codes(at[asked], number)[back]
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes.tobytes())])
-        return pa.RecordBatch.from_arrays([table.column("batch").combine_chunks(), table.column("context").combine_chunks(), table.column("part").combine_chunks(), pa.array(count[of]), pa.array(kinds[of]), packed], names=["batch", "context", "part", "count", "kinds", "codes"])
+    """Per row: the contexts' training counts, the numbers of their different successors (of the part), and a code per name."""
 
     def run(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        entries = 0
-
-        def whole(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, entries
-            table = pa.Table.from_batches(held)
-            end = table.num_rows
-            if not last:
-                keys = [table.column(c).to_numpy() for c in ("context", "part")]
-                change = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]))
-                end = int(change[-1]) + 1 if len(change) else 0
-            if end:
-                yield settle(table.slice(0, end).combine_chunks())
-            rest = table.slice(end)
-            held = rest.to_batches() if rest.num_rows else []
-            entries = int(pc.sum(pc.list_value_length(rest.column("names"))).as_py() or 0)
+        held: list[dict] = []
+        kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3)
+
+        def settle() -> pa.RecordBatch:
+            out = list(_settled(held))
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["batch", "shard", "part", "counts", "kinds", "codes"])
 
         for record in records:
-            if not record.num_rows:
-                continue
-            held.append(record)
-            entries += int(pc.sum(pc.list_value_length(record.column("names"))).as_py() or 0)
-            if entries >= SHARD_BIGRAMS:
-                yield from whole(False)
+            for row in record.to_pylist():
+                if held and (held[0]["shard"], held[0]["part"]) != (row["shard"], row["part"]):
+                    yield settle()
+                    held = []
+                held.append(row)
         if held:
-            yield from whole(True)
+            yield settle()
 
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = rows.repartition(count, "context", "part").sortWithinPartitions("context", "part")
-    return ready.select("context", "part", "batch", "count", "names", "counts").mapInArrow(run, _ANSWERS)
+    ready = rows.repartition(count, "shard", "part").sortWithinPartitions("shard", "part")
+    return ready.mapInArrow(run, _ANSWERS)
 
 
 def _score(batches: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
     def run(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
-        b = Batch(own.to_pylist()[0])
-        order = np.lexsort((replies.column("part").to_numpy(), replies.column("context").to_numpy().view(np.uint64)))
-        context = replies.column("context").to_numpy()[order]
-        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        count = replies.column("count").to_numpy()[order][first].astype(np.float64)
-        kind = np.add.reduceat(replies.column("kinds").to_numpy()[order], first).astype(np.float64)
-        codes = replies.column("codes").take(pa.array(order)).combine_chunks()
-        codes = codes if isinstance(codes, pa.Array) else pa.concat_arrays(codes.chunks)
-        code = np.frombuffer(b"".join(codes.to_pylist()), dtype=np.uint8)
+        row = own.to_pylist()[0]
+        b = Batch(row)
+        words = np.cumsum(unpack(row["words"], "u8"))
+        told = sorted(replies.to_pylist(), key=lambda r: (r["part"] >= 0, r["shard"] % (1 << 64), r["part"]))
+        plain = [r for r in told if r["part"] < 0]
+        parts: dict[int, list[dict]] = {}
+        for r in told[len(plain) :]:
+            parts.setdefault(r["shard"] % (1 << 64), []).append(r)
+        special = np.isin(words, np.array(list(parts), dtype=np.uint64))
+        joined = lambda rows, c, t: np.concatenate([unpack(r[c], t) for r in rows]) if rows else np.zeros(0, t)
+        count, kind, code = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(b.pairs), dtype=np.uint8)
+        count[~special], kind[~special] = joined(plain, "counts", "i8"), joined(plain, "kinds", "i8")
+        code[~special[b.owner]] = joined(plain, "codes", "u1")
+        for word, rows in parts.items():
+            at = int(np.searchsorted(words, np.uint64(word)))
+            count[at], kind[at] = unpack(rows[0]["counts"], "i8")[0], joined(rows, "kinds", "i8").sum()
+            code[slice(*np.searchsorted(b.owner, [at, at + 1]))] = joined(rows, "codes", "u1")
         base = np.log10((count + 1) / (n + v + 1))
         seen = count[b.owner] > 0
         share = np.where(seen, DISCOUNT * kind[b.owner] / np.maximum(count[b.owner], 1), 1.0)
@@ -417,7 +427,7 @@ def _score(batches: DataFrame, answers: DataFrame, n: int, v: int) -> DataFrame:
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    left = batches.select("batch", "ids", "missing", "train", "sizes", "tokens")
+    left = batches.select("batch", "ids", "missing", "train", "sizes", "words", "tokens")
     return left.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, schema)
 
 
@@ -437,7 +447,7 @@ def _words(batches: DataFrame) -> DataFrame:
     return batches.select("train", "sizes", "words", "tokens").mapInArrow(run, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, held_out: Column | None = None, split: int = SPLIT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Per document of (doc_id, text): held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     Documents with held_out true are scored and not learned from.
@@ -446,5 +456,8 @@ def score(docs: DataFrame, held_out: Column | None = None, split: int = SPLIT) -
     batches = cut(batches_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train"))))
     words = saved(_words(batches))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    hot = words.where(F.col("n") > split).select("context", F.ceil(F.col("n") / split).cast("int").alias("many"))
-    return _score(batches, _answered(_dealt(_asked(batches), hot)), sums.n, sums.v)
+    size = max(shard_tokens, -(-sums.n // HOT))
+    bits = max(0, (int(sums.n) // size).bit_length())
+    found = sorted((r.context % (1 << 64), -(-r.n // size)) for r in words.where(F.col("n") > size).collect())  # HOT at most
+    hot, many = np.array([x for x, _ in found], dtype=np.uint64), np.array([x for _, x in found], dtype=np.int64)
+    return _score(batches, _answered(_asked(batches, bits, hot, many)), sums.n, sums.v)

@@ -339,11 +339,9 @@ def test_maximal_repeats():
 # -- language model
 
 
-@pytest.mark.parametrize("split", [40, 2_000_000])
-def test_lm_scores(docs, rows, split, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "BATCH_CHARS", 20_000)
-    monkeypatch.setattr(lm_scoring, "SHARD_BIGRAMS", 500 if split == 40 else 1_000_000)
-    got = by_id(lm_scoring.score(docs, lm_scoring.held_out(), split))
+@pytest.mark.parametrize("tokens", [40, 2_000_000])
+def test_lm_scores(docs, rows, tokens):
+    got = by_id(lm_scoring.score(docs, lm_scoring.held_out(), tokens))
     out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
     lines = [(i, (t or "").encode().lower().split() + [None]) for i, t, *_ in rows]
     one, two, kinds = Counter(), Counter(), Counter()
