@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.llm.common import saved, small, text_of
+from marketweave.llm.common import saved, text_of
 
 LENGTH, LEAST, GRAM = 400, 300, 32
 #: Different regions of a gram that meet in one array; offsets of the blocks by which larger ones are split.
@@ -362,13 +362,14 @@ def spans(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int
     """(doc, start, stop, cut): byte spans of docs (doc, text, ..) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap."""
     found = saved(occurrences(docs, length, least_, gram))
     # most grams occur once: their anchors own no repeat
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    kept = saved(found.join(twice, "gram", "left_semi"))
+    twice = saved(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
+    # merge joins throughout: what stands on the right grows with the corpus, and both sides can be split where a gram is hot
+    kept = saved(found.join(twice.hint("merge"), "gram", "left_semi"))
     regions = saved(kept.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("x")))
-    whole = kept.join(regions.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi")
+    whole = kept.join(regions.where("n > 1").select("gram", "region").hint("merge"), ["gram", "region"], "left_semi")
     whole = whole.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _size(F.col("place"))).alias("stop"), (_size(F.col("place")) >= length).alias("cut"))
     grams = regions.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = saved(regions.join(grams, "gram").select("gram", "kinds", "x.*"))
+    mixed = saved(regions.join(grams.hint("merge"), "gram").select("gram", "kinds", "x.*"))
 
     def wanted(which: Column) -> DataFrame:
         return mixed.where(which).groupBy("doc").agg(F.collect_list(F.struct("gram", "place")).alias("want"))
@@ -397,9 +398,9 @@ def spans(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int
         return docs.join(want, "doc").mapInArrow(fetch, "gram long, doc long, start long, lead int, own int, bytes binary")
 
     # docs are joined whole: a later join of the same rows by doc takes over what is shuffled here
-    result = whole.unionByName(_in_arrays(fetched(wanted(F.col("kinds") <= bucket)), length, least_))
+    result = whole.unionByName(_in_arrays(fetched(wanted(F.col("kinds") <= bucket).hint("merge")), length, least_))
     if not mixed.where(F.col("kinds") > bucket).isEmpty():
-        hot = saved(fetched(small(wanted(F.col("kinds") > bucket))).dropDuplicates(["gram", "doc", "start"]))
+        hot = saved(fetched(wanted(F.col("kinds") > bucket).hint("merge")).dropDuplicates(["gram", "doc", "start"]))
         for part in _split(hot, length, least_, bucket):
             result = result.unionByName(part)
     return result
@@ -441,5 +442,5 @@ def remove(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_repeated"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=names)
 
-    joined = keyed.join(marked, "doc", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(marked.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, n_repeated long")
