@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL."""
+"""The queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm import byte_bpe, embedding_dedup, lm_scoring, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from marketweave.llm import byte_bpe, embedding_dedup, grace_dedup, lm_scoring, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"), size.alias("n_spans"), (size - F.size("base")).alias("n_terms"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii)}
+def op11_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grace_dedup.groups(_documents(spark, sf_dir))
+
+
+_ALL = (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii, op11_grace_dedup)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _OP7_SQL = r"""
 WITH sized AS (
@@ -94,4 +100,12 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM drawn
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": _OP7_SQL}
+_OP11_SQL = """
+WITH lowered AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM lowered WINDOW same AS (PARTITION BY t)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": _OP7_SQL, "op11_grace_dedup": _OP11_SQL}
