@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm import byte_bpe, embedding_dedup, grace_dedup, lm_scoring, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from marketweave.llm import byte_bpe, embedding_dedup, grace_dedup, lm_scoring, merkle, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,13 @@ def op11_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.groups(_documents(spark, sf_dir))
 
 
-_ALL = (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii, op11_grace_dedup)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = merkle.manifest(_documents(spark, sf_dir), F.when(tampers, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_ALL = (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii, op11_grace_dedup, op12_merkle)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -108,4 +114,54 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM lowered WINDOW same AS (PARTITION BY t)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": _OP7_SQL, "op11_grace_dedup": _OP11_SQL}
+_OP12_SQL = """
+WITH RECURSIVE checked AS (
+    -- CRC-32 of the decimal id, bit by bit: a byte is mixed in, then eight shifts
+    SELECT *, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+        lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END) & 1 AS odd_before_flip
+    FROM documents
+), told AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree,
+        coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+        text, CASE WHEN odd_before_flip = 1 THEN replace(text, chr(10), '') ELSE text END AS tampered
+    FROM checked
+), leaves AS (
+    SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(tampered) || ':' || tampered, '-')) AS changed,
+        row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS nr, count(*) OVER (PARTITION BY tree) AS total
+    FROM told
+), nodes AS (
+    SELECT 0 AS level, tree, nr, leaf AS node, total FROM leaves
+    UNION ALL
+    SELECT level + 1, tree, nr // 3, sha256(string_agg(node, '' ORDER BY nr)), (total + 2) // 3 FROM nodes WHERE total > 1 GROUP BY level, tree, nr // 3, total
+), subroots AS (
+    SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS spot, count(*) OVER () AS total FROM nodes WHERE total = 1
+), uppers AS (
+    SELECT 0 AS level, spot AS nr, subroot AS node, total FROM subroots
+    UNION ALL
+    SELECT level + 1, nr // 3, sha256(string_agg(node, '' ORDER BY nr)), (total + 2) // 3 FROM uppers WHERE total > 1 GROUP BY level, nr // 3, total
+), every AS (
+    SELECT level, tree, nr, node, total FROM nodes
+    UNION ALL
+    SELECT 1000 + level, '', nr, node, total FROM uppers
+), steps AS (
+    SELECT l.doc_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY e.level) AS step, e.level, e.tree, e.nr
+    FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN every e
+        ON e.total > 1 AND ((e.tree = l.tree AND e.level < 1000 AND e.nr = l.nr // CAST(pow(3, e.level) AS BIGINT)) OR (e.level >= 1000 AND e.nr = s.spot // CAST(pow(3, e.level - 1000) AS BIGINT)))
+), siblings AS (
+    SELECT t.doc_id, t.step, coalesce(string_agg(e.node, '' ORDER BY e.nr) FILTER (WHERE e.nr < t.nr), '') AS l, coalesce(string_agg(e.node, '' ORDER BY e.nr) FILTER (WHERE e.nr > t.nr), '') AS r
+    FROM steps t JOIN every e ON e.tree = t.tree AND e.level = t.level AND e.nr // 3 = t.nr // 3
+    GROUP BY t.doc_id, t.step
+), folded AS (
+    SELECT doc_id, 0::BIGINT AS step, changed AS node FROM leaves
+    UNION ALL
+    SELECT f.doc_id, f.step + 1, sha256(s.l || f.node || s.r) FROM folded f JOIN siblings s ON s.doc_id = f.doc_id AND s.step = f.step + 1
+), proofs AS (
+    SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS path FROM siblings GROUP BY doc_id
+), ends AS (
+    SELECT doc_id, arg_max(node, step) AS folded_root FROM folded GROUP BY doc_id
+)
+SELECT l.doc_id, l.leaf, s.subroot, u.node AS root, sha256(coalesce(p.path, '')) AS proof_sha256, f.folded_root, f.folded_root = u.node AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN ends f ON f.doc_id = l.doc_id JOIN uppers u ON u.total = 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": _OP7_SQL, "op11_grace_dedup": _OP11_SQL, "op12_merkle": _OP12_SQL}
