@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketweave.llm import byte_bpe, embedding_dedup, grace_dedup, lm_scoring, merkle, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from marketweave.llm import byte_bpe, embedding_dedup, grace_dedup, hard_negatives, lm_scoring, merkle, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,13 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-_ALL = (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii, op11_grace_dedup, op12_merkle)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, F.col("vec_id") % 100 == 0)
+
+
+_ALL = (op1_embedding_dedup, op2_lm_scoring, op3_toxicity, op4_winnowing, op5_simhash, op6_token_counts, op7_mixing, op8_suffix_dedup, op9_byte_bpe, op10_pii, op11_grace_dedup, op12_merkle, op13_hard_negatives)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -164,4 +170,23 @@ SELECT l.doc_id, l.leaf, s.subroot, u.node AS root, sha256(coalesce(p.path, ''))
 FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN ends f ON f.doc_id = l.doc_id JOIN uppers u ON u.total = 1 LEFT JOIN proofs p ON p.doc_id = l.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": _OP7_SQL, "op11_grace_dedup": _OP11_SQL, "op12_merkle": _OP12_SQL}
+_OP13_SQL = """
+WITH fit AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    -- sums of whole numbers below 2^53 are exact in doubles
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+    FROM fit a JOIN fit b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_mixing": _OP7_SQL, "op11_grace_dedup": _OP11_SQL, "op12_merkle": _OP12_SQL, "op13_hard_negatives": _OP13_SQL}
