@@ -28,4 +28,4 @@ def test_stages_keep_columns_and_decide(spark):
 
 def test_every_operator_has_a_query():
     numbers = {int(name[2:].split("_")[0]) for name in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
