@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.numeric import nearest_rank, ratio
+from marketweave.operators.chunks import chunk_of, seconds_of
 
 LEVELS = "array<struct<price: double, quantity: double>>"
 
@@ -59,10 +60,25 @@ def minutes(samples: DataFrame, expected: int = 60) -> DataFrame:
 
 
 def sample_and_hold(updates: DataFrame, step: str = "1 second", max_age: str | None = None) -> DataFrame:
-    """(symbol, ts, value, seen): the latest update at or before each slot between the first and last."""
-    bounds = updates.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    slots = bounds.select("symbol", F.explode(F.expr(f"sequence(date_trunc('second', lo), date_trunc('second', hi), INTERVAL {step})")).alias("ts")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    both = slots.select("symbol", "ts", F.lit(None).cast("double").alias("value"), F.lit(None).cast("timestamp_ntz").alias("seen"), F.lit(1).alias("slot")).unionByName(updates.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp_ntz").alias("seen"), F.lit(0).alias("slot")))
-    w = Window.partitionBy("symbol").orderBy("ts", "slot").rowsBetween(Window.unboundedPreceding, 0)
-    held = both.withColumns({"value": F.last("value", ignorenulls=True).over(w), "seen": F.last("seen", ignorenulls=True).over(w)}).where("slot = 1 AND seen IS NOT NULL").drop("slot")
-    return held.where(F.col("ts") - F.col("seen") <= F.expr(f"INTERVAL {max_age}")) if max_age else held
+    """(symbol, ts, value, seen): the latest update at or before each slot between the first and last.
+
+    Slots follow each other by `step` from the second of a symbol's first update. Each update is held until the
+    next one, or for `max_age`, so it answers its own slots. The next update is found in a chunk of a day;
+    for the last one of a chunk it is the first of a later chunk, from a table of a row per symbol and chunk.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = updates.select("symbol", at.alias("at"), F.col("value").cast("double").alias("value"), chunk_of("ts").alias("chunk"))
+    every, second = seconds_of(step) * 1_000_000, 1_000_000
+    chunks = rows.groupBy("symbol", "chunk").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    whole, on = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy("chunk")
+    ends = {"later": F.lead("first").over(on), "origin": F.floor(F.min("first").over(whole) / second) * second, "end": F.floor(F.max("last").over(whole) / second) * second}
+    following = F.lead("at").over(Window.partitionBy("symbol", "chunk").orderBy("at", "value"))
+    placed = rows.withColumn("next", following).join(chunks.withColumns(ends).drop("first", "last"), ["symbol", "chunk"])
+    slot = lambda micros: F.floor((micros - F.col("origin")) / every)
+    last = F.least(slot(F.coalesce("next", "later") - 1), slot(F.col("end")))
+    if max_age:
+        last = F.least(last, slot(F.col("at") + seconds_of(max_age) * 1_000_000))
+    spans = placed.select("symbol", "at", "value", "origin", (slot(F.col("at") - 1) + 1).alias("from"), last.alias("to")).where("from <= to")
+    time = lambda micros: F.timestamp_micros(micros).cast("timestamp_ntz")
+    slots = spans.withColumn("k", F.explode(F.sequence("from", "to")))
+    return slots.select("symbol", time(F.col("origin") + F.col("k") * every).alias("ts"), "value", time(F.col("at")).alias("seen"))

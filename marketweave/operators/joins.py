@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +12,21 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right
     """left with `values` of the latest row of right at or before its time, by key.
 
     Both sides are merged in time order by key and chunk of `width` seconds, and the last right row is carried
-    forward. What a chunk doesn't know it takes from the last chunk before it that has a right row: a table of
-    a row per key and chunk. No pair of rows is made, and a hot key is spread over its chunks.
+    forward. What comes from before a chunk is a row that stands first in it, taken from a table of a row per key and
+    chunk. No pair of rows is made, a hot key is spread over its chunks, and each side is shuffled once.
     """
     carried = F.struct(F.col(right_ts).alias("__at"), *values)
     kind = right.select(carried.alias("x")).schema["x"].dataType
-    a = left.select(*keys, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__value"))
-    row = a.schema["__row"].dataType
-    b = right.select(*keys, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.lit(None).cast(row).alias("__row"), carried.alias("__value"))
-    both = a.unionByName(b).withColumn("__chunk", chunk_of("__ts", width))
+    a = left.select(*keys, chunk_of(left_ts, width).alias("__chunk"), F.col(left_ts).alias("__ts"), F.lit(2).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(kind).alias("__value"))
+    none, no_time = F.lit(None).cast(a.schema["__row"].dataType), F.lit(None).cast(a.schema["__ts"].dataType)
+    b = right.select(*keys, chunk_of(right_ts, width).alias("__chunk"), F.col(right_ts).alias("__ts"), F.lit(1).alias("__side"), none.alias("__row"), carried.alias("__value"))
+    last = b.where("__chunk IS NOT NULL").groupBy(*keys, "__chunk").agg(F.max_by("__value", "__ts").alias("__value")).withColumn("__asked", F.lit(False))
+    asked = a.select(*keys, "__chunk").distinct().select(*keys, "__chunk", F.lit(None).cast(kind).alias("__value"), F.lit(True).alias("__asked"))
+    past = Window.partitionBy(*keys).orderBy("__chunk").rangeBetween(Window.unboundedPreceding, -1)
+    before = last.unionByName(asked).withColumn("__value", F.last("__value", ignorenulls=True).over(past)).where("__asked AND __chunk IS NOT NULL AND __value IS NOT NULL")
+    first = before.select(*keys, "__chunk", no_time.alias("__ts"), F.lit(0).alias("__side"), none.alias("__row"), "__value")
     w = Window.partitionBy(*keys, "__chunk").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("__value", F.last("__value", ignorenulls=True).over(w)).where("__side = 1")
-    last = both.groupBy(*keys, "__chunk").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("__ts"))).alias("__last"))
-    past = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    before = last.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__chunk").alias("__c"), F.last("__last", ignorenulls=True).over(past).alias("__before"))
-    same = reduce(lambda x, y: x & y, (inside[k].eqNullSafe(before[f"__{k}"]) for k in keys))
-    found = inside.join(before, same & inside["__chunk"].eqNullSafe(before["__c"]), "left").withColumn("__value", F.coalesce("__value", "__before"))
+    found = a.unionByName(b).unionByName(first).withColumn("__value", F.last("__value", ignorenulls=True).over(w)).where("__side = 2")
     return found.select("__row.*", *[F.col(f"__value.{v}").alias(v) for v in values])
 
 

@@ -354,30 +354,36 @@ def depth_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- upserts
 
-_NEW = """WITH new AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0
+NEW_CUSTOMERS = """WITH new AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 2 = 0
 UNION ALL SELECT c_custkey + 10000000, c_name, c_acctbal FROM customer WHERE c_custkey % 7 = 0),
 merged AS (SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NULL THEN 'kept' WHEN o.c_custkey IS NULL THEN 'inserted' WHEN n.c_name IS NOT DISTINCT FROM o.c_name AND n.c_acctbal IS NOT DISTINCT FROM o.c_acctbal THEN 'skipped' ELSE 'updated' END AS action,
 coalesce(n.c_name, o.c_name) AS c_name, CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal FROM new n FULL JOIN customer o ON n.c_custkey = o.c_custkey)"""
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as stored, and a batch of new and changed ones."""
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     changed = F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
     new = old.where("c_custkey % 2 = 0").withColumn("c_acctbal", changed).unionByName(old.where("c_custkey % 7 = 0").withColumn("c_custkey", F.col("c_custkey") + 10_000_000))
+    return old, new
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old, new = customers(spark, sf_dir)
     return M.merge(old, new, ["c_custkey"], ["c_name", "c_acctbal"]), new
 
 
-@query(f"{_NEW} SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal, action FROM merged")
+@query(f"{NEW_CUSTOMERS} SELECT c_custkey, c_name, round(c_acctbal, 6) AS c_acctbal, action FROM merged")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_merged(spark, sf_dir)[0])
 
 
-@query(f"{_NEW} SELECT count(*) FILTER (WHERE action = 'inserted') AS inserted, count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM merged")
+@query(f"{NEW_CUSTOMERS} SELECT count(*) FILTER (WHERE action = 'inserted') AS inserted, count(*) FILTER (WHERE action = 'updated') AS updated, count(*) FILTER (WHERE action = 'skipped') AS skipped FROM merged")
 def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.counts(_merged(spark, sf_dir)[0])
 
 
-@query(f"{_NEW} SELECT m.c_custkey, n.c_custkey IS NOT NULL AS is_active, CASE WHEN n.c_custkey IS NULL THEN 'expired' ELSE 'open' END AS state FROM merged m LEFT JOIN new n ON m.c_custkey = n.c_custkey")
+@query(f"{NEW_CUSTOMERS} SELECT m.c_custkey, n.c_custkey IS NOT NULL AS is_active, CASE WHEN n.c_custkey IS NULL THEN 'expired' ELSE 'open' END AS state FROM merged m LEFT JOIN new n ON m.c_custkey = n.c_custkey")
 def deactivate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged, new = _merged(spark, sf_dir)
     rows = merged.select("c_custkey").withColumns({"is_active": F.lit(True), "state": F.lit("open")})

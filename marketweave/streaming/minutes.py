@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketweave.operators.bars import bars
+from marketweave.session import checkpoint_folder
 
 
 def stream_bars(trades: DataFrame, step: str = "1 minute", lateness: str = "10 minutes") -> DataFrame:
@@ -44,8 +44,15 @@ def drop_late(samples: DataFrame) -> DataFrame:
 
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """All rows that the stream gives for what is there now, as a table in memory: for tests and small sources."""
-    name = f"drained_{uuid.uuid4().hex}"
-    where = checkpoint or tempfile.mkdtemp(prefix="stream-")
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """All rows that the stream gives for what is there now, as Parquet in the shared checkpoint folder.
+
+    Each batch writes a folder of its own, so one that is run again replaces what it wrote; in complete mode the last batch counts.
+    """
+    folder = f"{checkpoint_folder(spark)}/drained-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch-{0 if mode == 'complete' else batch}")
+
+    where = checkpoint or f"{folder}/checkpoint"
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/batch-*")
