@@ -17,8 +17,8 @@ the bytes of all windows that it owns in its document, and on to LENGTH bytes fr
    split by smaller blocks, down to single windows. So an array has BUCKET regions at most, whatever
    the gram.
 
-Repeats of LENGTH bytes or more are joined per document and cut out; those of LEAST or more are
-counted beside.
+Repeats of LENGTH bytes or more are joined per document and cut out. Shorter ones, of LEAST bytes or
+more, are counted beside where they are asked for; else LEAST is LENGTH.
 
 Defined cases: a null text is empty; a text shorter than LENGTH bytes keeps all its bytes; equal
 rows are copies of each other; matches never cross documents; an empty table gives an empty
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from marketweave.llm.common import saved, text_of
 
-LENGTH, LEAST, GRAM = 400, 300, 32
+LENGTH, GRAM = 400, 32
 #: Different regions of a gram that meet in one array; offsets of the blocks by which larger ones are split.
 BUCKET, BLOCKS = 256, (64, 8, 1)
 #: Bytes of texts that a task hashes at once, and of regions that share a suffix array.
@@ -112,7 +112,7 @@ def _size(place: Column) -> Column:
     return place.bitwiseAND(F.lit(0xFFF))
 
 
-def occurrences(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM) -> DataFrame:
+def occurrences(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, gram, region, place): a row per anchor; region is a hash of the region's bytes and of the anchor's offset in it."""
     if not (gram <= least_ <= length and least_ < 1 << 10 and least_ + length < 1 << 12):
         raise ValueError("gram <= least_ <= length with least_ < 1024 and least_ + length < 4096 is asked for")
@@ -358,7 +358,7 @@ def _split(hot: DataFrame, length: int, least_: int, bucket: int) -> list[DataFr
     return found
 
 
-def spans(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """(doc, start, stop, cut): byte spans of docs (doc, text, ..) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap."""
     found = saved(occurrences(docs, length, least_, gram))
     # most grams occur once: their anchors own no repeat
@@ -417,12 +417,13 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH, least_: int = LEAST, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, least_: int | None = None, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
     """Per document of (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 and n_repeated.
 
-    n_repeated counts the bytes covered by strings of least_ bytes that also start elsewhere; these that are
-    shorter than length are kept.
+    n_repeated counts the bytes covered by strings of least_ bytes (length, unless given) that also start elsewhere;
+    these that are shorter than length are kept.
     """
+    least_ = least_ or length
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
     marked = spans(keyed, length, least_, gram, bucket).groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "cut")).alias("spans"))
     kind = dict(keyed.dtypes)["doc_id"]
