@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from marketweave.functions.similarity import ratios
+
 # Words of titles that tell no event.
 GENERIC_TITLE_TOKENS = [
     "about", "after", "against", "announces", "announced", "bitcoin", "blockchain", "crypto", "cryptocurrency",
@@ -99,8 +101,8 @@ def stored_body(parts: list[Column], limit: int = 12_000) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp similarity of two texts, 0 where one is empty."""
+    return pd.Series(np.nan_to_num(ratios(left.fillna("").tolist(), right.fillna("").tolist())))
 
 
 def plain(text: str) -> str:
