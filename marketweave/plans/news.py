@@ -10,7 +10,7 @@ from marketweave.operators import depth as D
 from marketweave.operators import events as E
 from marketweave.operators import news as N
 from marketweave.plans.series import _BARS, _bars_sql, rounded
-from marketweave.session import table
+from marketweave.session import cut, table
 from marketweave.streaming import minutes
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -196,7 +196,7 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = E.candidates(_facts(spark, sf_dir))
     relation = F.when(F.col("rejected").isNotNull(), "different_event").when(F.col("score") >= 0.9, "same_event").otherwise("uncertain")
-    return found.select("left", "right", relation.alias("relation"), F.col("score").alias("confidence"), F.lit(False).alias("conflict"))
+    return found.select("left", "right", relation.alias("relation"), F.col("score").alias("confidence"), F.lit(False).alias("conflict"), "score")
 
 
 @query()
@@ -210,6 +210,29 @@ def event_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.roll_up(E.complete_link(items.select("id", "published"), decisions), items, decisions))
 
 
+_PRIOR = """WITH p AS (SELECT o_custkey AS "left", o_orderkey + 10000000 AS "right", o_orderkey FROM orders),
+d AS (SELECT "left", "right", o_orderkey AS decision_id, CASE WHEN o_orderkey % 5 = 0 THEN 'processing_failed' ELSE 'same_event' END AS relation, o_orderkey % 10 = 0 AS is_retryable FROM p WHERE o_orderkey % 3 > 0)"""
+
+
+@query(f"""{_PRIOR} SELECT p."left", p."right", CASE WHEN decision_id IS NULL THEN 'new' WHEN relation = 'processing_failed' AND is_retryable THEN 'retry' ELSE 'clone' END AS source, decision_id,
+CASE WHEN relation = 'processing_failed' AND is_retryable THEN NULL ELSE relation END AS relation FROM p LEFT JOIN d ON p."left" = d."left" AND p."right" = d."right" """)
+def retry_failed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's pairs, of which some have failed: those are tried again, the other decisions are taken over. Prior pairs stand in any order."""
+    o = table(spark, sf_dir, "orders")
+    pairs = o.select(F.col("o_custkey").alias("left"), (F.col("o_orderkey") + 10_000_000).alias("right"))
+    failed = F.when(F.col("o_orderkey") % 5 == 0, "processing_failed").otherwise("same_event")
+    prior = o.where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("decision_id"), (F.col("o_orderkey") + 10_000_000).alias("left"), F.col("o_custkey").alias("right"), failed.alias("relation"), (F.col("o_orderkey") % 10 == 0).alias("is_retryable"))
+    return E.retry_split(pairs, prior).select("left", "right", "source", "decision_id", F.when(F.col("source") != "retry", F.col("relation")).alias("relation"))
+
+
+@query()
+def event_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after a few decisions have changed, from the events before."""
+    items, before = _facts(spark, sf_dir).select("id", "published"), cut(_decided(spark, sf_dir).withColumn("relation", F.when(F.col("score") >= 0.6, "same_event").otherwise("different_event")).withColumn("confidence", F.lit(0.9)))
+    changed = before.withColumn("relation", F.when(F.col("right") % 50 == 0, "uncertain").otherwise(F.col("relation")))
+    return E.regroup(E.complete_link(items, before), items, before, changed)
+
+
 @query("""WITH s AS (SELECT event_type AS symbol, ts, event_id AS arrival, date_trunc('minute', ts) AS minute, value FROM events),
 k AS (SELECT *, max(ts) OVER (PARTITION BY symbol, minute ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM s)
 SELECT symbol, minute, count(*) AS samples, round(first(value ORDER BY ts), 6) AS bid_open, round(last(value ORDER BY ts), 6) AS bid_close, round(avg(value), 6) AS bid_mean, round(quantile_disc(value, 0.95), 6) AS spread_p95, round(least(1.0, count(*) / 60), 6) AS coverage
