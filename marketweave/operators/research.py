@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketweave.functions.numeric import correlation
+from marketweave.operators.ranks import nearest_ranks
+from marketweave.session import cut
 
 MIN_COVERAGE = 0.80
 
@@ -52,8 +54,11 @@ def decile_study(obs: DataFrame, purge: str) -> DataFrame:
 
     Cut points are nearest ranks of discovery; a value on a cut point is in the bucket above it.
     """
-    parts = split(obs, purge).where("part IS NOT NULL")
-    cuts = parts.where("part = 'discovery'").groupBy("symbol", "metric").agg(*[F.expr(f"percentile_disc({k / 10}) WITHIN GROUP (ORDER BY x)").alias(f"c{k}") for k in range(1, 10)])
+    # observations are read several times from here on; behind them stand windows
+    parts = cut(split(cut(obs), purge).where("part IS NOT NULL"))
+    ranks = nearest_ranks(parts.where("part = 'discovery'"), ["symbol", "metric"], "x", [k / 10 for k in range(1, 10)])
+    at = lambda k: F.max(F.when(F.round(F.col("share") * 10) == k, F.col("value"))).alias(f"c{k}")
+    cuts = ranks.groupBy("symbol", "metric").agg(*[at(k) for k in range(1, 10)])
     bucket = sum(((F.col("x") >= F.col(f"c{k}")).cast("int") for k in range(2, 10)), (F.col("x") >= F.col("c1")).cast("int")) + 1
     placed = parts.join(cuts, ["symbol", "metric"]).withColumn("bucket", bucket)
     found = placed.groupBy("symbol", "metric", "bucket", "part").agg(F.count("*").alias("count"), F.avg("y").alias("mean_return"), F.avg(F.when(F.col("y") > 0, F.expr("1D")).otherwise(F.expr("0D"))).alias("up_share"))

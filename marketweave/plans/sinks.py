@@ -1,18 +1,24 @@
-"""Queries that write: committed tables, streams into them, held books; and exact decimals."""
+"""Queries that write and stream: committed tables, pages by time, held books; and those of unknown JSON, large ranks and exact decimals."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.functions import numeric as N
+from marketweave.functions import variants
 from marketweave.operators import depth as D
+from marketweave.operators.news import eligible
+from marketweave.operators.news import window_start as news_window
+from marketweave.operators.ranks import nearest_ranks
 from marketweave.plans import market
 from marketweave.plans.series import rounded
-from marketweave.session import checkpoint_folder, table
-from marketweave.sources import committed
+from marketweave.session import checkpoint_folder, cut, table
+from marketweave.sources import committed, ranged
 from marketweave.streaming import books, minutes, upserts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -76,6 +82,92 @@ def fallback_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(committed.read(spark, path).drop("ts"))
 
 
+# -- pages by time
+
+
+@contextmanager
+def _pushdown(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ranged.PUSHDOWN)
+    spark.conf.set(ranged.PUSHDOWN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ranged.PUSHDOWN, before)
+
+
+def _event_pages(spark: SparkSession, sf_dir: str) -> str:
+    """events as pages of a day by kind."""
+    e = table(spark, sf_dir, "events")
+    path = _folder(spark)
+    ranged.write_pages(e.select(F.col("event_type").alias("host"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("string").alias("payload")), path, 86_400_000)
+    spark.dataSource.register(ranged.RangedSource)
+    return path
+
+
+@query("""SELECT event_type AS host, epoch_ms(ts) AS at, CAST(event_id AS VARCHAR) AS payload FROM events
+WHERE event_type IN ('view', 'purchase') AND ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-01-12 06:00:00'""")
+def ranged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two kinds and two days, of pages of which the others stay closed."""
+    with _pushdown(spark):
+        pages = spark.read.format("ranged").option("path", _event_pages(spark, sf_dir)).load()
+        low, high = 1_704_888_000_000, 1_705_039_200_000
+        return cut(pages.where(F.col("host").isin("view", "purchase") & (F.col("at") >= low) & (F.col("at") < high)))
+
+
+@query("SELECT event_type AS host, epoch_ms(ts) AS at, CAST(event_id AS VARCHAR) AS payload FROM events WHERE ts >= TIMESTAMP '2024-01-05'")
+def overlapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a stream that begins on a day, run again with an overlap of three days into one table: no row twice."""
+    pages, path = _event_pages(spark, sf_dir), _folder(spark)
+    checkpoint = _folder(spark)
+    for _ in range(2):
+        stream = spark.readStream.format("ranged").options(path=pages, overlap=3 * 86_400_000, start=1_704_412_800_000).load()
+        upserts.upsert_stream(stream, path, ["host", "payload"], ["at"], "at", "pages", checkpoint).awaitTermination()
+    return committed.read(spark, path)
+
+
+@query("""WITH f AS (SELECT event_type AS feed, min(ts) AS activated, CASE WHEN event_type <> 'view' THEN date_trunc('day', min(ts)) + INTERVAL 20 DAY END AS watermark FROM events GROUP BY event_type),
+w AS (SELECT feed, watermark IS NULL AS first_run, CASE WHEN watermark IS NULL THEN activated ELSE greatest(activated, watermark - INTERVAL 3 DAY) END AS start FROM f)
+SELECT feed, start AS window_start, count(*) FILTER (WHERE e.ts < TIMESTAMP '2024-01-25' AND (first_run OR e.ts >= start)) AS eligible, count(*) FILTER (WHERE e.ts < TIMESTAMP '2024-01-25' AND e.ts >= start AND e.ts < start + INTERVAL 3 DAY) AS read_again
+FROM w JOIN events e ON e.event_type = feed GROUP BY feed, start""")
+def collection_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each feed where its next collection begins, the items that are eligible then, and those within the overlap."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("feed"), "ts")
+    first = e.groupBy("feed").agg(F.min("ts").alias("activated"))
+    mark = F.when(F.col("feed") != "view", F.date_trunc("day", "activated").cast("timestamp_ntz") + F.expr("INTERVAL 20 DAY"))
+    feeds = first.select("feed", mark.alias("watermark"), news_window(F.col("activated"), mark).alias("window_start"))
+    end = F.lit("2024-01-25").cast("timestamp_ntz")
+    both = e.join(F.broadcast(feeds), "feed")  # a row per kind of event
+    fits = eligible(F.col("ts"), F.col("window_start"), end, F.col("watermark").isNull())
+    again = (F.col("ts") < end) & F.col("ts").between(F.col("window_start"), F.col("window_start") + F.expr("INTERVAL 3 DAY")) & (F.col("ts") < F.col("window_start") + F.expr("INTERVAL 3 DAY"))
+    return both.groupBy("feed", "window_start").agg(F.count_if(fits).alias("eligible"), F.count_if(again).alias("read_again"))
+
+
+# -- JSON of unknown shape, ranks of large groups
+
+_SHAPES = """'["' || c_name || ' ", 5, {"text": [" ' || c_name || '-in", {"attributes": {"a": 1}, "text": "' || c_custkey || '"}]}, [[" ", "deep ' || c_custkey || '", null]], {"text": "no", "other": 1}, true]'"""
+_PAYLOAD = f"CASE c_custkey % 5 WHEN 0 THEN '\" ' || c_name || '\"' WHEN 1 THEN '{{\"text\": \"' || c_name || '\"}}' WHEN 2 THEN '{{\"title\": \"x\"}}' WHEN 3 THEN NULL ELSE {_SHAPES} END"
+
+
+@query(f"""WITH RECURSIVE n AS (
+    SELECT c_custkey, []::BIGINT[] AS path, CAST({_PAYLOAD} AS JSON) AS j, 0 AS depth FROM customer
+    UNION ALL
+    SELECT c_custkey, CASE WHEN json_type(j) = 'ARRAY' THEN list_append(path, u.k) ELSE path END, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[' || u.k || ']') ELSE json_extract(j, '$.text') END, depth + 1
+    FROM n, LATERAL (SELECT unnest(CASE WHEN json_type(j) = 'ARRAY' THEN range(CAST(json_array_length(j) AS BIGINT)) WHEN json_type(j) = 'OBJECT' AND len(list_filter(json_keys(j), lambda x: x NOT IN ('text', 'attributes'))) = 0 THEN [0::BIGINT] ELSE []::BIGINT[] END) AS k) u
+    WHERE depth < 6
+), s AS (SELECT c_custkey, path, trim(json_extract_string(j, '$')) AS t FROM n WHERE json_type(j) = 'VARCHAR')
+SELECT c.c_custkey, coalesce(string_agg(t, '|' ORDER BY path) FILTER (WHERE t <> ''), '') AS texts FROM customer c LEFT JOIN s USING (c_custkey) GROUP BY c.c_custkey""")
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in payloads of several shapes, in order."""
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(variants.texts(F.expr(_PAYLOAD)), "|").alias("texts"))
+
+
+@query("""SELECT l_returnflag, share, CASE share WHEN 0.5 THEN a WHEN 0.95 THEN b ELSE c END AS value
+FROM (SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS a, quantile_disc(l_extendedprice, 0.95) AS b, quantile_disc(l_extendedprice, 0.001) AS c FROM lineitem GROUP BY l_returnflag), (SELECT unnest([0.5, 0.95, 0.001]::DOUBLE[]) AS share)""")
+def range_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest ranks of a third of all lines each, from counts of ranges."""
+    return nearest_ranks(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.95, 0.001], ranked=1_000)
+
+
 # -- books by the second
 
 _HELD = """WITH u AS (SELECT event_type AS symbol, ts, value, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS next FROM events),

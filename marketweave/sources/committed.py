@@ -38,7 +38,7 @@ BUCKET, ACTION = "__bucket", "action"
 ACTIONS = ("inserted", "updated", "skipped", "kept")
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     local = re.sub(r"^file:/+", "/", path)
     return (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
 
@@ -57,7 +57,7 @@ class Version:
 
 def _commits(path: str) -> list[tuple[int, str, str]]:
     """(number, batch, file) of all commits, oldest first."""
-    store, root = _opened(path)
+    store, root = opened(path)
     found = store.get_file_info(fs.FileSelector(f"{root}/commits", allow_not_found=True))
     named = (re.fullmatch(r"(\d{12})-(.*)\.json", x.base_name) for x in found)
     return sorted((int(m[1]), m[2], f"{root}/commits/{m[0]}") for m in named if m)
@@ -68,7 +68,7 @@ def version(path: str, batch: str | None = None) -> Version | None:
     told = [x for x in _commits(path) if batch is None or x[1] == batch]
     if not told:
         return None
-    with _opened(path)[0].open_input_stream(told[-1][2]) as stream:
+    with opened(path)[0].open_input_stream(told[-1][2]) as stream:
         return Version(**json.loads(stream.read()))
 
 
@@ -88,7 +88,7 @@ class TableWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         """One file for each run of rows of a bucket; rows come ordered by bucket."""
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         store.create_dir(f"{root}/data", recursive=True)
         files, counts = [], dict.fromkeys(ACTIONS, 0)
         now, writer = None, None
@@ -121,7 +121,7 @@ class TableWriter(DataSourceArrowWriter):
                 files.setdefault(str(bucket), []).append(name)
         counts = {a: sum(m.counts[a] for m in done) for a in ACTIONS}
         told = Version(last.number + 1, self.batch, self.buckets, self.table_schema, files, counts)
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         store.create_dir(f"{root}/commits", recursive=True)
         half, whole = f"{root}/commits/.{uuid.uuid4().hex}", f"{root}/commits/{told.number:012d}-{self.batch}.json"
         with store.open_output_stream(half) as stream:
@@ -132,7 +132,7 @@ class TableWriter(DataSourceArrowWriter):
         self._remove([m for m in messages if m is not None])
 
     def _remove(self, messages: list[Written]) -> None:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         for m in messages:
             for _, name in m.files:
                 store.delete_file(f"{root}/data/{name}")
@@ -198,7 +198,7 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], comp
 
 def vacuum(path: str, keep: int = 1) -> int:
     """Deletes files that none of the `keep` latest versions names; for times when nothing writes. The number of files deleted."""
-    store, root = _opened(path)
+    store, root = opened(path)
     named = set()
     for number, batch, _ in _commits(path)[-keep:]:
         told = version(path, batch)

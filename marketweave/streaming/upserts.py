@@ -23,8 +23,8 @@ def upsert_stream(stream: DataFrame, path: str, keys: list[str], compared: list[
             return
         if skip_stored and (now := committed.version(path)) is not None:
             rows = rows.join(committed.read(spark, path, at=now).select(*keys), keys, "left_anti")
-        rest = [c for c in rows.columns if c not in (*keys, order)]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), order).alias("__r")).select(*keys, "__r.*")
+        rest = F.struct(*[c for c in rows.columns if c not in keys])
+        last = rows.groupBy(*keys).agg(F.max_by(rest, order).alias("__r")).select(*keys, "__r.*")
         committed.upsert(spark, path, last, keys, compared, batch)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
