@@ -38,6 +38,8 @@ from marketweave.llm.common import cut, saved, small
 BUCKET, TASK = 32 << 20, 16 << 20
 #: Bits of the hash by which an oversize bucket is dealt once more; bits of the hash.
 BITS, HASH = 4, 64
+#: Rows whose lower-cased texts are held beside the table.
+SLICE = 1_000
 #: What a text takes in a table beside its bytes, about.
 ENTRY = 100
 
@@ -136,7 +138,7 @@ def _dealt(docs: DataFrame, carry: StructType | None, hash_bits: int, task: int)
                 at = end
 
         row_type = None
-        for batch in batches:
+        for batch in (whole.slice(low, SLICE) for whole in batches for low in range(0, whole.num_rows, SLICE)):
             texts = pc.fill_null(pc.ascii_lower(batch.column("text")), "")
             ids, places = batch.column("doc_id").to_pylist(), []
             for doc_id, content in zip(ids, _views(texts), strict=True):
