@@ -13,8 +13,8 @@ import numpy as np
 
 #: From this length of the right text on, the standard library leaves out popular letters; such pairs go through it.
 POPULAR = 200
-#: Cells of one sweep at most, about; classes of letters for bounds.
-CELLS, CLASSES = 1 << 18, 64
+#: Letters of the right sides of one sweep, about; classes of letters for bounds.
+WIDTH, CLASSES = 1 << 16, 64
 
 
 class Texts:
@@ -78,10 +78,10 @@ def _matched(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np
     open_ = np.stack([np.arange(len(la)), none, la, none, lb], 1)
     while len(open_):
         # stretches of like sizes together, so that little is filled up
-        high, wide = (open_[:, 2] - open_[:, 1] + 1) // 2, open_[:, 4] - open_[:, 3]
+        high, wide = (open_[:, 2] - open_[:, 1] + 3) // 4, open_[:, 4] - open_[:, 3]
         order, rest = np.lexsort((wide, high)), []
-        open_, cells = open_[order], np.cumsum(2 * (high * wide)[order])
-        bounds = np.searchsorted(cells, np.arange(1, cells[-1] // CELLS + 1) * CELLS)
+        open_, letters = open_[order], np.cumsum(wide[order])
+        bounds = np.searchsorted(letters, np.arange(1, letters[-1] // WIDTH + 1) * WIDTH)
         for part in np.split(open_, bounds):
             if len(part):
                 row, al, ah, bl, bh = part.T

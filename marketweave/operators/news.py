@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ordered title rules as (id, pattern, conclusion); the first that matches decides.
@@ -30,12 +30,14 @@ def title_rule(title: Column, exchange: Column, official: Column) -> Column:
 
 
 def dedup(items: DataFrame, source: str, tiers: list[str], order: str) -> DataFrame:
-    """The first item of each source by `order`, by each identity tier in turn; a null identity never matches."""
+    """The first item of each source by `order`, by each identity tier in turn; a null identity never matches.
+
+    First ones are taken in each task before they are shuffled, so that a body that thousands share is a row a task.
+    """
     for tier in tiers:
-        w = Window.partitionBy(source, tier).orderBy(order)
-        # a null identity is a group of its own row, so that items without one aren't gathered
         alone = items.where(F.col(tier).isNull())
-        items = items.where(F.col(tier).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").unionByName(alone)
+        first = items.where(F.col(tier).isNotNull()).groupBy(source, tier).agg(F.min_by(F.struct(*items.columns), order).alias("__first"))
+        items = first.select("__first.*").unionByName(alone)
     return items
 
 

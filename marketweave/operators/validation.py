@@ -13,7 +13,7 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 
 
 def _blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    return F.coalesce(tidy(c), F.lit("")) == ""
 
 
 def time_literal(value: Column) -> Column:

@@ -130,7 +130,12 @@ def fund_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.fund_audit(daily, ["name"]))
 
 
-@query()
+# JSON of each row by column name, as it is hashed; sums of eight hexadecimal digits
+_ROW_JSON = "'{' || concat_ws(',', '\"o_custkey\":' || o_custkey, '\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') || '\"', '\"o_orderkey\":' || o_orderkey, '\"o_orderpriority\":\"' || o_orderpriority || '\"', '\"o_orderstatus\":\"' || o_orderstatus || '\"', '\"o_totalprice\":' || o_totalprice) || '}'"
+
+
+@query(f"""WITH h AS (SELECT sha256({_ROW_JSON}) AS x FROM orders)
+SELECT count(*) AS rows, {" || '-' || ".join(f"CAST(sum(CAST('0x' || substr(x, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(4))} AS fingerprint FROM h""")
 def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fingerprint(table(spark, sf_dir, "orders"))
 

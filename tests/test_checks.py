@@ -1,12 +1,15 @@
 """Checks of answers and facts, runs and schedules."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from marketweave.operators import news as N
 from marketweave.operators import runs as R
 from marketweave.operators import validation as V
+from marketweave.plans import checks
 
 
 @pytest.mark.parametrize(
@@ -94,3 +97,36 @@ def test_watermarks(spark):
     rows = [("passed", True), ("warning", True), ("passed", False), ("failed", True)]
     df = spark.createDataFrame(rows, "q string, c boolean")
     assert [r["w"] for r in df.select(R.advance(F.lit(1), F.col("q"), F.col("c"), F.lit(5)).alias("w")).collect()] == [5, 5, 1, 1]
+
+
+def test_fact_issues_equal_a_loop(spark):
+    """The query over all documents against plain Python: statements, claim types, evidence and times."""
+    data = "/root/testdata/sf0.001"
+    space = "[ \\t\\n\\x0b\\f\\r]+"
+    tidy = lambda x: re.sub(space, " ", x).strip(" ")
+    day = re.compile(r"2024-05-01|\bMay\s+1,\s*2024\b|\b1\s+May\s+2024\b|2024年\s*5月\s*1日", re.IGNORECASE)
+    want = []
+    for r in spark.read.parquet(f"{data}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text").collect():
+        text, told = r["text"], False
+        for i, s in enumerate(text.split(".")):
+            quote = f"{s} never said" if i % 3 == 2 else s
+            found = tidy(quote) != "" and (quote in text or tidy(quote) in tidy(text))
+            named = bool(day.search(tidy(quote)))
+            told |= i == 0 and named
+            codes = {"INVALID_STATEMENT": tidy(s) == "", "INVALID_CLAIM_TYPE": i % 5 == 4, "EVIDENCE_NOT_MATCHED": not found, "FACT_TIME_NOT_IN_EVIDENCE": i == 0 and not named}
+            want += [(r["doc_id"], f"facts[{i}]", c) for c, holds in codes.items() if holds]
+        if not told:
+            want.append((r["doc_id"], "event_time", "EVENT_TIME_NOT_BACKED_BY_FACT"))
+    got = sorted((r["id"], r["path"], r["code"]) for r in checks.fact_issues(spark, data).collect())
+    assert got == sorted(want) and len({c for _, _, c in got}) == 5
+
+
+def test_dedup_takes_the_first_of_hot_bodies(spark):
+    rows = [(i, "s" if i % 2 else "t", None if i % 10 == 9 else "" if i % 3 else f"b{i % 7}", f"h{i}") for i in range(200)]
+    got = {r["i"] for r in N.dedup(spark.createDataFrame(rows, "i long, source string, body string, head string"), "source", ["body", "head"], "i").collect()}
+    seen, want = set(), set()
+    for i, source, body, _ in rows:
+        if body is None or (source, body) not in seen:
+            seen.add((source, body))
+            want.add(i)
+    assert got == want
