@@ -39,6 +39,7 @@ ODDS = np.array([3.0, 4.0, 5.0, 6.0, 7.0])
 SUPPORT = np.array([8, 40])
 CLASSES = 1 + (len(ODDS) + 1) * (len(SUPPORT) + 1)
 STRONG = 3.5
+FLOOR = 0.05
 CACHE = 300_000
 #: Cells of a padded matrix of tokens.
 CELLS = 1_000_000
@@ -167,10 +168,13 @@ def fit_chain(model: Model, classes: np.ndarray, labels: np.ndarray, times: np.n
 
 
 def document_features(p: np.ndarray) -> tuple[float, float, float]:
-    """Highest marginal, log of the expected number of toxic tokens, and their share."""
+    """Highest marginal, log of the expected number of toxic tokens, and their share.
+
+    Marginals below FLOOR count for nothing: of a very long clean text they would add up to toxic tokens.
+    """
     if not len(p):
         return 0.0, 0.0, 0.0
-    total = float(p.sum())
+    total = float(p[p >= FLOOR].sum())
     return float(p.max()), math.log1p(total), math.sqrt(total / len(p))
 
 
