@@ -39,10 +39,10 @@ ODDS = np.array([3.0, 4.0, 5.0, 6.0, 7.0])
 SUPPORT = np.array([8, 40])
 CLASSES = 1 + (len(ODDS) + 1) * (len(SUPPORT) + 1)
 STRONG = 3.5
+#: Marginals that count towards a document's toxic tokens.
 FLOOR = 0.05
-CACHE = 300_000
-#: Cells of a padded matrix of tokens.
-CELLS = 1_000_000
+#: Words whose classes a task keeps, cells of a padded matrix of tokens, and rows that are looked at together.
+CACHE, CELLS, SLICE = 150_000, 250_000, 500
 _word = re.compile(r"[^\W_]+")
 
 
@@ -212,8 +212,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def count_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 found = [Counter(), Counter()]
                 for text, label in zip(part.column("text"), part.column("toxic"), strict=True):
                     found[label.as_py() == 1].update({f for w in set(tokens(text.as_py())) for f in forms(w)})
@@ -254,8 +254,8 @@ def _features(docs: DataFrame, model: Model, keep: str | None = None, spans: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 texts = [x.as_py() or "" for x in part.column("text")]
                 known = part.column(keep).to_pylist() if keep else [None] * len(texts)
                 found = [classes.of(tokens(t), y) for t, y in zip(texts, known, strict=True)]
@@ -304,8 +304,8 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 p = marginals(model, [classes.of(tokens(x.as_py() or "")) for x in part.column("text")])
                 yield part.filter(pa.array(score_of(model, np.array([document_features(x) for x in p])) < threshold))
 
