@@ -19,6 +19,11 @@ def from_millis(value: Column) -> Column:
     return F.timestamp_millis(value)
 
 
+def rounded_millis(micros: Column) -> Column:
+    """Whole milliseconds of microseconds, a half rounded away from zero."""
+    return F.round(micros.cast("decimal(19,0)") * F.lit("0.001").cast("decimal(3,3)")).cast("long")
+
+
 def local_date(ts: Column, zone: str = "Asia/Shanghai") -> Column:
     """The date of a UTC instant on the wall clock of a zone."""
     return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), zone))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketweave.functions import numeric as N
-from marketweave.functions import variants
+from marketweave.functions import timegrid, variants
 from marketweave.operators import depth as D
 from marketweave.operators.news import eligible
 from marketweave.operators.news import window_start as news_window
@@ -96,10 +96,10 @@ def _pushdown(spark: SparkSession) -> Iterator[None]:
 
 
 def _event_pages(spark: SparkSession, sf_dir: str) -> str:
-    """events as pages of a day by kind."""
+    """events as pages of a day by kind, in microseconds: milliseconds are rounded, so their bounds are not those of the times."""
     e = table(spark, sf_dir, "events")
     path = _folder(spark)
-    ranged.write_pages(e.select(F.col("event_type").alias("host"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("string").alias("payload")), path, 86_400_000)
+    ranged.write_pages(e.select(F.col("event_type").alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").cast("string").alias("payload")), path, 86_400_000_000)
     spark.dataSource.register(ranged.RangedSource)
     return path
 
@@ -110,8 +110,8 @@ def ranged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of two kinds and two days, of pages of which the others stay closed."""
     with _pushdown(spark):
         pages = spark.read.format("ranged").option("path", _event_pages(spark, sf_dir)).load()
-        low, high = 1_704_888_000_000, 1_705_039_200_000
-        return cut(pages.where(F.col("host").isin("view", "purchase") & (F.col("at") >= low) & (F.col("at") < high)))
+        low, high = 1_704_888_000_000_000, 1_705_039_200_000_000
+        return cut(pages.where(F.col("host").isin("view", "purchase") & (F.col("at") >= low) & (F.col("at") < high)).withColumn("at", timegrid.rounded_millis(F.col("at"))))
 
 
 @query("SELECT event_type AS host, epoch_ms(ts) AS at, CAST(event_id AS VARCHAR) AS payload FROM events WHERE ts >= TIMESTAMP '2024-01-05'")
@@ -120,9 +120,9 @@ def overlapping_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, path = _event_pages(spark, sf_dir), _folder(spark)
     checkpoint = _folder(spark)
     for _ in range(2):
-        stream = spark.readStream.format("ranged").options(path=pages, overlap=3 * 86_400_000, start=1_704_412_800_000).load()
+        stream = spark.readStream.format("ranged").options(path=pages, overlap=3 * 86_400_000_000, start=1_704_412_800_000_000).load()
         upserts.upsert_stream(stream, path, ["host", "payload"], ["at"], "at", "pages", checkpoint).awaitTermination()
-    return committed.read(spark, path)
+    return committed.read(spark, path).withColumn("at", timegrid.rounded_millis(F.col("at")))
 
 
 @query("""WITH f AS (SELECT event_type AS feed, min(ts) AS activated, CASE WHEN event_type <> 'view' THEN date_trunc('day', min(ts)) + INTERVAL 20 DAY END AS watermark FROM events GROUP BY event_type),

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marketweave.functions import variants
+from marketweave.functions import timegrid, variants
 from marketweave.operators.ranks import nearest_ranks
 from marketweave.sources import committed, ranged
 from marketweave.streaming import upserts
@@ -121,3 +121,16 @@ def test_nearest_ranks_equal_sorting(spark, ranked, edges):
     df = spark.createDataFrame(rows, "g string, v double")
     got = {(r["g"], r["share"]): r["value"] for r in nearest_ranks(df, ["g"], "v", shares, ranked, edges).collect()}
     assert got == {(g, s): sorted(values)[max(1, math.ceil(s * len(values))) - 1] for g, values in groups.items() for s in shares}
+
+
+def test_milliseconds_of_microseconds_round_half_away_from_zero(spark):
+    values = [0, 499, 500, 1_499, 1_500, -499, -500, -1_500, 1_704_888_651_859_500, None]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    assert [r[0] for r in df.select(timegrid.rounded_millis(F.col("v"))).collect()] == [0, 0, 1, 1, 2, 0, -1, -2, 1_704_888_651_860, None]
+
+
+def test_pages_begin_below_their_rows(spark, tmp_path):
+    width, path = 86_400_000_000, str(tmp_path / "pages")
+    times = [-1, 0, width - 1, width, 20_000 * width - 1, 20_000 * width]
+    ranged.write_pages(spark.createDataFrame([("a", t, str(t)) for t in times], "host string, at long, payload string"), path, width)
+    assert [low // width for _, low, _, _ in ranged.Pages(path).known] == [-1, 0, 1, 19_999, 20_000]
