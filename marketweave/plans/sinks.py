@@ -202,9 +202,10 @@ _EVEN = lambda a, b: f"CASE WHEN 2 * ({a} % {b}) > {b} OR (2 * ({a} % {b}) = {b}
 
 def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    tiny = (F.col("l_partkey") * F.col("l_linenumber")).cast("decimal(20,0)") * F.lit("0.000000000000000001").cast("decimal(18,18)")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")
-    return lines.select("l_suppkey", "l_returnflag", (cents.cast("decimal(38,18)") - tiny.cast("decimal(38,18)")).cast("decimal(38,18)").alias("value"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    # digits as declared: products and differences beyond 38 lose their last places
+    tiny = ((F.col("l_partkey") * F.col("l_linenumber")).cast("decimal(19,0)") * F.lit("0.000000000000000001").cast("decimal(18,18)")).cast("decimal(37,18)")
+    cents = (F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(37,18)")
+    return lines.select("l_suppkey", "l_returnflag", (cents - tiny).alias("value"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"), F.col("l_quantity").cast("bigint").alias("quantity"))
 
 
 def _as_units(value):

@@ -48,7 +48,7 @@ def test_query_equals_its_sql(spark, sql, name):
     same([[r[c] for c in columns] for r in rows], [[r[want.columns.index(c)] for c in columns] for r in want.fetchall()])
 
 
-@pytest.mark.parametrize("name", ["ranged_pages", "overlapping_stream"])
+@pytest.mark.parametrize("name", ["exact_means", "overlapping_stream", "ranged_pages"])
 def test_query_equals_its_sql_in_every_digit(spark, sql, name):
     got, want = registry.QUERIES[name](spark, DATA), sql.sql(registry.ORACLE_SQL[name])
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
