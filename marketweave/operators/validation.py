@@ -44,8 +44,16 @@ def time_supported(value: Column, quote: Column) -> Column:
 
 def first_facts(facts: Column) -> Column:
     """Facts (with a statement) without those whose statement came before, but for case and white space."""
-    key = F.transform(facts, lambda f: F.lower(tidy(F.coalesce(f["statement"], F.lit("")))))
-    return F.filter(facts, lambda f, i: (F.get(key, i) == "") | (F.array_position(key, F.get(key, i)) == i + 1))
+    key = lambda f: F.lower(tidy(F.coalesce(f["statement"], F.lit(""))))
+    keyed = F.transform(facts, lambda f, i: F.struct(key(f).alias("key"), i.alias("i")))
+
+    def kept(x: Column) -> Column:
+        """Facts by number, of which each stands by its predecessor of the same key."""
+        first = F.filter(x["keys"], lambda k, n: (k["key"] == "") | (n == 0) | (k["key"] != F.get(x["keys"], F.greatest(n - 1, F.lit(0)))["key"]))
+        return F.transform(F.sort_array(F.transform(first, lambda k: k["i"])), lambda i: F.get(x["facts"], i))
+
+    # an array of one element names its content, which is computed once instead of once per fact
+    return F.get(F.transform(F.array(F.struct(facts.alias("facts"), F.sort_array(keyed).alias("keys"))), kept), F.lit(0))
 
 
 def id_errors(returned: Column, requested: Column) -> dict[str, Column]:

@@ -1,7 +1,9 @@
 """Checks of answers and facts, runs and schedules."""
 
 import datetime as dt
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +39,24 @@ def test_first_facts_keep_order(spark):
     assert [f["statement"] for f in df.select(V.first_facts(F.col("facts")).alias("x")).first()["x"]] == ["A b", None, "c", ""]
 
 
+def test_first_facts_of_long_lists(spark):
+    rng = random.Random(5)
+    lists = [[rng.choice([None, "", " ", f" A  {rng.randrange(9_000)} b", f"a {rng.randrange(9_000)} B"]) for _ in range(12_000)] for _ in range(4)]
+    df = spark.createDataFrame([(n, [(x,) for x in own]) for n, own in enumerate([*lists, []])] + [(5, None)], "n int, facts array<struct<statement: string>>")
+    begun = time.monotonic()
+    got = {r["n"]: r["x"] and [f["statement"] for f in r["x"]] for r in df.select("n", V.first_facts(F.col("facts")).alias("x")).collect()}
+    assert time.monotonic() - begun < 30  # each key was made anew for each fact
+    for n, own in enumerate(lists):
+        seen, want = set(), []
+        for x in own:
+            key = " ".join((x or "").split()).lower()
+            if not key or key not in seen:
+                want.append(x)
+            seen.add(key)
+        assert got[n] == want
+    assert got[4] == [] and got[5] is None
+
+
 def test_answers(spark):
     item = "array<struct<news_id: bigint, conclusion: string, rationale: string, content_summary: string>>"
     rows = [([(1, "bullish", "r", "")], [1]), ([(1, "up", " ", None), (1, "bullish", "r" * 501, "s")], [1, 2]), (None, [1]), ([(3, "bullish", "r", "s")], [])]
