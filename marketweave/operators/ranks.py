@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from marketweave.session import cut
 
-#: Edges by which an interval is cut, and rows of an interval that are ranked together at most.
-EDGES, RANKED = 64, 100_000
+#: Edges by which an interval is cut, rows of an interval that are ranked together at most, and intervals that all tasks get.
+EDGES, RANKED, SENT = 64, 100_000, 10_000
 
 
 def nearest_ranks(df: DataFrame, keys: list[str], column: str, shares: list[float], ranked: int = RANKED, edges: int = EDGES) -> DataFrame:
@@ -25,9 +25,15 @@ def nearest_ranks(df: DataFrame, keys: list[str], column: str, shares: list[floa
     todo = cut(groups.select(*keys, told, "n", "lo", "hi").withColumn("rank", F.greatest(F.ceil(F.col("share") * F.col("n")), F.lit(1)).cast("long")))
     done: DataFrame | None = None
     interval = [*keys, "lo", "hi"]
+
+    def sent(those: DataFrame) -> DataFrame:
+        """The intervals, sent to all tasks where they are few: else a join would deal all rows of a group to one task."""
+        return F.broadcast(those) if many <= SENT else those
+
     # intervals of a group are few, and several shares may lie in one
-    inside = lambda those: rows.join(those.select(*interval).distinct(), keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    inside = lambda those: rows.join(sent(those.select(*interval).distinct()), keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
     while True:
+        many = todo.count()
         single = todo.where("lo = hi").select(*keys, "share", F.col("lo").alias("value"))
         little = todo.where((F.col("lo") < F.col("hi")) & (F.col("n") <= ranked))
         placed = inside(little).withColumn("rank", F.row_number().over(Window.partitionBy(*interval).orderBy("v")).cast("long"))
@@ -38,7 +44,7 @@ def nearest_ranks(df: DataFrame, keys: list[str], column: str, shares: list[floa
             return done
         rough = inside(large).groupBy(*interval).agg(F.array_distinct(F.percentile_approx("v", [k / edges for k in range(1, edges)], 100 * edges)).alias("edges"))
         below = F.size(F.filter("edges", lambda e: e < F.col("v")))
-        ranged = inside(large).join(rough, interval).withColumn("range", 2 * below + F.array_contains("edges", F.col("v")).cast("int"))
+        ranged = inside(large).join(sent(rough), interval).withColumn("range", 2 * below + F.array_contains("edges", F.col("v")).cast("int"))
         counts = ranged.groupBy(*interval, "range").agg(F.count("*").alias("k"), F.min("v").alias("first"), F.max("v").alias("last"))
         upto = F.sum("k").over(Window.partitionBy(*interval).orderBy("range"))
         within = large.join(counts.withColumn("upto", upto), interval).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("k") < F.col("rank")))

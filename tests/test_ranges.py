@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketweave.functions import timegrid, variants
+from marketweave.operators import ranks
 from marketweave.operators.ranks import nearest_ranks
 from marketweave.sources import committed, ranged
 from marketweave.streaming import upserts
@@ -134,3 +135,15 @@ def test_pages_begin_below_their_rows(spark, tmp_path):
     times = [-1, 0, width - 1, width, 20_000 * width - 1, 20_000 * width]
     ranged.write_pages(spark.createDataFrame([("a", t, str(t)) for t in times], "host string, at long, payload string"), path, width)
     assert [low // width for _, low, _, _ in ranged.Pages(path).known] == [-1, 0, 1, 19_999, 20_000]
+
+
+@pytest.mark.parametrize("sent", [0, ranks.SENT])
+def test_few_intervals_go_to_the_rows(spark, monkeypatch, sent):
+    monkeypatch.setattr(ranks, "SENT", sent)
+    told = []
+    monkeypatch.setattr(ranks.F, "broadcast", lambda df: told.append(df) or df.hint("broadcast"))
+    values = {g: sorted(float((7 * i) % 1_009) for i in range(n)) for g, n in (("a", 3_000), ("b", 1))}
+    df = spark.createDataFrame([(g, v) for g, own in values.items() for v in own], "g string, v double")
+    got = {(r["g"], r["share"]): r["value"] for r in nearest_ranks(df, ["g"], "v", [0.001, 0.5, 1.0], ranked=50, edges=8).collect()}
+    assert got == {(g, s): own[max(1, math.ceil(s * len(own))) - 1] for g, own in values.items() for s in (0.001, 0.5, 1.0)}
+    assert bool(told) == (sent > 0)
