@@ -194,7 +194,8 @@ def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = E.candidates(_facts(spark, sf_dir))
+    """Decisions about the candidates, which are found once and not anew at each use."""
+    found = cut(E.candidates(_facts(spark, sf_dir)))
     relation = F.when(F.col("rejected").isNotNull(), "different_event").when(F.col("score") >= 0.9, "same_event").otherwise("uncertain")
     return found.select("left", "right", relation.alias("relation"), F.col("score").alias("confidence"), F.lit(False).alias("conflict"), "score")
 

@@ -255,3 +255,23 @@ def test_stream_drops_late_samples(spark, tmp_path):
     stream = spark.readStream.schema("symbol string, ts timestamp, value double").parquet(str(tmp_path / "in"))
     got = minutes.drain(spark, minutes.drop_late(stream), "append", str(tmp_path / "cp"))
     assert sorted(r["value"] for r in got.collect()) == [0.0, 1.0, 4.0]
+
+
+def test_decisions_are_found_once(spark, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+    judge = E._best
+
+    def counted(most, least):
+        run = judge(most, least)
+
+        def counting(batches):
+            runs.add(1)
+            yield from run(batches)
+
+        return counting
+
+    monkeypatch.setattr(E, "_best", counted)
+    news.candidate_pairs(spark, "/root/testdata/sf0.001").collect()
+    alone = runs.value
+    news.event_rollup(spark, "/root/testdata/sf0.001").collect()
+    assert runs.value == 2 * alone > 0
