@@ -15,10 +15,17 @@ from marketweave.functions.numeric import flow_value
 from marketweave.functions.timegrid import parse_when
 
 DECIMAL = "decimal(38,18)"
+#: Tasks that parse markup, by cores of the session.
+TASKS_A_CORE = 4
 CHART = "array<struct<date: bigint, totalCirculating: struct<peggedUSD: double>, totalCirculatingUSD: struct<peggedUSD: double>, totalMintedUSD: struct<peggedUSD: double>>>"
 ANNOUNCEMENTS = "struct<code: string, data: struct<catalogs: array<struct<catalogId: bigint, catalogName: string, total: bigint, articles: array<struct<id: bigint, code: string, title: string, type: int, releaseDate: bigint>>>>>>"
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df dealt to several tasks a core: markup is few bytes but much work, so files and adaptive shuffles would leave it in few tasks."""
+    return df.repartition(TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _keep(df: DataFrame, rows: Column) -> DataFrame:
     """df without payload, a row per element of `rows` as column r."""
     return df.select(*[c for c in df.columns if c != "payload"], F.explode(rows).alias("r"))
@@ -80,7 +87,7 @@ def flow_table(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c != "payload"]
     ticker = "^[A-Z][A-Z0-9.]{1,9}$"
     header = lambda r: (F.size(r) >= 4) & (F.get(r, 0) == "") & (F.get(r, F.size(r) - 1) == "") & F.forall(F.slice(r, 2, F.greatest(F.size(r) - 2, F.lit(0))), lambda x: x.rlike(ticker))
-    with_table = df.withColumn("t", F.get(F.filter(tables("payload"), lambda t: F.exists(t, header)), 0))
+    with_table = _dealt(df).withColumn("t", F.get(F.filter(tables("payload"), lambda t: F.exists(t, header)), 0))
     rows = with_table.withColumn("h", F.get(F.filter("t", header), 0)).select(*keep, "h", F.explode("t").alias("r"))
     day = F.to_date(F.try_to_timestamp(F.get("r", 0), F.lit("dd MMM yyyy")))
     dated = rows.withColumn("day", day).where((F.size("r") == F.size("h")) & F.col("day").isNotNull())
@@ -92,7 +99,7 @@ def flow_table(df: DataFrame) -> DataFrame:
 def accounts_table(df: DataFrame) -> DataFrame:
     """(rank, address, balance) of a table of addresses; rejected where ranks have gaps."""
     keep = [c for c in df.columns if c != "payload"]
-    rows = df.select(*keep, F.explode(F.flatten(tables("payload"))).alias("r")).where((F.size("r") >= 3) & F.get("r", 0).rlike("^[0-9]+$"))
+    rows = _dealt(df).select(*keep, F.explode(F.flatten(tables("payload"))).alias("r")).where((F.size("r") >= 3) & F.get("r", 0).rlike("^[0-9]+$"))
     address = F.regexp_extract(F.array_join("r", " "), r"(0x[0-9a-fA-F]{40})", 1)
     balance = F.regexp_replace(F.regexp_extract(F.array_join("r", "|"), r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:ETH|Ether)", 1), ",", "").try_cast("double")
     found = rows.select(*keep, F.get("r", 0).cast("int").alias("rank"), F.lower(address).alias("address"), balance.alias("balance")).where("address <> ''")
@@ -102,7 +109,7 @@ def accounts_table(df: DataFrame) -> DataFrame:
 def feed(df: DataFrame, category: str = "") -> DataFrame:
     """News items of RSS or Atom documents."""
     keep = [c for c in df.columns if c != "payload"]
-    rows = df.select(*keep, F.explode(feed_entries("payload")).alias("r"))
+    rows = _dealt(df).select(*keep, F.explode(feed_entries("payload")).alias("r"))
     first = lambda *names: F.coalesce(*[F.nullif(F.col("r")[n], F.lit("")) for n in names])
     many = F.when(F.startswith(first("category"), F.lit("[")), F.from_json(first("category"), "array<string>")).otherwise(F.array_compact(F.array(first("category"))))
     tags = F.array_distinct(F.concat(many, F.array(F.lit(category)))) if category else F.array_distinct(many)
@@ -147,7 +154,7 @@ def _part(kind: str) -> Column:
 
 def incidents(df: DataFrame) -> DataFrame:
     """Incident cards: day, target, description, loss, method and reference; cards without a day or target are dropped."""
-    rows = _keep(df, cards("payload"))
+    rows = _keep(_dealt(df), cards("payload"))
     whole = F.array_join(F.transform("r.parts", lambda p: p["text"]), "\n")
     said = lambda label: F.nullif(F.trim(F.regexp_extract(whole, rf"(?m)^{label}:\s*(.*)$", 1)), F.lit(""))
     out = rows.select(*[c for c in rows.columns if c != "r"], F.to_date(F.try_to_timestamp(_part("time"), F.lit("yyyy-MM-dd"))).alias("day"), said("Hacked target").alias("target"), said("Description of the event").alias("description"), said("Amount of loss").alias("loss"), said("Attack method").alias("method"), F.nullif("r.href", F.lit("")).alias("reference"))
@@ -156,7 +163,7 @@ def incidents(df: DataFrame) -> DataFrame:
 
 def press_releases(df: DataFrame, base: str = "") -> DataFrame:
     """Cards of a press room: day, title, summary and link; cards that lack one are dropped."""
-    rows = _keep(df, cards("payload"))
+    rows = _keep(_dealt(df), cards("payload"))
     out = rows.select(*[c for c in rows.columns if c != "r"], F.to_date(F.try_to_timestamp(_part("caption"), F.lit("MMMM d, yyyy"))).alias("day"), _part("h6").alias("title"), _part("paragraph").alias("summary"), F.concat(F.lit(base), "r.href").alias("url"))
     return out.where("day IS NOT NULL AND title IS NOT NULL AND summary IS NOT NULL")
 

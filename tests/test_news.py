@@ -275,3 +275,9 @@ def test_decisions_are_found_once(spark, monkeypatch):
     alone = runs.value
     news.event_rollup(spark, "/root/testdata/sf0.001").collect()
     assert runs.value == 2 * alone > 0
+
+
+@pytest.mark.parametrize("parse", [payloads.flow_table, payloads.accounts_table, payloads.feed, payloads.incidents, payloads.press_releases])
+def test_markup_is_parsed_by_many_tasks(spark, parse):
+    pages = spark.range(100).coalesce(1).selectExpr("id AS page", "'<p>' || id AS payload")
+    assert parse(pages).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
