@@ -14,6 +14,9 @@ from marketweave.functions.html import cards, feed_entries, plain_text, tables
 from marketweave.functions.numeric import flow_value
 from marketweave.functions.timegrid import parse_when
 
+# told to be so, as a filter that Spark infers from explode would parse each page once more, before the pages are dealt
+cards, tables = cards.asNondeterministic(), tables.asNondeterministic()
+
 DECIMAL = "decimal(38,18)"
 #: Tasks that parse markup, by cores of the session.
 TASKS_A_CORE = 4
@@ -28,7 +31,8 @@ def _dealt(df: DataFrame) -> DataFrame:
 
 def _keep(df: DataFrame, rows: Column) -> DataFrame:
     """df without payload, a row per element of `rows` as column r."""
-    return df.select(*[c for c in df.columns if c != "payload"], F.explode(rows).alias("r"))
+    keep = [c for c in df.columns if c != "payload"]
+    return df.select(*keep, rows.alias("__rows")).select(*keep, F.explode("__rows").alias("r"))
 
 
 def klines(df: DataFrame, now: Column) -> DataFrame:
@@ -99,7 +103,7 @@ def flow_table(df: DataFrame) -> DataFrame:
 def accounts_table(df: DataFrame) -> DataFrame:
     """(rank, address, balance) of a table of addresses; rejected where ranks have gaps."""
     keep = [c for c in df.columns if c != "payload"]
-    rows = _dealt(df).select(*keep, F.explode(F.flatten(tables("payload"))).alias("r")).where((F.size("r") >= 3) & F.get("r", 0).rlike("^[0-9]+$"))
+    rows = _dealt(df).select(*keep, F.flatten(tables("payload")).alias("__rows")).select(*keep, F.explode("__rows").alias("r")).where((F.size("r") >= 3) & F.get("r", 0).rlike("^[0-9]+$"))
     address = F.regexp_extract(F.array_join("r", " "), r"(0x[0-9a-fA-F]{40})", 1)
     balance = F.regexp_replace(F.regexp_extract(F.array_join("r", "|"), r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(?:ETH|Ether)", 1), ",", "").try_cast("double")
     found = rows.select(*keep, F.get("r", 0).cast("int").alias("rank"), F.lower(address).alias("address"), balance.alias("balance")).where("address <> ''")
