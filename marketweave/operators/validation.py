@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketweave.functions.text import evidence, tidy
+from marketweave.functions.text import evidences, tidy
 from marketweave.operators.quality import broken
 
 # Names of months in evidence.
@@ -110,14 +110,15 @@ def fact_issues(results: DataFrame, claim_types: list[str]) -> DataFrame:
 
     facts: array of (statement, claim_type, evidence_text, fact_time).
     """
-    fact = results.select("id", "event_time", "title", "summary", "body", F.posexplode("facts").alias("n", "f"))
+    # quotes are found before facts become rows, so that no row carries the texts
+    found = results.select("id", "facts", evidences(F.col("facts.evidence_text"), *map(F.col, ("title", "summary", "body"))).alias("found"))
+    fact = found.select("id", F.posexplode(F.arrays_zip("facts", "found")).alias("n", "x")).select("id", "n", F.col("x.facts").alias("f"), F.col("x.found").alias("found"))
     quote = F.col("f.evidence_text")
-    found = evidence(quote, F.col("title"), F.col("summary"), F.col("body"))
     timed = F.col("f.fact_time").isNotNull()
     codes = broken({
         "INVALID_STATEMENT": _blank(F.col("f.statement")),
         "INVALID_CLAIM_TYPE": F.coalesce(~F.col("f.claim_type").isin(claim_types), F.lit(True)),
-        "EVIDENCE_NOT_MATCHED": found.isNull(),
+        "EVIDENCE_NOT_MATCHED": F.col("found").isNull(),
         "INVALID_FACT_TIME": timed & ~time_literal(F.col("f.fact_time")),
         "FACT_TIME_NOT_IN_EVIDENCE": timed & time_literal(F.col("f.fact_time")) & ~time_supported(F.col("f.fact_time"), quote),
     })

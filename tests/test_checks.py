@@ -90,6 +90,13 @@ def test_fact_issues(spark):
     ]
 
 
+def test_rows_of_facts_carry_no_texts(spark):
+    schema = "id long, event_time string, facts array<struct<statement: string, claim_type: string, evidence_text: string, fact_time: string>>, title string, summary string, body string"
+    found = V.fact_issues(spark.createDataFrame([], schema), ["reported"])
+    by_fact = found._jdf.queryExecution().optimizedPlan().toString().split("posexplode")[0]
+    assert "EVIDENCE_NOT_MATCHED" in by_fact and "body" not in by_fact
+
+
 def test_schedules(spark):
     at = lambda text: F.lit(text).cast("timestamp")
     r = spark.range(1).select(

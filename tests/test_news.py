@@ -34,6 +34,13 @@ def test_tokens_and_evidence(spark):
     assert [r["m"] for r in df.select(text.evidence(*map(F.col, "qtsb")).alias("m")).collect()] == [c[4] for c in cases]
 
 
+def test_evidences_of_many_quotes(spark):
+    cases = [("b c", "a b c", "", "", "title:exact"), ("b  c", None, "a b c", "b \t c", "summary:normalized"), ("b c", "x", "y", "a b c", "body:exact"), ("no", "x", "y", None, None), ("", "x", "", "", None)]
+    df = spark.createDataFrame([c[:4] for c in cases], "q string, t string, s string, b string")
+    many = df.select(text.evidences(F.array(F.col("q"), F.lit(None), F.lit(" "), F.col("q")), *map(F.col, "tsb")).alias("m"))
+    assert [r["m"] for r in many.collect()] == [[c[4], None, None, c[4]] for c in cases]
+
+
 def test_summary_and_similarity(spark):
     long = "One sentence here. " * 40
     r = spark.createDataFrame([(long, "abcd", "bcde")], "t string, a string, b string").select(text.summary(F.col("t")).alias("s"), text.summary(F.lit("x" * 700)).alias("c"), text.summary(F.lit(" a  b ")).alias("k"), text.sequence_ratio("a", "b").alias("r")).first()
