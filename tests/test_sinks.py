@@ -164,6 +164,24 @@ def test_held_stream_over_batches(spark, tmp_path):
     assert rows(got.select("symbol", F.unix_micros("ts"), "value")) == want
 
 
+def test_held_stream_keeps_a_state_by_chunk(spark, tmp_path):
+    """Updates across edges of chunks are held as in one, and no state gets all updates of a symbol."""
+    edge, rng = 1_700_002_800, random.Random(3)
+    assert edge % books.CHUNK == 0
+    at = sorted({*(edge * 1_000_000 + rng.randrange(-30_000_000, 30_000_000) for _ in range(40)), edge * 1_000_000 + 3_600_000_000 - 2_500_000, edge * 1_000_000 + 3_601_700_000})
+    updates = [(s, t, float(n)) for s in "ab" for n, t in enumerate(at)] + [("a", (edge + 7_199) * 1_000_000, 8.0), ("c", (edge + 7_203) * 1_000_000, 9.0)]
+    df = spark.createDataFrame(updates, "symbol string, at long, value double").select("symbol", F.timestamp_micros("at").alias("ts"), "value")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("symbol string, ts timestamp, value double").parquet(f"{tmp_path}/in")
+    frame = books.held(stream, max_age=10)
+    assert "symbol#" in (plan := frame._jdf.queryExecution().analyzed().toString()) and "chunk#" in plan.split("TransformWithState")[1].split("\n")[0]
+    with books.store(spark):
+        got = minutes.drain(spark, frame, "append", str(tmp_path / "cp"))
+    # the last updates of a and c have no next one, and the watermark has not passed their ages
+    want = [(s, t, v) for s, t, v, _ in plain_hold([*updates, *((s, (edge + 9_000) * 1_000_000, 0.0) for s in "abc")], 1_000_000, 10_000_000) if t < (edge + 7_199) * 1_000_000]
+    assert rows(got.select("symbol", F.unix_micros("ts"), "value")) == want
+
+
 def test_exact_mean_equals_decimals(spark):
     rng = random.Random(4)
     unit = Decimal(1).scaleb(-18)
