@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketweave.session import checkpoint_folder
+from marketweave.session import checkpoint_folder, saved
 
 #: ASCII white space parts words; everything else belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,13 +20,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """As cut, but as Parquet in the same folder: for wide or large rows of which later steps read some columns."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if a count shows at most `limit` rows, else df for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

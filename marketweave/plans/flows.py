@@ -10,7 +10,7 @@ from marketweave.operators import decisions as D
 from marketweave.operators import quality as Q
 from marketweave.operators import runs as R
 from marketweave.plans.series import rounded
-from marketweave.session import table
+from marketweave.session import saved, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -175,6 +175,7 @@ def classification_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.col("l_linenumber") % 2).alias("requests"),
         (F.col("l_partkey") % 401 == 0).alias("fatal"),
     )
+    rows = saved(rows)
     answers = rows.select("run", "id", F.explode(F.array(*map(F.lit, D.STAGES))).alias("stage"), "conclusion", "requests", "fatal")
     return D.cascade(rows.select("run", "id", "rule", "summary_only"), answers, 20, 60)
 

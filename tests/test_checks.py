@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from marketweave.operators import decisions
 from marketweave.operators import news as N
 from marketweave.operators import runs as R
 from marketweave.operators import validation as V
@@ -157,3 +158,46 @@ def test_dedup_takes_the_first_of_hot_bodies(spark):
             seen.add((source, body))
             want.add(i)
     assert got == want
+
+
+def plain_cascade(records, answers, size, limit):
+    """The stages by a loop over each run: (run, id, stage, status, conclusion)."""
+    out = []
+    for run in {r[0] for r in records}:
+        own = sorted(r[1:] for r in records if r[0] == run)
+        out += [(run, i, "title_rule", "success", rule) for i, rule, _ in own if rule is not None]
+        used, stopped, left, details = 0, False, [(i, only) for i, rule, only in own if rule is None], []
+        for stage in decisions.STAGES:
+            mine = [x for x in left if stage == "title_ai" or x[1] == (stage == "summary_ai")]
+            unclear = []
+            for k in range(0, len(mine), size):
+                batch = [(i, only, *answers.get((run, i, stage), ("unclear", 1, False))) for i, only in mine[k : k + size]]
+                served = used < limit and not stopped
+                if served:
+                    used, stopped = used + max(x[3] for x in batch), any(x[4] for x in batch)
+                status = ("failed" if stopped else "success") if served else "skipped"
+                for i, only, told, _, _ in batch:
+                    if stage == "title_ai" and status == "success" and told == "unclear":
+                        unclear.append((i, only))
+                    else:
+                        (out if stage == "title_ai" else details).append((run, i, stage, status, told if status == "success" else None))
+            left = unclear if stage == "title_ai" else left
+        out += [x for x in details if not (stopped and x[3] == "skipped")]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("least", [0, 1])
+def test_cascade_numbers_the_first_records_only(spark, monkeypatch, least):
+    """Also where answers that take no request let a run go on beyond the records looked at first."""
+    monkeypatch.setattr(decisions, "FIRST", 6)
+    rng = random.Random(7)
+    records = [(run, 3 * i, "bullish" if rng.random() < 0.1 else None, rng.random() < 0.5) for run in range(12) for i in range(8 * run + 1)]
+    answers = {(run, i, stage): (rng.choice(["unclear", "bullish"]), rng.randint(least, 2), rng.random() < 0.01) for run, i, _, _ in records for stage in decisions.STAGES if rng.random() < 0.9}
+    if not least:
+        answers |= {(9, i, stage): ("bullish", 0, False) for run, i, _, _ in records if run == 9 for stage in decisions.STAGES}
+    r = spark.createDataFrame(records, "run long, id long, rule string, summary_only boolean")
+    a = spark.createDataFrame([(*k, *v) for k, v in answers.items()], "run long, id long, stage string, conclusion string, requests int, fatal boolean")
+    found = decisions.cascade(r, a, 3, 12)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, found.select("run", "id", "stage", "status", "conclusion").collect()), key=str)
+    assert got == plain_cascade(records, answers, 3, 12) and {x[3] for x in got} == {"success", "failed", "skipped"}
