@@ -20,6 +20,11 @@ the bytes of all windows that it owns in its document, and on to LENGTH bytes fr
 Repeats of LENGTH bytes or more are joined per document and cut out. Shorter ones, of LEAST bytes or
 more, are counted beside where they are asked for; else LEAST is LENGTH.
 
+Passages of so many words that occur again can be counted too, however few bytes they have. They go the
+same way with hashes of words for bytes: anchors are grams of words, regions are runs of words, equal
+regions are one string, and windows of so many words are matched between the different regions of a gram.
+Words are told apart by 64 bits of hash, in windows by 32 a word.
+
 Defined cases: a null text is empty; a text shorter than LENGTH bytes keeps all its bytes; equal
 rows are copies of each other; matches never cross documents; an empty table gives an empty
 result; further columns are ignored. Equality of regions is judged by 64 bits of hash beside the
@@ -28,6 +33,7 @@ result; further columns are ignored. Equality of regions is judged by 64 bits of
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -41,6 +47,8 @@ from pyspark.sql import functions as F
 from marketweave.llm.common import saved, text_of
 
 LENGTH, GRAM = 400, 32
+#: Words of a gram of words; bytes of a word's code in regions of words.
+WORD_GRAM, CODE = 8, 4
 #: Different regions of a gram that meet in one array; offsets of the blocks by which larger ones are split.
 BUCKET, BLOCKS = 256, (64, 8, 1)
 #: Bytes of texts that a task hashes at once, and of regions that share a suffix array.
@@ -51,6 +59,8 @@ _rng = np.random.default_rng(17)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = 28
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTER = np.where(_WHITE, np.uint64(0), _BYTE)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,9 +68,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def rolling(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes from each position, by doubling; size + 1 - size positions short at the end."""
-    out, have, parts = _BYTE[data], 1, []
+def rolling(values: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` values from each position, by doubling; size - 1 positions short at the end."""
+    out, have, parts = values, 1, []
     left, step = size, 0
     while True:
         if left & 1:
@@ -72,7 +82,7 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
         have, step = have * 2, step + 1
     total, at = None, 0
     for width, x in reversed(parts):
-        n = max(0, len(data) - size + 1)
+        n = max(0, len(values) - size + 1)
         piece = x[at : at + n]
         total = piece.copy() if total is None else total * _STEPS[-1] + piece
         at += width
@@ -88,9 +98,9 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - have : width - have + n])
 
 
-def anchors(data: np.ndarray, least_: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first and last owned window start, gram hash) of the anchors of one run of bytes."""
-    hashes = rolling(data, gram)
+def anchors(values: np.ndarray, least_: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(anchor, first and last owned window start, gram hash) of the anchors of one run of values of bytes or words."""
+    hashes = rolling(values, gram)
     rank = (hashes >> np.uint64(_PLACE)) << np.uint64(_PLACE) | (np.uint64((1 << _PLACE) - 1) - np.arange(len(hashes), dtype=np.uint64))
     low = least(rank, least_ - gram + 1)
     at = (np.uint64((1 << _PLACE) - 1) - (low & np.uint64((1 << _PLACE) - 1))).astype(np.int64)
@@ -99,8 +109,45 @@ def anchors(data: np.ndarray, least_: int, gram: int) -> tuple[np.ndarray, ...]:
     return at[first], first, last, hashes[at[first]]
 
 
+@functools.lru_cache(1)
+def _table_of_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = int(_STEPS[0])
+    return tuple(np.cumprod(np.full(n, x, dtype=np.uint64)) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, n at least, and what each is to be multiplied by to give 1."""
+    have = 1 << 16
+    while have < n:
+        have *= 2
+    return _table_of_powers(have)
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the words."""
+    inside = np.concatenate([[False], ~_WHITE[np.frombuffer(raw, dtype=np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word."""
+    starts, stops = word_bounds(raw)
+    data, out, at = np.frombuffer(raw, dtype=np.uint8), np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        end = int(np.searchsorted(stops, starts[at] + CHUNK, side="right"))
+        if end == at:  # a word of over CHUNK bytes
+            out[at], at = xxhash.xxh3_64_intdigest(raw[starts[at] : stops[at]]), at + 1
+            continue
+        here = starts[at:end] - starts[at]
+        power, inverse = _powers(int(stops[end - 1] - starts[at]))
+        piece = _LETTER[data[starts[at] : stops[end - 1]]]
+        out[at:end], at = _mix(np.add.reduceat(piece * power[: len(piece)], here) * inverse[here]), end
+    return out
+
+
 def _packed(start: np.ndarray, lead: np.ndarray, own: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A region's start, its anchor's offset, number of windows and bytes in one long."""
+    """A region's start, its anchor's offset, number of windows and length in one long."""
     return start.astype(np.int64) << 32 | lead.astype(np.int64) << 22 | own.astype(np.int64) << 12 | size.astype(np.int64)
 
 
@@ -112,16 +159,40 @@ def _size(place: Column) -> Column:
     return place.bitwiseAND(F.lit(0xFFF))
 
 
-def occurrences(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, gram, region, place): a row per anchor; region is a hash of the region's bytes and of the anchor's offset in it."""
+def occurrences(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int = GRAM, words: int | None = None) -> DataFrame:
+    """(doc, gram, region, place, words): a row per anchor; region is a hash of the region's content and of the anchor's offset in it.
+
+    words is true for regions of words, which are there if a number of words is given; their places are counted in words.
+    """
     if not (gram <= least_ <= length and least_ < 1 << 10 and least_ + length < 1 << 12):
         raise ValueError("gram <= least_ <= length with least_ < 1024 and least_ + length < 4096 is asked for")
+    if words is not None and not WORD_GRAM <= words < 1 << 9:
+        raise ValueError(f"{WORD_GRAM} <= words < 512 is asked for")
+
+    def of_words(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+        hashes = word_hashes(raw)
+        for at in range(0, max(1, len(hashes) - words + 1), CHUNK):
+            part = hashes[at : at + CHUNK + words - 1]
+            if len(part) < words:
+                continue
+            place, first, last, name = anchors(part, words, WORD_GRAM)
+            power, inverse = _powers(len(part))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(part * power[: len(part)])])
+            own = last - first + 1
+            region = _mix((sums[last + words] - sums[first]) * inverse[first]) ^ _mix((place - first << 10 | own).astype(np.uint64))
+            yield _mix(name + np.uint64(words)).view(np.int64), region.view(np.int64), _packed(first + at, place - first, own, own + words - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "gram", "region", "place"]
+        names = ["doc", "gram", "region", "place", "words"]
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
+
+            def put(key: int, columns: tuple[np.ndarray, ...], of_words: bool) -> int:
+                for k, x in enumerate((np.full(len(columns[0]), key), *columns, np.full(len(columns[0]), of_words))):
+                    out[k].append(x)
+                return len(columns[0])
+
             for key, value in zip(batch.column("doc"), batch.column("text"), strict=True):
                 raw = value.as_py().encode()
                 for at in range(0, max(1, len(raw) - least_ + 1), CHUNK):
@@ -129,20 +200,21 @@ def occurrences(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gra
                     part = raw[at : at + CHUNK + least_ - 1]
                     if len(part) < least_:
                         continue
-                    place, first, last, name = anchors(np.frombuffer(part, dtype=np.uint8), least_, gram)
+                    place, first, last, name = anchors(_BYTE[np.frombuffer(part, dtype=np.uint8)], least_, gram)
                     start = first + at
                     stop = np.minimum(last + at + length, len(raw))
                     region = np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), stop.tolist(), strict=True)], dtype=np.uint64)
-                    for k, x in enumerate((np.full(len(first), key.as_py()), name.view(np.int64), (region ^ _mix((place - first).astype(np.uint64))).view(np.int64), _packed(start, place - first, last - first + 1, stop - start))):
-                        out[k].append(x)
-                    held += len(first)
+                    held += put(key.as_py(), (name.view(np.int64), (region ^ _mix((place - first).astype(np.uint64))).view(np.int64), _packed(start, place - first, last - first + 1, stop - start)), False)
+                if words is not None and len(raw) >= 2 * words - 1:
+                    for columns in of_words(raw):
+                        held += put(key.as_py(), columns, True)
                 if held > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
                     out, held = [[] for _ in names], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, gram long, region long, place long")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, gram long, region long, place long, words boolean")
 
 
 def suffix_array(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], np.ndarray]:
@@ -259,16 +331,45 @@ def repeats(data: bytes, starts: np.ndarray, stops: np.ndarray, own: np.ndarray,
                 stack.append([now, first, lowest, highest])
 
 
-_SPAN = "doc long, start long, stop long, cut boolean"
-_PIECE = "gram long, region long, doc long, start long, lead int, own int, bytes binary"
+_SPAN = "doc long, start long, stop long, cut boolean, words boolean"
+_PIECE = "gram long, region long, doc long, start long, lead int, own int, words boolean, bytes binary"
+
 
+def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, cut: bool, words: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"doc": doc, "start": start, "stop": stop, "cut": np.full(len(doc), cut), "words": np.full(len(doc), words)})
 
-def _in_arrays(regions: DataFrame, length: int, least_: int) -> DataFrame:
-    """Spans (doc, start, stop, cut) of repeats between the regions (gram, doc, start, own, bytes) of a gram; cut: of `length` bytes or more."""
+
+def _in_windows(rows: list[tuple], words: int) -> Iterator[pa.RecordBatch]:
+    """Spans of windows of so many words that stand more than once in the rows (gram, doc, start, own, words, codes of words)."""
+    values = rolling(_mix(np.frombuffer(b"".join(r[5] for r in rows), dtype="<u4").astype(np.uint64) + np.uint64(1)), words)
+    own = np.array([r[3] for r in rows])
+    from_ = np.concatenate([[0], np.cumsum([len(r[5]) // CODE for r in rows])[:-1]])
+    row = np.repeat(np.arange(len(rows)), own)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+    _, which, times = np.unique(values[from_[row] + inner], return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[which] > 1)
+    if not len(again):
+        return
+    row, inner = row[again], inner[again]
+    # windows that have a word in common are one span
+    opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (inner[1:] - inner[:-1] >= words)]))
+    last = np.append(opens[1:], len(row)) - 1
+    base = np.array([r[2] for r in rows])[row[opens]]
+    yield _spans(np.array([r[1] for r in rows])[row[opens]], base + inner[opens], base + inner[last] + words, False, True)
+
+
+def _in_arrays(regions: DataFrame, length: int, least_: int, words: int | None = None) -> DataFrame:
+    """Spans (doc, start, stop, cut, words) of repeats between the regions (gram, doc, start, own, words, bytes) of a gram; cut: of `length` bytes or more."""
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        data = b"".join(r[4] for r in rows)
-        ends = np.cumsum([len(r[4]) for r in rows])
+        if of_words := [r for r in rows if r[4]]:
+            yield from _in_windows(of_words, words)
+        if rows := [r for r in rows if not r[4]]:
+            yield from in_array(rows)
+
+    def in_array(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        data = b"".join(r[5] for r in rows)
+        ends = np.cumsum([len(r[5]) for r in rows])
         starts = np.concatenate([[0], ends[:-1]])
         names = np.array([r[0] for r in rows])
         group = np.cumsum(np.concatenate([[0], names[1:] != names[:-1]]))
@@ -287,48 +388,49 @@ def _in_arrays(regions: DataFrame, length: int, least_: int) -> DataFrame:
             opens = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > stop[:-1])]))
             first, last, row = at[opens], stop[np.append(opens[1:], len(at)) - 1], row[opens]
             base = np.array([r[2] for r in rows])[row] - starts[row]
-            yield pa.RecordBatch.from_pydict({"doc": np.array([r[1] for r in rows])[row], "start": base + first, "stop": base + last, "cut": np.full(len(row), bool(k))})
+            yield _spans(np.array([r[1] for r in rows])[row], base + first, base + last, bool(k), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "own", "bytes")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "own", "words", "bytes")), strict=True):
                 if rows and rows[-1][:3] == r[:3]:
                     continue
                 if held > ARRAY and rows[-1][0] != r[0]:
                     yield from settle(rows)
                     rows, held = [], 0
                 rows.append(r)
-                held += len(r[4])
+                held += len(r[5])
         if rows:
             yield from settle(rows)
 
     count = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return regions.select("gram", "doc", "start", "own", "bytes").repartition(count, "gram").sortWithinPartitions("gram", "doc", "start").mapInArrow(run, _SPAN)
+    return regions.select("gram", "doc", "start", "own", "words", "bytes").repartition(count, "gram").sortWithinPartitions("gram", "doc", "start").mapInArrow(run, _SPAN)
 
 
-def _finer(regions: DataFrame, block: int, length: int, least_: int) -> DataFrame:
-    """Pieces (gram, region, doc, start, lead, own, bytes) of regions: `block` windows of least_ and of length bytes each.
+def _finer(regions: DataFrame, block: int, length: int, least_: int, words: int | None = None) -> DataFrame:
+    """Pieces (gram, region, doc, start, lead, own, words, bytes) of regions: `block` windows of least_ and of length bytes, or of so many words, each.
 
     Blocks are counted from the anchor. The new gram is a hash of the old one and of what all windows of the block hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        names = ["gram", "region", "doc", "start", "lead", "own", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        names = ["gram", "region", "doc", "start", "lead", "own", "words", "bytes"]
         for batch in batches:
             out: list[tuple] = []
-            for gram, doc, start, lead, own, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "lead", "own", "bytes")), strict=True):
-                for size in {least_, length}:
-                    at, stop = 0, min(own, len(raw) - size + 1)
+            for gram, doc, start, lead, own, of_words, raw in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "lead", "own", "words", "bytes")), strict=True):
+                unit = CODE if of_words else 1
+                for size in {words} if of_words else {least_, length}:
+                    at, stop, wide = 0, min(own, len(raw) // unit - size + 1), min(block, words if of_words else least_)
                     while at < stop:
-                        base = (at - lead) // block * block + lead  # where the block begins, perhaps before the region
-                        end = min(base + block, stop)
-                        core, piece = raw[base + block - 1 : base + size], raw[at : end - 1 + size]
+                        base = (at - lead) // wide * wide + lead  # where the block begins, perhaps before the region
+                        end = min(base + wide, stop)
+                        core, piece = raw[(base + wide - 1) * unit : (base + size) * unit], raw[at * unit : (end - 1 + size) * unit]
                         salt = struct.pack("<qii", gram, size, base - lead)
                         name, same = (int.from_bytes(xxhash.xxh3_64_digest(x + salt), "little", signed=True) for x in (core, piece + struct.pack("<i", at - base)))
-                        out.append((name, same, doc, start + at, lead - at, end - at, piece))
+                        out.append((name, same, doc, start + at, lead - at, end - at, of_words, piece))
                         at = end
                 if len(out) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
@@ -339,55 +441,61 @@ def _finer(regions: DataFrame, block: int, length: int, least_: int) -> DataFram
     return regions.mapInArrow(run, _PIECE)
 
 
-def _split(hot: DataFrame, length: int, least_: int, bucket: int) -> list[DataFrame]:
-    """Spans of the regions (gram, doc, start, lead, own, bytes) of grams that have too many for one array."""
+def _split(hot: DataFrame, length: int, least_: int, bucket: int, words: int | None = None) -> list[DataFrame]:
+    """Spans of the regions (gram, doc, start, lead, own, words, bytes) of grams that have too many for one array."""
     found: list[DataFrame] = []
-    stop = F.col("start") + F.octet_length("bytes")
+    size = F.octet_length("bytes")
+    stop = F.col("start") + F.when(F.col("words"), F.shiftright(size, CODE.bit_length() - 1)).otherwise(size)
     for block in BLOCKS:
-        pieces = saved(_finer(hot, min(block, least_), length, least_))
-        example = F.min(F.struct("doc", "start", "lead", "own", "bytes")).alias("x")
+        pieces = saved(_finer(hot, block, length, least_, words))
+        example = F.min(F.struct("doc", "start", "lead", "own", "words", "bytes")).alias("x")
         sums = saved(pieces.groupBy("gram", "region").agg(F.count("*").alias("n"), example))
         whole = pieces.join(sums.where("n > 1").select("gram", "region"), ["gram", "region"], "left_semi")
-        found.append(whole.select("doc", "start", stop.alias("stop"), (F.octet_length("bytes") >= length).alias("cut")))
+        found.append(whole.select("doc", "start", stop.alias("stop"), (~F.col("words") & (size >= length)).alias("cut"), "words"))
         grams = sums.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
         mixed = sums.join(grams, "gram").select("gram", "kinds", "x.*")
-        found.append(_in_arrays(mixed.where(F.col("kinds") <= bucket), length, least_))
+        found.append(_in_arrays(mixed.where(F.col("kinds") <= bucket), length, least_, words))
         hot = saved(mixed.where(F.col("kinds") > bucket).drop("kinds"))
         if hot.isEmpty():
             break
     return found
 
 
-def spans(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
-    """(doc, start, stop, cut): byte spans of docs (doc, text, ..) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap."""
-    found = saved(occurrences(docs, length, least_, gram))
+def spans(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, words: int | None = None) -> DataFrame:
+    """(doc, start, stop, cut, words): byte spans of docs (doc, text, ..) that are made of repeated strings of least_ bytes, or (cut) of length bytes; they may overlap.
+
+    If a number of words is given, spans of repeated passages of so many words, too, which are counted in words (where `words` is true).
+    """
+    found = saved(occurrences(docs, length, least_, gram, words))
     # most grams occur once: their anchors own no repeat
     twice = saved(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     # merge joins throughout: what stands on the right grows with the corpus, and both sides can be split where a gram is hot
     kept = saved(found.join(twice.hint("merge"), "gram", "left_semi"))
-    regions = saved(kept.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("x")))
+    regions = saved(kept.groupBy("gram", "region").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place", "words")).alias("x")))
     whole = kept.join(regions.where("n > 1").select("gram", "region").hint("merge"), ["gram", "region"], "left_semi")
-    whole = whole.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _size(F.col("place"))).alias("stop"), (_size(F.col("place")) >= length).alias("cut"))
+    whole = whole.select("doc", _start(F.col("place")).alias("start"), (_start(F.col("place")) + _size(F.col("place"))).alias("stop"), (~F.col("words") & (_size(F.col("place")) >= length)).alias("cut"), "words")
     grams = regions.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = saved(regions.join(grams.hint("merge"), "gram").select("gram", "kinds", "x.*"))
 
     def wanted(which: Column) -> DataFrame:
-        return mixed.where(which).groupBy("doc").agg(F.collect_list(F.struct("gram", "place")).alias("want"))
+        return mixed.where(which).groupBy("doc").agg(F.collect_list(F.struct("gram", "place", "words")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        names = ["gram", "doc", "start", "lead", "own", "bytes"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        names = ["gram", "doc", "start", "lead", "own", "words", "bytes"]
         last = None
         for batch in batches:
             out: list[tuple] = []
             for key, text, want in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("want"), strict=True):
                 if key == last:  # equal rows share a key and follow one another: one of them is enough
                     continue
-                last, raw = key, text.as_py().encode()
-                for w in want.as_py():
+                last, raw, told = key, text.as_py().encode(), want.as_py()
+                codes = (word_hashes(raw) >> np.uint64(32)).astype("<u4").tobytes() if any(w["words"] for w in told) else b""
+                for w in told:
                     place = w["place"]
                     start = place >> 32
-                    out.append((w["gram"], key, start, place >> 22 & 0x3FF, place >> 12 & 0x3FF, raw[start : start + (place & 0xFFF)]))
+                    stop = start + (place & 0xFFF)
+                    out.append((w["gram"], key, start, place >> 22 & 0x3FF, place >> 12 & 0x3FF, w["words"], codes[CODE * start : CODE * stop] if w["words"] else raw[start:stop]))
                 if len(out) > 5_000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
                     out = []
@@ -395,13 +503,13 @@ def spans(docs: DataFrame, length: int = LENGTH, least_: int = LENGTH, gram: int
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
     def fetched(want: DataFrame) -> DataFrame:
-        return docs.join(want, "doc").mapInArrow(fetch, "gram long, doc long, start long, lead int, own int, bytes binary")
+        return docs.join(want, "doc").mapInArrow(fetch, "gram long, doc long, start long, lead int, own int, words boolean, bytes binary")
 
     # docs are joined whole: a later join of the same rows by doc takes over what is shuffled here
-    result = whole.unionByName(_in_arrays(fetched(wanted(F.col("kinds") <= bucket).hint("merge")), length, least_))
+    result = whole.unionByName(_in_arrays(fetched(wanted(F.col("kinds") <= bucket).hint("merge")), length, least_, words))
     if not mixed.where(F.col("kinds") > bucket).isEmpty():
         hot = saved(fetched(wanted(F.col("kinds") > bucket).hint("merge")).dropDuplicates(["gram", "doc", "start"]))
-        for part in _split(hot, length, least_, bucket):
+        for part in _split(hot, length, least_, bucket, words):
             result = result.unionByName(part)
     return result
 
@@ -417,15 +525,16 @@ def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove(docs: DataFrame, length: int = LENGTH, least_: int | None = None, gram: int = GRAM, bucket: int = BUCKET) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, least_: int | None = None, gram: int = GRAM, bucket: int = BUCKET, words: int | None = None) -> DataFrame:
     """Per document of (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 and n_repeated.
 
-    n_repeated counts the bytes covered by strings of least_ bytes (length, unless given) that also start elsewhere;
-    these that are shorter than length are kept.
+    n_repeated counts the bytes covered by strings of least_ bytes (length, unless given) that also start elsewhere and, if a
+    number of words is given, by passages of so many words (from the first one's start to the last one's stop) that also stand
+    elsewhere; what no string of length bytes covers is kept.
     """
     least_ = least_ or length
     keyed = docs.select("doc_id", text_of().alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
-    marked = spans(keyed, length, least_, gram, bucket).groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "cut")).alias("spans"))
+    marked = spans(keyed, length, least_, gram, bucket, words).groupBy("doc").agg(F.collect_set(F.struct("start", "stop", "cut", "words")).alias("spans"))
     kind = dict(keyed.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,10 +544,13 @@ def remove(docs: DataFrame, length: int = LENGTH, least_: int | None = None, gra
                 raw = text.as_py().encode()
                 told = found.as_py() or []
                 gone = _covered([(x["start"], x["stop"]) for x in told if x["cut"]])
-                seen = _covered([(x["start"], x["stop"]) for x in told])
+                seen = [(x["start"], x["stop"]) for x in told if not x["words"]]
+                if len(seen) < len(told):
+                    starts, stops = (x.tolist() for x in word_bounds(raw))
+                    seen += [(starts[x["start"]], stops[x["stop"] - 1]) for x in told if x["words"]]
                 edges = [0, *(x for span in gone for x in span), len(raw)]
                 rest = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                out.append((len(raw), len(raw) - len(rest), len(gone), rest, hashlib.sha256(rest).hexdigest(), sum(e - s for s, e in seen)))
+                out.append((len(raw), len(raw) - len(rest), len(gone), rest, hashlib.sha256(rest).hexdigest(), sum(e - s for s, e in _covered(seen))))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64())
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "n_repeated"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]], names=names)

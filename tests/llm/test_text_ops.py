@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from marketweave.llm import byte_bpe, lm_scoring, mixing, pii, simhash, suffix_dedup, token_counts, toxicity, winnowing
+from marketweave.llm import queries as op_queries
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -312,6 +313,51 @@ def test_suffix_dedup_long_texts(spark, monkeypatch):
     _repeats_by_counting([(i, t.encode()) for i, t in texts], by_id(suffix_dedup.remove(frame)), 400, 300)
 
 
+def _words_by_counting(texts, got, length, words):
+    bounds = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] for i, raw in texts}
+    said = {i: [raw[a:b] for a, b in bounds[i]] for i, raw in texts}
+    places = Counter(raw[a : a + length] for _, raw in texts for a in range(len(raw) - length + 1))
+    passages = Counter(tuple(said[i][a : a + words]) for i, _ in texts for a in range(len(said[i]) - words + 1))
+    for i, raw in texts:
+        cover = _repeated(raw, length, places)
+        removed = sum(cover)
+        for a in range(len(said[i]) - words + 1):
+            if passages[tuple(said[i][a : a + words])] > 1:
+                start, stop = bounds[i][a][0], bounds[i][a + words - 1][1]
+                cover[start:stop] = b"\1" * (stop - start)
+        for r in got[i]:
+            assert (r["n_removed"], r["n_repeated"]) == (removed, sum(cover))
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 256])
+def test_suffix_dedup_counts_passages_of_words(spark, docs, rows, bucket, monkeypatch):
+    _words_by_counting([(i, (t or "").encode()) for i, t, *_ in rows], by_id(suffix_dedup.remove(docs, bucket=bucket, words=12)), 400, 12)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 5)))
+    passage, texts = [word() for _ in range(40)], []
+    for i in range(60):
+        middle = [word() if rng.random() < 0.02 else x for x in passage[rng.randint(0, 8) :]]
+        texts.append((i, rng.choice([" ", "\n", " \t"]).join([*(word() for _ in range(rng.randint(0, 30))), *middle, *(word() for _ in range(rng.randint(0, 30)))])))
+    texts += [(60, "n " * 90), (61, " ".join([*passage, *passage])), (62, "x" * 90 + " " + " ".join(passage) + " " + "x" * 90), (63, "x" * 90)]
+    whole = {i: suffix_dedup.word_hashes(t.encode()).tolist() for i, t in texts}
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)  # words of 90 bytes are longer
+    for i, t in texts:
+        parts = suffix_dedup.word_hashes(t.encode()).tolist()
+        assert [a == b for a, b in zip(parts, whole[i], strict=True)] == [len(x) <= 64 for x in t.split()]
+    assert len({suffix_dedup.word_hashes(t.encode()).tolist()[-1] for _, t in texts[62:]}) == 1
+    _words_by_counting([(i, t.encode()) for i, t in texts], by_id(suffix_dedup.remove(spark.createDataFrame(texts, "doc_id long, text string"), bucket=bucket, words=12)), 400, 12)
+
+
+def test_op8_tells_of_passages_of_over_50_words(spark, tmp_path):
+    rng = random.Random(9)
+    some = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    more, fewer = some(51), some(50)  # 254 and 249 bytes, under the 400 that are removed
+    texts = [(1, f"{some(30)} {more} {some(30)}"), (2, f"{some(9)}\n{more} {some(70)}"), (3, f"{some(30)} {fewer} {some(30)}"), (4, f"{some(9)} {fewer} {some(70)}"), (5, some(200))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op_queries.op8_suffix_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_repeated"]) for r in got} == {1: (0, 254), 2: (0, 254), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+
+
 def test_suffix_array():
     rng = np.random.default_rng(3)
     for alphabet in (b"ab", b"ab\0c", bytes(range(256))):
