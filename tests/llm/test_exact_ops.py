@@ -207,6 +207,14 @@ def test_negatives_of_few_rows(spark):
     assert hard_negatives.mine(one, F.col("vec_id") == 3).count() == 0  # no anchor
 
 
+def test_blocks_of_anchors_are_not_broadcast(spark):
+    rows = spark.range(600).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("label"), F.array(*[F.lit(x) for x in range(4)]).alias("vector"))
+    blocks = hard_negatives._blocks(rows, 6, 4, 2)
+    tiles = hard_negatives._tiles(hard_negatives._blocks(rows.where("vec_id % 100 = 0"), 2, 4, 2), blocks, 6, 2)
+    assert tiles.count() == 12
+    assert "Broadcast" not in tiles._jdf.queryExecution().executedPlan().toString()
+
+
 def test_product_of_large_numbers():
     a = np.full((2, 40), hard_negatives.LIMIT, np.int32)
     a[1, ::2] -= 1
