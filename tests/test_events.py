@@ -4,9 +4,11 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marketweave.functions.similarity import Both, ratios
 from marketweave.operators import events as E
 from marketweave.plans import news
 
@@ -119,3 +121,36 @@ def test_roll_up_equals_a_loop(spark):
         want[e] = (len(own), min(r["published"] for r in own), max(r["published"] for r in own), len({r["source"] for r in own}), confidence, status)
     got = {r["event_id"]: (r["size"], r["first"], r["last"], r["sources"], r["confidence"], r["status"]) for r in news.event_rollup(spark, data).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize(("block", "batch"), [(4_096, 10_000), (7, 13)])
+def test_candidates_compare_few_of_many_pairs(spark, monkeypatch, block, batch):
+    # one common word in all titles, so that all pairs are asked for; copies, and titles of over 200 letters
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(120)]
+    some = lambda k: " ".join(rng.choices(words, k=k))
+    rows = [(i, dt.datetime(2026, 1, 1) + dt.timedelta(days=rng.randrange(20)), "bridge " + some(rng.choice([1, 4, 9, 50])), [some(1), some(1)], some(3), [some(1)] if i % 9 else None, "occurred" if i % 5 else "", "") for i in range(100)]
+    rows += [(300 + i, dt.datetime(2026, 1, 9), *rows[3][2:]) for i in range(40)] + [(400, None, *rows[3][2:])]
+    monkeypatch.setattr(E, "BLOCK", block)
+    items = E.described(spark.createDataFrame(rows, "id long, published timestamp, " + E.FIELDS))
+    dealt = E._dealt(items, 14).toArrow().sort_by([(c, "ascending") for c in ("block", "part", "side", "id")])
+    compared, compare = [0], Both.ratios
+
+    def counted(self, i, j, least=0.0):
+        compared[0] += len(i)
+        return compare(self, i, j, least)
+
+    monkeypatch.setattr(Both, "ratios", counted)
+    got = {(r["left"], r["right"]): (r["score"], r["shared"], r["near"]) for b in E._best(5, 0.2)(iter(dealt.combine_chunks().to_batches(batch))) for r in b.to_pylist()}
+    monkeypatch.undo()
+    known = [r for r in items.collect() if r["day"]]
+    pairs = [(a, b) for a in known for b in known if 0 <= (b["day"] - a["day"]).days <= 14 and (a["day"] < b["day"] or a["id"] < b["id"])]
+    found = {f: ratios([a["x"][f] for a, _ in pairs], [b["x"][f] for _, b in pairs]) for f in E.WEIGHTS}
+    score = sum(w * np.nan_to_num(found[f]) for f, w in E.WEIGHTS.items()) / sum(w * ~np.isnan(found[f]) for f, w in E.WEIGHTS.items())
+    best = defaultdict(list)
+    for n in np.flatnonzero(score >= 0.2).tolist():
+        best[pairs[n][1]["id"]].append((-round(score[n], 9), pairs[n][0]["id"], found["action"][n]))
+    want = {(left, right): (-score, near) for right, some in best.items() for score, left, near in sorted(some)[:5]}
+    assert {k: (round(score, 9), near) for k, (score, _, near) in got.items()} == want
+    assert all(shared for _, shared, _ in got.values())
+    assert compared[0] < len(pairs) * len(E.WEIGHTS) / 4

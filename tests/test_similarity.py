@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marketweave.functions.similarity import bounds, ratios
+from marketweave.functions.similarity import Both, bounds, common, ratios
 
 
 def plain(left, right):
@@ -38,3 +38,20 @@ def test_ratios_from_a_least_one_on():
     left, right = (list(x) for x in zip(*[(a, b) for a in texts for b in texts], strict=True))
     want, got = plain(left, right), ratios(left, right, 0.82)
     assert np.array_equal(got >= 0.82, want >= 0.82) and np.array_equal(got[want >= 0.82], want[want >= 0.82])
+
+
+def test_bounds_and_needs_of_many_pairs():
+    rng = random.Random(4)
+    words = ["bridge", "drained", "ronin", "exploit", "xq", "漢字", "of"]
+    texts = [" ".join(rng.choices(words, k=k)) for k in [1, 2, 3, 8, 20, 30, 45, 60] * 4] + ["", "a" * 300, "".join(map(chr, range(100, 400)))]
+    left, right = (list(x) for x in zip(*[(a, b) for a in texts for b in texts], strict=True))
+    want, x = plain(left, right), Both(left, right)
+    i, j = x.a.place, x.b.place
+    told = ~np.isnan(want)
+    assert np.all(x.ordered(i, j)[told] >= want[told]) and np.all(x.ordered(i, j)[told] <= 1)
+    lengths = np.maximum(x.a.length[i] + x.b.length[j], 1)
+    assert np.all((2 * common(x.bag_a, x.bag_b)[i, j] / lengths + 1e-6)[told] >= want[told])
+    need = np.array([rng.random() for _ in left])
+    got = x.ratios(i, j, need)
+    high = told & (want >= need)
+    assert np.array_equal(got[high], want[high]) and np.all(got[told & ~high] < need[told & ~high])
