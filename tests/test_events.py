@@ -153,4 +153,13 @@ def test_candidates_compare_few_of_many_pairs(spark, monkeypatch, block, batch):
     want = {(left, right): (-score, near) for right, some in best.items() for score, left, near in sorted(some)[:5]}
     assert {k: (round(score, 9), near) for k, (score, _, near) in got.items()} == want
     assert all(shared for _, shared, _ in got.values())
-    assert compared[0] < len(pairs) * len(E.WEIGHTS) / 4
+    assert compared[0] < len(pairs) * len(E.WEIGHTS) / 2
+
+
+@pytest.mark.parametrize("query", ["event_groups"])
+def test_events_join_no_pairs(spark, monkeypatch, query):
+    def refused(*_):
+        raise AssertionError("pairs with an anchor are rows")
+
+    monkeypatch.setattr(E, "anchored", refused)
+    assert news.QUERIES[query](spark, "/root/testdata/sf0.001").count() == 20
