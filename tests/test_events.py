@@ -156,7 +156,7 @@ def test_candidates_compare_few_of_many_pairs(spark, monkeypatch, block, batch):
     assert compared[0] < len(pairs) * len(E.WEIGHTS) / 2
 
 
-@pytest.mark.parametrize("query", ["event_groups", "event_regroup"])
+@pytest.mark.parametrize("query", ["event_groups", "event_regroup", "event_rollup"])
 def test_events_join_no_pairs(spark, monkeypatch, query):
     def refused(*_):
         raise AssertionError("pairs with an anchor are rows")
